@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from graphweft.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from graphweft.llm.quality_rules import op6_quality_rules
+from graphweft.llm.secret_scan import op10_secret_scan
+from graphweft.llm.source_mix import op3_source_mix
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_source_mix": op3_source_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
