@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from graphweft.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from graphweft.llm.language_id import op1_language_id
+from graphweft.llm.quality_classifier import op9_quality_classifier
 from graphweft.llm.quality_rules import op6_quality_rules
 from graphweft.llm.secret_scan import op10_secret_scan
 from graphweft.llm.source_mix import op3_source_mix
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
