@@ -7,6 +7,7 @@ from graphweft.llm.language_id import op1_language_id
 from graphweft.llm.quality_classifier import op9_quality_classifier
 from graphweft.llm.quality_rules import op6_quality_rules
 from graphweft.llm.secret_scan import op10_secret_scan
+from graphweft.llm.sentencepiece_codec import op7_sentencepiece
 from graphweft.llm.source_mix import op3_source_mix
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
