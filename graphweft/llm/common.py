@@ -50,6 +50,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once per row however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

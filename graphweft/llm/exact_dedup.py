@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphweft.llm.common import SPACE, table, written
+from graphweft.llm.common import SPACE, once, table, written
 
 #: A chunk has LEAST to MOST bytes and 1,024 more than LEAST on average.
 LEAST, MOST, MASK, SPAN = 256, 8192, np.uint32(1023 << 20), 16
@@ -72,24 +72,27 @@ def hashes(chunk: Column) -> list[Column]:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, the normalised text and its chunks as bytes, in order."""
-    ends_of = F.arrow_udf(chunk_ends, "array<int>")
+    ends_of = F.arrow_udf(chunk_ends, "array<int>").asNondeterministic()  # evaluated once, however often it is read
     text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
     df = docs.select("doc_id", text.alias("text")).withColumn("ends", ends_of("text"))
-    whole = F.col("text").cast("binary")
 
-    def piece(end: Column, i: Column) -> Column:
-        start = F.coalesce(F.get("ends", i - 1), F.lit(0))
-        return F.substring(F.col("bytes"), start + 1, end - start)
+    def pieces(body: Column) -> Column:
+        def piece(end: Column, i: Column) -> Column:
+            start = F.coalesce(F.get("ends", i - 1), F.lit(0))
+            return F.substring(body, start + 1, end - start)
 
-    return df.withColumn("bytes", whole).select("doc_id", "text", F.transform("ends", piece).alias("chunks"))
+        return F.transform("ends", piece)
 
+    return df.select("doc_id", "text", once(F.col("text").cast("binary"), pieces).alias("chunks"))
 
-def collided(chunks: DataFrame, ids: list[str]) -> DataFrame:
-    """Hashes that stand for more than one content, with an ordinal for each content."""
-    contents = chunks.groupBy(*ids, "chunk").agg(F.lit(1).alias("one"))
-    several = contents.groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    rank = F.row_number().over(Window.partitionBy(*ids).orderBy("chunk"))
-    return contents.join(several, ids, "left_semi").select(*ids, "chunk", rank.alias("ordinal"))
+
+def collided(chunks: DataFrame, ids: list[str]) -> DataFrame | None:
+    """Hashes that stand for more than one content, with an ordinal for each content; None if there are none."""
+    several = written(chunks.groupBy(*ids, "chunk").agg(F.lit(1).alias("one")).groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "dedup-clashes")
+    if several.isEmpty():
+        return None
+    contents = chunks.join(several, ids, "left_semi").select(*ids, "chunk").distinct()
+    return contents.withColumn("ordinal", F.row_number().over(Window.partitionBy(*ids).orderBy("chunk")))
 
 
 def exact_dedup(docs: DataFrame, hashed: Callable[[Column], list[Column]] = hashes) -> DataFrame:
@@ -103,11 +106,11 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], list[Column]] = hash
     parts = chunked(docs)
     recipe = F.flatten(F.transform("chunks", lambda c: F.array(*hashed(c))))
     recipes = written(parts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), recipe.alias("recipe")), "dedup-recipes")
-    exploded = parts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode("chunks").alias("at", "chunk"))
+    # the outer form, as for the inner one the optimizer adds a filter that cuts every text a second time
+    exploded = parts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode_outer("chunks").alias("at", "chunk")).where("chunk IS NOT NULL")
     ids = [f"h{k}" for k in range(len(hashed(F.lit(""))))]
     keyed = exploded.select("doc_id", "text_sha256", "at", "chunk", *(c.alias(k) for k, c in zip(ids, hashed(F.col("chunk")), strict=True)))
-    clashes = written(collided(keyed, ids), "dedup-clashes")
-    if not clashes.isEmpty():
+    if (clashes := collided(keyed, ids)) is not None:
         told = keyed.join(clashes, [*ids, "chunk"]).groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("at", "ordinal"))).alias("told"))
         same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_sha256") == F.col("b.text_sha256"))
         recipes = written(recipes.alias("a").join(told.alias("b"), same, "left").select("a.*", F.coalesce("b.told", F.array().cast(told.schema["told"].dataType)).alias("told")), "dedup-recipes")

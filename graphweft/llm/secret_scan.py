@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphweft.llm.common import table, written
+from graphweft.llm.common import once, table, written
 
 #: The kinds in the order in which they are listed. The hex and access patterns take whole runs, so their
 #: least lengths can stand in the pattern; that of assign is checked afterwards, as a short match uses up its characters.
@@ -33,11 +33,6 @@ ALPHABETS = {
 BINS, PER_UNIT = 800, 20
 
 
-def once(value: Column, body) -> Column:
-    """body(value) with value computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as structs start, kind, end, part; code points, end exclusive.
 
