@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphweft.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from graphweft.llm.language_id import op1_language_id
+from graphweft.llm.ngram_join import op4_ngram_join
 from graphweft.llm.quality_classifier import op9_quality_classifier
 from graphweft.llm.quality_rules import op6_quality_rules
 from graphweft.llm.secret_scan import op10_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_quality_classifier": op9_quality_classifier,
