@@ -134,7 +134,7 @@ def placed(sizes: DataFrame, sources: list[Source]) -> DataFrame:
     spark = sizes.sparkSession
     dim = spark.createDataFrame([(i, s.name, -(-s.docs // STRETCH)) for i, s in enumerate(sources)], "s int, name string, stretches long")
     h = F.xxhash64("doc_id")
-    dealt = sizes.join(dim, F.col("source").eqNullSafe(F.col("name"))).withColumn("h", h).withColumn("stretch", F.pmod("h", "stretches")).drop("name", "stretches")
+    dealt = sizes.join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("name"))).withColumn("h", h).withColumn("stretch", F.pmod("h", "stretches")).drop("name", "stretches")
     sums = dealt.groupBy("s", "stretch").agg(F.sum("size").alias("total"))
     before = sums.select("s", "stretch", (F.sum("total").over(Window.partitionBy("s").orderBy("stretch")) - F.col("total")).alias("before"))
     inner = Window.partitionBy("s", "stretch").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -162,11 +162,11 @@ def source_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
     spark = docs.sparkSession
     where = placed(sizes, sources)
     times = slots(spark, sources, seed).groupBy("s", "block").agg(F.count("*").alias("times"))
-    parts = parts_of_blocks(where, block).join(times, ["s", "block"], "left")
+    parts = parts_of_blocks(where, block).join(times.hint("merge"), ["s", "block"], "left")  # the size of a range says nothing of its slots
     taken = parts.groupBy("doc_id", "source", "size", "s", "start").agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = where.where("size = 0").select("doc_id", "source", "size", "s", "start", F.lit(0).cast("long").alias("taken"))
     dim = spark.createDataFrame([(i, s.size, s.target) for i, s in enumerate(sources)], "s int, source_size long, target double")
-    return taken.unionByName(none).join(dim, "s").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.unionByName(none).join(F.broadcast(dim), "s").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 11) -> DataFrame:
