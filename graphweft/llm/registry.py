@@ -10,6 +10,7 @@ from graphweft.llm.quality_rules import op6_quality_rules
 from graphweft.llm.secret_scan import op10_secret_scan
 from graphweft.llm.sentencepiece_codec import op7_sentencepiece
 from graphweft.llm.source_mix import op3_source_mix
+from graphweft.llm.suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
