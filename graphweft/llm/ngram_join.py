@@ -57,11 +57,11 @@ class Shingler:
                 out[0] = U(1)
                 setattr(self, name, np.multiply.accumulate(out))
 
-    def sets(self, body: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Per text its distinct shingles in order; texts lie one after the other in body."""
+    def words(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and per text the index of its first one; texts lie one after the other in body."""
         n = len(body)
         if not n:
-            return [np.empty(0, U)] * (len(offsets) - 1)
+            return np.empty(0, U), np.zeros(len(offsets), np.int64)
         self.powers(n + 1)
         word = ~self.space[body]
         edge = np.zeros(n + 1, bool)
@@ -70,7 +70,11 @@ class Shingler:
         ends = np.flatnonzero(word & (np.concatenate([~word[1:], [True]]) | edge[1:])) + 1
         run = np.concatenate([[U(0)], np.cumsum(self.value[body] * self.power[:n], dtype=U)])
         h = mixed((run[ends] - run[begins]) * self.inverse[begins] + (ends - begins).astype(U), 1)
-        firsts = np.searchsorted(begins, offsets)
+        return h, np.searchsorted(begins, offsets)
+
+    def sets(self, body: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Per text its distinct shingles in order."""
+        h, firsts = self.words(body, offsets)
         four = h[: max(0, len(h) - WORDS + 1)].copy()
         for k in range(1, WORDS):
             four = mixed(four, 2) + h[k : len(h) - WORDS + 1 + k]
@@ -88,8 +92,9 @@ class Shingler:
                 out.append(np.empty(0, U))
         return out
 
-    def batches(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def batches(self, texts: pa.Array, make=None) -> Iterator[tuple[int, list[np.ndarray]]]:
         """Index of the first text and the sets of it and its successors, some hundred thousand bytes at a time."""
+        make = make or self.sets
         texts = texts.cast(pa.large_binary())
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -97,7 +102,7 @@ class Shingler:
         first = 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
-            yield first, self.sets(body[at[first] : at[last]], at[first : last + 1] - at[first])
+            yield first, make(body[at[first] : at[last]], at[first : last + 1] - at[first])
             first = last
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphweft.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from graphweft.llm.fuzzy_passages import op5_fuzzy_passages
 from graphweft.llm.language_id import op1_language_id
 from graphweft.llm.ngram_join import op4_ngram_join
 from graphweft.llm.quality_classifier import op9_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_join": op4_ngram_join,
+    "op5_fuzzy_passages": op5_fuzzy_passages,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_suffix_dedup": op8_suffix_dedup,
