@@ -219,7 +219,7 @@ def decoded(df: DataFrame, codec: Codec, ids: str = "ids", text: str = "decoded"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([codec.decode(x or []) for x in b.to_pylist()], pa.string())
+            yield pa.array([codec.decode(b[i].values.to_numpy().tolist() if b[i].is_valid else []) for i in range(len(b))], pa.string())
 
     return df.withColumn(text, arrow_iterator(run, "string")(F.col(ids)))
 
