@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +49,10 @@ def dropped(df: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first collection lets go of what refers to a plan, the second one of the plan
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def words(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphweft.llm.common import dropped, table, written
+from graphweft.llm.common import dropped, freed, table, written
 from graphweft.llm.components import components
 
 #: Two sets link if 100 * intersection >= SHARE * union. Words in a shingle.
@@ -182,14 +182,40 @@ def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """Bits that tell odd from even numbers of elements in each of some 2 to 4 cells per element.
+
+    An element that only one of two sets has flips one bit, so as many bits differ as elements do at most.
+    """
+    bits = max(64, 1 << int(2 * len(items) - 1).bit_length()) if len(items) else 64
+    cells = np.bincount((mixed(items, 51) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view(U)
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """Rows of bits for half as many cells."""
+    half = words.shape[-1] // 2
+    return words[..., :half] ^ words[..., half:]
+
+
+def may_link(apart, a, b, share: int = SHARE):
+    """Whether sets of a and b elements that differ in `apart` or more can link."""
+    return apart * (100 + share) <= (100 - share) * (a + b)
+
+
 def set_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, the parity bits and a 128-bit digest of the set of every row."""
+
+    def digest(s: np.ndarray) -> bytes:
+        return np.array([mixed(s, 61).sum(dtype=U), mixed(s, 62).sum(dtype=U)]).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in batches:
-            n = [len(s) for _, sets in shingler.batches(b.column(1)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
+            for first, sets in shingler.batches(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary()), pa.array([digest(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "bits", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, n_shingles long, bits binary, digest binary")
 
 
 def signature_rows(docs: DataFrame, share: int) -> DataFrame:
@@ -221,58 +247,122 @@ def compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.select("c", "x", "xs", "cs").mapInArrow(run, f"c {kind}, x {kind}, link boolean")
 
 
-def among_others(stars: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) of the members that are not linked with their centre, to other members of the same centre.
+def near_pairs(pairs: DataFrame, sizes: DataFrame, share: int) -> DataFrame:
+    """pairs (c, x) with column near: false if their parity bits rule a link out."""
+    side = lambda k: sizes.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"b_{k}")).hint("merge")
+    both = pairs.join(side("x"), "x").join(side("c"), "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for m, n, p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                u, v = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
+                while len(u) != len(v):
+                    u, v = (folded(u), v) if len(u) > len(v) else (u, folded(v))
+                out.append(bool(may_link(int(np.bitwise_count(u ^ v).sum()), m, n, share)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["c", "x", "near"])
 
-    Two members differ in exactly the elements in which one differs from the centre and the other does not. Those that a
-    member has in common with others are looked up in lists, so only members that share a difference, or differ little
-    from the centre, meet. A large group is split: each block of the rows that ask meets all rows of the group.
+    kind = pairs.schema["c"].dataType.simpleString()
+    return both.select("c", "x", "n_c", "n_x", "b_c", "b_x").mapInArrow(run, f"c {kind}, x {kind}, near boolean")
+
+
+def possible_others(stars: DataFrame, sizes: DataFrame, share: int) -> DataFrame:
+    """c, block, x: of each centre's members those that may link with another one, by their parity bits.
+
+    A large group is split: each block of the rows that ask meets all rows of the group. Bits are compared block by block
+    in a task, and rows come out, not pairs.
     """
-    groups = stars.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("apart")).where("apart > 0 AND n > 1")
-    sized = groups.select("c", F.ceil(F.col("apart") * F.col("n") / (SPLIT * SPLIT)).cast("int").alias("blocks"))
-    rows = stars.join(sized, "c").withColumn("ask", ~F.col("link"))
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.col("ask") & (F.pmod(F.xxhash64("x"), F.col("blocks")) == F.col("block")))
-    whole = spread.join(sets.select(F.col("doc_id").alias("x"), F.col("items").alias("xs")), "x")
-    centre = sized.select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.select(F.col("doc_id").alias("c"), F.col("items").alias("xs")), "c")
+    sized = stars.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c", F.ceil(F.col("n") * F.col("n") / (SPLIT * SPLIT)).cast("int").alias("blocks"))
+    spread = stars.join(sized, "c").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = F.pmod(F.xxhash64("x"), F.col("blocks")) == F.col("block")
+    rows = spread.select("c", "block", "x", asking.alias("ask")).join(sizes.select(F.col("doc_id").alias("x"), "n_shingles", "bits").hint("merge"), "x")
     kind = stars.schema["c"].dataType.simpleString()
-    all_rows = whole.select("c", "block", "x", "ask", "xs").unionByName(centre.select("c", "block", F.col("c").alias("x"), F.lit(False).alias("ask"), "xs"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        ids, ask = group["x"].to_numpy(), group["ask"].to_numpy()
-        items = [np.frombuffer(x, U) for x in group["xs"]]
-        middle = items[int(np.flatnonzero(ids == group["c"].iloc[0])[0])]
-        diffs = [np.setxor1d(x, middle, assume_unique=True) for x in items]
-        size, far = np.array([len(x) for x in items]), np.array([len(d) for d in diffs])
-        values, code = np.unique(np.concatenate(diffs), return_inverse=True) if far.sum() else (np.empty(0, U), np.empty(0, np.int64))
-        holder = np.repeat(np.arange(len(ids)), far)
+        n, ask = group["n_shingles"].to_numpy(), group["ask"].to_numpy()
+        bits = [np.frombuffer(x, U) for x in group["bits"]]
+        length = np.array([len(x) for x in bits])
+        keep = np.zeros(len(n), bool)
+        by = {k: (np.flatnonzero(length == k), np.stack([bits[i] for i in np.flatnonzero(length == k)])) for k in np.unique(length)}
+        for i in np.flatnonzero(ask):
+            for k in {length[i], 2 * length[i], length[i] // 2} & by.keys():  # sets that differ more in size don't link
+                which, them = by[k]
+                us, them = (bits[i], them) if k == length[i] else (bits[i], folded(them)) if k > length[i] else (folded(bits[i]), them)
+                near = may_link(np.bitwise_count(them ^ us).sum(1, dtype=np.int64), n[which], n[i], share)
+                near[which == i] = False
+                keep[which[near]] = True
+                keep[i] |= near.any()
+        return group.loc[keep, ["c", "block", "x", "ask"]]
+
+    return rows.select("c", "block", "x", "ask", "n_shingles", "bits").groupBy("c", "block").applyInPandas(run, f"c {kind}, block int, x {kind}, ask boolean")
+
+
+def among_others(possible: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) of asking rows to other rows of their centre and block, enough to join each component.
+
+    Shared elements are counted through lists of the rows that hold an element; elements that all rows hold are counted
+    once. Links between rows that are joined already are not given.
+    """
+    rows = possible.join(sets.select(F.col("doc_id").alias("x"), "items").hint("merge"), "x")
+    kind = possible.schema["c"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, ask, out = group["x"].to_numpy(), group["ask"].to_numpy(), []
+        items = [np.frombuffer(x, U) for x in group["items"]]
+        size = np.array([len(x) for x in items])
+        values, code, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        shared = int((times == len(ids)).sum())
+        holder = np.repeat(np.arange(len(ids)), size)
+        some = times[code] < len(ids)
+        code, holder = code[some], holder[some]
         order = np.argsort(code, kind="stable")
         holders, edges = holder[order], np.searchsorted(code[order], np.arange(len(values) + 1))
-        starts = np.cumsum(far) - far
+        own = np.searchsorted(holder, np.arange(len(ids) + 1))
+        root = np.arange(len(ids))
         for i in np.flatnonzero(ask):
-            lists = [holders[edges[e] : edges[e + 1]] for e in code[starts[i] : starts[i] + far[i]]]
-            common = np.bincount(np.concatenate(lists), minlength=len(ids)) if lists else np.zeros(len(ids), np.int64)
-            apart = far[i] + far - 2 * common
-            inter = (size[i] + size - apart) // 2
-            out.extend((ids[i], ids[j]) for j in np.flatnonzero(linked(inter, size[i], size, share)) if ids[j] != ids[i])
+            lists = [holders[edges[e] : edges[e + 1]] for e in code[own[i] : own[i + 1]]]
+            inter = shared + (np.bincount(np.concatenate(lists), minlength=len(ids)) if lists else np.zeros(len(ids), np.int64))
+            for j in np.flatnonzero(linked(inter, size[i], size, share)):
+                if root[i] != root[j]:
+                    root[root == root[i]] = root[j]
+                    out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return all_rows.groupBy("c", "block").applyInPandas(run, f"a {kind}, b {kind}")
+    return rows.select("c", "block", "x", "ask", "items").groupBy("c", "block").applyInPandas(run, f"a {kind}, b {kind}")
+
+
+def copies(sizes: DataFrame) -> DataFrame:
+    """doc_id and the smallest doc_id, rep, with an equal set, of the rows that have such a one."""
+    groups = written(sizes.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("digest", "rep"), "join-equal")
+    return sizes.join(groups, "digest").where("doc_id > rep").select("doc_id", "rep")
 
 
-def ngram_links(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """Links (a, b) that join every component: each with the smallest member of a bucket, and those that it lacks."""
-    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+def ngram_links(docs: DataFrame, sizes: DataFrame, share: int = SHARE) -> DataFrame:
+    """Links (a, b) that join every component: of equal sets, of members with a bucket's smallest, and of other members."""
+    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    sizes = sizes.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    equal = written(copies(sizes), "join-copies")
     bucket = Window.partitionBy("sig")
-    stars = signature_rows(some, share).withColumn("c", F.min("doc_id").over(bucket)).where("c <> doc_id")
-    pairs = written(stars.select("c", F.col("doc_id").alias("x")).distinct(), "join-pairs")
-    named = pairs.select(F.col("c").alias("doc_id")).unionByName(pairs.select(F.col("x").alias("doc_id"))).distinct()
-    sets = written(shingle_sets(some.join(named, "doc_id", "left_semi")), "join-sets")
-    judged = written(compared(pairs, sets, share), "join-stars")
-    links = written(judged.where("link").select(F.col("c").alias("a"), F.col("x").alias("b")).unionByName(among_others(judged, sets, share)), "join-links")
-    for used in (pairs, sets, judged):
+    found = signature_rows(some, share).withColumn("c", F.min("doc_id").over(bucket)).where("c <> doc_id").select("c", F.col("doc_id").alias("x")).distinct()
+    first = lambda k: equal.select(F.col("doc_id").alias(k), F.col("rep").alias(f"{k}_rep"))
+    first_of = found.join(first("c"), "c", "left").join(first("x"), "x", "left").select(F.coalesce("c_rep", "c").alias("c"), F.coalesce("x_rep", "x").alias("x"))
+    pairs = written(first_of.where("c <> x").distinct(), "join-pairs")
+    freed(docs.sparkSession)
+    judged = written(near_pairs(pairs, sizes, share), "join-near")
+    near = judged.where("near").select("c", "x")
+    possible = written(possible_others(pairs, sizes, share), "join-possible")
+    named = near.select(F.col("c").alias("doc_id")).unionByName(near.select(F.col("x").alias("doc_id"))).unionByName(possible.select(F.col("x").alias("doc_id"))).distinct()
+    sets = written(shingle_sets(some.join(named.hint("merge"), "doc_id", "left_semi")), "join-sets")
+    freed(docs.sparkSession)
+    stars = written(compared(near, sets, share), "join-stars")
+    asked = possible.join(stars, ["c", "x"], "left").select("c", "block", "x", (F.col("ask") & ~F.coalesce("link", F.lit(False))).alias("ask"))
+    open_ = asked.groupBy("c", "block").agg(F.max("ask").alias("any")).where("any").select("c", "block")
+    others = among_others(asked.join(open_, ["c", "block"]), sets, share)
+    links = stars.where("link").select(F.col("c").alias("a"), F.col("x").alias("b")).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    out = written(links.unionByName(others), "join-links")
+    for used in (equal, pairs, judged, possible, sets, stars):
         dropped(used)
-    return links
+    return out
 
 
 def ngram_join(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -283,8 +373,8 @@ def ngram_join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     Columns other than doc_id and text are not read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = set_sizes(docs)
-    found = components(ngram_links(docs, share)).withColumnRenamed("node", "doc_id")
+    sizes = written(set_sizes(docs), "join-sizes")
+    found = components(ngram_links(docs, sizes, share)).withColumnRenamed("node", "doc_id")
     return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
