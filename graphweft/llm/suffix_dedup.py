@@ -21,8 +21,8 @@ from graphweft.llm.common import dropped, freed, table, written
 from graphweft.llm.ngram_join import id_type, mixed
 
 LENGTH, GRAM = 50, 16
-#: Bytes hashed at a time; bytes of pieces in a shard and in a part that is merged at once.
-BLOCK, SHARD, PART = 1 << 18, 1 << 15, 1 << 17
+#: Bytes hashed at a time; bytes of pieces that are sifted at once, in a shard and in a part that is merged at once.
+BLOCK, SIFTED, SHARD, PART = 1 << 18, 1 << 20, 1 << 15, 1 << 17
 U = np.uint64
 
 
@@ -35,16 +35,20 @@ class Anchors:
         self.base = 0xD6E8FEB86659FD93
         self.power, self.inverse = np.empty(0, U), np.empty(0, U)
 
+    def grow(self, n: int) -> None:
+        """Powers of the base and of its inverse for n bytes at least."""
+        if len(self.power) < n:
+            for name, b in (("power", self.base), ("inverse", pow(self.base, -1, 2**64))):
+                steps = np.full(n, U(b))
+                steps[0] = U(1)
+                setattr(self, name, np.multiply.accumulate(steps))
+
     def of(self, body: np.ndarray) -> tuple[np.ndarray, ...]:
         """For the pieces of one text: anchor's hash, piece's hash, start and end; an end is exclusive."""
         n = len(body)
         if n < LENGTH:
             return tuple(np.empty(0, t) for t in (U, U, np.int64, np.int64))
-        if len(self.power) <= n:
-            for name, b in (("power", self.base), ("inverse", pow(self.base, -1, 2**64))):
-                steps = np.full(n + 1, U(b))
-                steps[0] = U(1)
-                setattr(self, name, np.multiply.accumulate(steps))
+        self.grow(n + 1)
         run = np.concatenate([[U(0)], np.cumsum(self.value[body] * self.power[:n], dtype=U)])
         grams = mixed((run[GRAM:] - run[:-GRAM]) * self.inverse[: n - GRAM + 1], 21)
         reach = LENGTH - GRAM + 1
@@ -178,32 +182,75 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
 
 
+def may_repeat(anchors: np.ndarray, pieces: list[np.ndarray], owner: np.ndarray) -> np.ndarray:
+    """Which pieces can share a string of LENGTH bytes with a piece of another owner.
+
+    Such a string holds the anchor and LENGTH - GRAM bytes around it, so at least half of these lie on one side of it: both
+    pieces agree in the anchor with that many bytes before it, or with that many after it.
+    """
+    size = np.array([len(p) for p in pieces])
+    begin = np.cumsum(size) - size
+    body = np.concatenate(pieces)
+    hashes = Anchors()
+    hashes.grow(len(body) + 1)
+    run = np.concatenate([[U(0)], np.cumsum(hashes.value[body] * hashes.power[: len(body)], dtype=U)])
+    gram = mixed((run[GRAM:] - run[:-GRAM]) * hashes.inverse[: len(body) - GRAM + 1], 21)
+    of = np.repeat(np.arange(len(pieces)), size)[: len(gram)]
+    at = np.flatnonzero(gram == anchors[of])
+    which, first = np.unique(of[at], return_index=True)
+    at = at[first]  # where the anchor of each piece begins
+    half, out = (LENGTH - GRAM + 1) // 2, np.zeros(len(pieces), bool)
+    for low, high in ((at - half, at + GRAM), (at, at + GRAM + half)):
+        inside = np.flatnonzero((low >= begin[which]) & (high <= begin[which] + size[which]))
+        key = mixed((run[high[inside]] - run[low[inside]]) * hashes.inverse[low[inside]], 23)
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else np.empty(0, int)
+        if len(edges):
+            who = owner[which[inside]][order]
+            several = np.minimum.reduceat(who, edges) < np.maximum.reduceat(who, edges)
+            out[which[inside[order[np.repeat(several, np.diff(np.append(edges, len(order))))]]]] = True
+    return out
+
+
 def told_apart(pieces: DataFrame) -> DataFrame:
     """doc_id, start, end of strings that another piece with the same anchor and a smaller doc_id has.
 
     pieces: anchor, doc_id, start, body. All pieces of an anchor meet in one task, which takes whole anchors in turn until
-    a part is full.
+    a part is full. Most of them have nothing but their anchor in common; the others are merged, a part at a time.
     """
     kind = id_type(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
+        ready: list[tuple] = []
+
+        def sift() -> int:
+            """Moves the pieces that can repeat from held to ready; returns the bytes that are ready."""
+            owner = np.unique(np.array([h[1] for h in held]), return_inverse=True)[1]
+            some = may_repeat(np.array([h[0] for h in held], np.int64).view(U), [np.frombuffer(h[3], np.uint8) for h in held], owner)
+            ready.extend(held[i] for i in np.flatnonzero(some))
+            held.clear()
+            return sum(len(h[3]) + 1 for h in ready)
 
         def flush() -> pa.RecordBatch:
-            owner = np.array([h[0] for h in held])
-            of, place = earlier([np.frombuffer(h[2], np.uint8) for h in held], np.unique(owner, return_inverse=True)[1])
-            begin = np.array([h[1] for h in held])[of] + place
+            owner = np.array([h[1] for h in ready])
+            of, place = earlier([np.frombuffer(h[3], np.uint8) for h in ready], np.unique(owner, return_inverse=True)[1])
+            begin = np.array([h[2] for h in ready])[of] + place
+            ready.clear()
             return pa.RecordBatch.from_arrays([pa.array(owner[of]), pa.array(begin), pa.array(begin + LENGTH)], ["doc_id", "start", "end"])
 
         for b in batches:
             for anchor, doc, start, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > PART and anchor != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append((doc, start, body))
+                if size > SIFTED and anchor != last:
+                    if sift() > PART:
+                        yield flush()
+                    size = 0
+                held.append((anchor, doc, start, body))
                 size, last = size + len(body) + 1, anchor
         if held:
+            sift()
+        if ready:
             yield flush()
 
     rows = pieces.select("anchor", "doc_id", "start", "body").repartition("anchor").sortWithinPartitions("anchor")
