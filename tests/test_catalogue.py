@@ -1,6 +1,7 @@
 import pytest
 from parity import compare
 
+from graphweft.plans import ingest  # noqa: F401  adds its queries to the catalogue
 from graphweft.plans.catalogue import ORACLE_SQL, QUERIES
 
 
