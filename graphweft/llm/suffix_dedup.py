@@ -22,7 +22,7 @@ from graphweft.llm.ngram_join import id_type, mixed
 
 LENGTH, GRAM = 50, 16
 #: Bytes hashed at a time; bytes of pieces that are sifted at once, in a shard and in a part that is merged at once.
-BLOCK, SIFTED, SHARD, PART = 1 << 18, 1 << 20, 1 << 15, 1 << 17
+BLOCK, SIFTED, SHARD, PART = 1 << 18, 1 << 18, 1 << 15, 1 << 17
 U = np.uint64
 
 
@@ -134,12 +134,14 @@ def merge(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np
     neighbours part for the first time, their common prefix has the number of rounds before; two ends are never equal.
     """
     symbols = np.concatenate(transforms)
+    narrow = np.uint8 if symbols.max(initial=0) < 256 else np.uint16  # bytes of UTF-8 leave room for the end
+    symbols = symbols.astype(narrow)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     fixed = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
     total_ends, n = len(fixed), len(symbols)
     block = np.zeros(n, np.int32)
     for _ in range(depth):
-        now = np.empty(n, np.uint16)
+        now = np.empty(n, narrow)
         now[np.argsort(source, kind="stable")] = symbols
         order = np.argsort(now, kind="stable")
         source = np.concatenate([fixed, source[order[total_ends:]]])
@@ -182,24 +184,29 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
 
 
-def may_repeat(anchors: np.ndarray, pieces: list[np.ndarray], owner: np.ndarray) -> np.ndarray:
-    """Which pieces can share a string of LENGTH bytes with a piece of another owner.
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of some rows, and the size of each value."""
+    values = column.combine_chunks().cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def may_repeat(hashes: Anchors, anchors: np.ndarray, body: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which pieces, given one after the other, can share a string of LENGTH bytes with a piece of another owner.
 
     Such a string holds the anchor and LENGTH - GRAM bytes around it, so at least half of these lie on one side of it: both
     pieces agree in the anchor with that many bytes before it, or with that many after it.
     """
-    size = np.array([len(p) for p in pieces])
     begin = np.cumsum(size) - size
-    body = np.concatenate(pieces)
-    hashes = Anchors()
     hashes.grow(len(body) + 1)
     run = np.concatenate([[U(0)], np.cumsum(hashes.value[body] * hashes.power[: len(body)], dtype=U)])
     gram = mixed((run[GRAM:] - run[:-GRAM]) * hashes.inverse[: len(body) - GRAM + 1], 21)
-    of = np.repeat(np.arange(len(pieces)), size)[: len(gram)]
+    of = np.repeat(np.arange(len(size)), size)[: len(gram)]
     at = np.flatnonzero(gram == anchors[of])
     which, first = np.unique(of[at], return_index=True)
     at = at[first]  # where the anchor of each piece begins
-    half, out = (LENGTH - GRAM + 1) // 2, np.zeros(len(pieces), bool)
+    half, out = (LENGTH - GRAM + 1) // 2, np.zeros(len(size), bool)
     for low, high in ((at - half, at + GRAM), (at, at + GRAM + half)):
         inside = np.flatnonzero((low >= begin[which]) & (high <= begin[which] + size[which]))
         key = mixed((run[high[inside]] - run[low[inside]]) * hashes.inverse[low[inside]], 23)
@@ -220,38 +227,36 @@ def told_apart(pieces: DataFrame) -> DataFrame:
     """
     kind = id_type(pieces)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-        ready: list[tuple] = []
-
-        def sift() -> int:
-            """Moves the pieces that can repeat from held to ready; returns the bytes that are ready."""
-            owner = np.unique(np.array([h[1] for h in held]), return_inverse=True)[1]
-            some = may_repeat(np.array([h[0] for h in held], np.int64).view(U), [np.frombuffer(h[3], np.uint8) for h in held], owner)
-            ready.extend(held[i] for i in np.flatnonzero(some))
-            held.clear()
-            return sum(len(h[3]) + 1 for h in ready)
-
-        def flush() -> pa.RecordBatch:
-            owner = np.array([h[1] for h in ready])
-            of, place = earlier([np.frombuffer(h[3], np.uint8) for h in ready], np.unique(owner, return_inverse=True)[1])
-            begin = np.array([h[2] for h in ready])[of] + place
-            ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(owner[of]), pa.array(begin), pa.array(begin + LENGTH)], ["doc_id", "start", "end"])
+    def sifted(hashes: Anchors, rows: pa.Table) -> pa.Table:
+        owner = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)[1]
+        return rows.filter(pa.array(may_repeat(hashes, rows.column("anchor").to_numpy().view(U), *flat(rows.column("body")), owner)))
+
+    def merged(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column("doc_id").to_numpy()
+        of, place = earlier([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("body")], np.unique(ids, return_inverse=True)[1])
+        begin = rows.column("start").to_numpy()[of] + place
+        return pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(begin), pa.array(begin + LENGTH)], ["doc_id", "start", "end"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, ready, wanted = Anchors(), [], [], SIFTED
         for b in batches:
-            for anchor, doc, start, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > SIFTED and anchor != last:
-                    if sift() > PART:
-                        yield flush()
-                    size = 0
-                held.append((anchor, doc, start, body))
-                size, last = size + len(body) + 1, anchor
-        if held:
-            sift()
-        if ready:
-            yield flush()
+            held.append(b)
+            if sum(x.nbytes for x in held) < wanted:
+                continue
+            rows = pa.Table.from_batches(held)
+            anchors = rows.column("anchor").to_numpy()
+            last = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
+            wanted = SIFTED if last else 2 * wanted
+            if last:
+                ready.append(sifted(hashes, rows.slice(0, last)))
+                held = rows.slice(last).to_batches()
+            if sum(x.nbytes for x in ready) > PART:
+                yield merged(pa.concat_tables(ready))
+                ready = []
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            ready.append(sifted(hashes, rows))
+        if sum(x.num_rows for x in ready):
+            yield merged(pa.concat_tables(ready))
 
     rows = pieces.select("anchor", "doc_id", "start", "body").repartition("anchor").sortWithinPartitions("anchor")
     return rows.mapInArrow(run, f"doc_id {kind}, start long, end long")
