@@ -214,6 +214,58 @@ def test_chains_score_as_by_comparing_all_pairs():
     assert distance("a b c d".split(), "a x c".split()) == 2
 
 
+def brute_local(a, b):
+    """Stretches of 40 words and more by local alignment (match 1, edit -4), the best first, over all pairs of words."""
+    out = []
+    a, b = list(a), list(b)
+    while True:
+        score, best = [[(0, i, j) for j in range(len(b) + 1)] for i in range(len(a) + 1)], (0, 0, 0, 0, 0)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                up, left, corner = score[i - 1][j], score[i][j - 1], score[i - 1][j - 1]
+                s, x, y = max((up[0] - 4, *up[1:]), (left[0] - 4, *left[1:]), (corner[0] + (1 if a[i - 1] == b[j - 1] else -4), *corner[1:]))
+                score[i][j] = (s, x, y) if s > 0 else (0, i, j)
+                if s > best[0]:
+                    best = (s, x, i, y, j)
+        _, x0, x1, y0, y1 = best
+        if x1 - x0 < 40:
+            return out
+        out.append((x0, x1, y0, y1))
+        a[x0:x1], b[y0:y1] = [f"-{k}" for k in range(x1 - x0)], [f"={k}" for k in range(y1 - y0)]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, u in enumerate(a, 1):
+        corner, row[0] = row[0], i
+        for j, v in enumerate(b, 1):
+            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (u != v))
+    return row[-1]
+
+
+def test_fuzzy_passages_of_one_pair_are_cut_and_grown(spark):
+    first, second = (prose(50 + k, 60).split() for k in range(2))
+    texts, own = {}, lambda k, n: [f"q{k}x{w}" for w in range(n)]
+    for k, (left, right) in enumerate([(40, 40), (120, 100), (0, 90), (200, 31)]):
+        texts[2 * k] = [*own(8 * k, 5), *first, *own(8 * k + 1, left), *second, *own(8 * k + 2, 20)]
+        texts[2 * k + 1] = [*own(8 * k + 3, 9), *first, *own(8 * k + 4, right), *second, *own(8 * k + 5, 7)]
+    texts = {k: [f"{w}y{k // 2}" if not w.startswith("q") else w for w in t] for k, t in texts.items()}  # pairs share no words
+    edited = [f"{w}y9" for w in prose(60, 44).split()]
+    changed = list(edited)
+    changed[3], changed[40], changed[22:23] = "other", "another", []
+    texts[8], texts[9] = [*own(90, 30), *edited, *own(91, 30)], [*own(92, 12), *changed, *own(93, 50)]
+    rows = fuzzy_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")).collect()
+    for k in range(0, 10, 2):
+        got = [tuple(r[c] for c in ("start", "end", "partner_start", "partner_end", "alike")) for r in rows if (r["doc_id"], r["partner_id"]) == (k + 1, k)]
+        for x0, x1, y0, y1, alike in got:
+            edits = plain_distance(texts[k + 1][x0:x1], texts[k][y0:y1])
+            assert x1 - x0 >= 40 and alike >= 0.8 and abs(alike - (1 - edits / max(x1 - x0, y1 - y0))) < 1e-9
+        want = brute_local(texts[k + 1], texts[k])
+        assert len(got) == (2 if k < 8 else 1) and all(any(g[0] <= w[0] and w[1] <= g[1] and g[2] <= w[2] and w[3] <= g[3] for g in got) for w in want)
+        assert k == 8 or sorted(g[:4] for g in got) == sorted(want)
+    assert [(r["start"], r["end"], r["partner_start"], r["partner_end"]) for r in rows if r["doc_id"] == 9] == [(12, 55, 30, 74)]
+
+
 def test_quality_rules(docs):
     for r in quality_rules(docs).collect():
         text = dict((i, t) for i, t in odd_texts() if i is not None).get(r["doc_id"])
