@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graphweft.llm.common import table, written
+from graphweft.llm.common import table, words, written
 from graphweft.llm.exact_dedup import exact_dedup
 from graphweft.llm.ngram_join import ngram_join
 from graphweft.llm.quality_rules import quality_rules
 from graphweft.llm.sentencepiece_codec import VOCABULARY, Codec, encoded
-from graphweft.llm.source_mix import source_mix
+from graphweft.llm.source_mix import copies, source_mix
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,9 +41,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mixture (op 3) takes its words, rounded: not at all to three times."""
-    times = source_mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
-    return docs.select(*COLUMNS).join(times.where("times > 0"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    """A document comes as often as the mixture (op 3) takes its words, in whole copies: not at all to three times.
+
+    What is left of a copy is carried on to documents of like size, so each source keeps its words. Every row counts by
+    itself, those without doc_id or with a repeated one too: rows and copies are matched by id, source, size and place.
+    """
+    key = F.struct("doc_id", "source", "size").alias("key")  # structs are equal where both have null
+    place = lambda *order: F.row_number().over(Window.partitionBy("key").orderBy(*order)).alias("place")
+    times = copies(source_mix(docs)).select(key, "times").select("key", "times", place("times"))
+    sized = docs.select(*COLUMNS, F.size(words(F.col("text"))).cast("long").alias("size")).select(*COLUMNS, key)
+    listed = sized.select(*COLUMNS, "key", place(F.xxhash64("text"), "text", "lang", "n_chars"))
+    return listed.join(times.where("times > 0"), ["key", "place"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

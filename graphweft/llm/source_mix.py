@@ -169,6 +169,28 @@ def source_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
     return taken.unionByName(none).join(F.broadcast(dim), "s").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def copies(mix: DataFrame, seed: int = 11) -> DataFrame:
+    """doc_id, source, size and times, the whole copies of each row of source_mix() that has taken words.
+
+    The whole part of taken / size is given; what remains of it is summed along the documents of a source in order of
+    size, and a document gets one more copy where the sum passes a whole number. Neighbours are of nearly one size, so
+    the words of a source differ from the taken ones by about one document, whatever the lengths; the place at which the
+    sum begins is drawn per source, so each document comes taken / size times on average. Sums are whole numbers, in two
+    levels as in placed(): classes of sizes that differ by one in a hundred, dealt into stretches by hash.
+    """
+    unit = 1 << 30
+    rest = F.expr(f"(taken % size) * {unit} div size")
+    some = mix.where("taken > 0").select("doc_id", "source", "size", "taken", rest.alias("rest"), F.struct("source", F.floor(F.log2("size") * 64).alias("class")).alias("g"), F.xxhash64("doc_id", "size").alias("h"))
+    counts = some.groupBy("g").agg(F.ceil(F.count("*") / STRETCH).alias("stretches"))
+    dealt = some.join(F.broadcast(counts), "g").withColumn("stretch", F.pmod("h", "stretches"))
+    before = F.sum("total").over(Window.partitionBy("g.source").orderBy("g.class", "stretch")) - F.col("total")
+    sums = dealt.groupBy("g", "stretch").agg(F.sum("rest").alias("total")).select("g", "stretch", before.alias("before"))
+    inner = Window.partitionBy("g", "stretch").orderBy("h", "doc_id", "size", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.withColumn("run", F.sum("rest").over(inner)).join(sums, ["g", "stretch"])
+    upto = run.withColumn("upto", F.col("before") + F.col("run") + F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(unit)))
+    return upto.select("doc_id", "source", "size", F.expr(f"taken div size + upto div {unit} - (upto - rest) div {unit}").cast("int").alias("times"))
+
+
 def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """The mixture itself: shard, slot, source, and the words of the block in that slot."""
     listed = docs.select("doc_id", "source", words(F.col("text")).alias("w"))

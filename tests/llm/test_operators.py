@@ -355,3 +355,23 @@ def test_pipeline(spark):
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]) for r in frame.dropDuplicates(["doc_id"]).collect()]
     assert len(texts) == len(set(texts)) > 100
     assert p.run(spark, d).count() == frame.count()
+
+
+def test_mixture_keeps_the_words_of_each_source(spark):
+    """Long and short documents of sources that are taken 1.9, 0.75 and 0.4 times; before, long ones of the last vanished."""
+    import corpus_pipeline as p
+
+    sizes = [40 * 64, 1000, 300, 30, *range(400, 420)]
+    rows = [(1000 * k + i, "w " * sizes[i % len(sizes)], "a", s, 1) for k, s in enumerate(["s0", "s1", None]) for i in range(240)]
+    rows += [(None, "none " * 700, "a", "s0", 1), (7, "w " * 500, "a", "s0", 1), (7, "v " * 500, "a", "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    target = {r["source"]: r["target"] for r in source_mix(docs).select("source", "target").distinct().collect()}
+    out = p.mixture(spark, docs, "").collect()
+    assert len(target) == 3
+    for source, want in target.items():
+        got = [len(r["text"].split()) for r in out if r["source"] == source]
+        assert abs(sum(got) - want) <= 64 + 2 * max(sizes), (source, want, sum(got))
+        long, all_ = sum(g == 2560 for g in got), sum(r[3] == source and len(r[1].split()) == 2560 for r in rows)
+        assert abs(long - all_ * want / sum(len(r[1].split()) for r in rows if r[3] == source)) <= 2
+    assert 1 <= sum(r["doc_id"] is None for r in out) <= 2 and {r["text"][0] for r in out if r["doc_id"] == 7} >= {"w", "v"}
+    assert sorted(map(repr, p.mixture(spark, docs, "").collect())) == sorted(map(repr, out))
