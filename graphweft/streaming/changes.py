@@ -50,14 +50,23 @@ def applied(changes: DataFrame, rows: DataFrame, extract) -> DataFrame:
 
     Each batch makes a new version beside the old one, so a batch that is run again after a failure gives the same rows:
     a version is named by its batch and built from the one before it. extract(paths) gives the rows of changed paths anew.
+    Beside each version stands the newest (ts, seq) of every path seen so far, deleted ones too, and a change that is not
+    newer is left out, so the rows don't depend on how or in which order the changes were dealt into batches.
     """
     spark = changes.sparkSession
     folder = f"{shared_folder(spark)}/graphweft/versions-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/v0")
+    newest = F.max(F.struct("ts", "seq")).alias("newest")
+    changes_schema = changes.select("path", F.struct("ts", "seq").alias("newest")).schema
+    spark.createDataFrame([], changes_schema).write.parquet(f"{folder}/seen0")
     done = [0]
 
     def apply(batch: DataFrame, n: int) -> None:
-        last = latest(batch)
+        seen = spark.read.schema(changes_schema).parquet(f"{folder}/seen{n}")
+        came = batch.groupBy("path").agg(newest)
+        fresh = came.join(seen.withColumnRenamed("newest", "known"), "path", "left").where("known IS NULL OR newest > known").select("path")
+        last = latest(batch).join(fresh, "path", "left_semi")
+        seen.unionByName(came).groupBy("path").agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{folder}/seen{n + 1}")
         before = spark.read.schema(rows.schema).parquet(f"{folder}/v{n}")
         apply_changes(before, last, extract(last)).write.mode("overwrite").parquet(f"{folder}/v{n + 1}")
         done[0] = n + 1

@@ -8,7 +8,7 @@ from graphweft.operators import extract, topo
 from graphweft.operators.graph import Graph
 from graphweft.operators.traverse import depth_of, impact_class, traverse
 from graphweft.sources import files, sinks
-from graphweft.streaming.changes import debounced
+from graphweft.streaming.changes import applied, change_stream, debounced
 
 MODULE = """
 // @NgModule({declarations: [Gone]})
@@ -125,3 +125,22 @@ def test_debounce(spark):
 
 def test_cursors():
     assert X.skip_of(X.cursor(40)) == 40 and [X.skip_of(x) for x in (None, "", "garbage", X.cursor(-5))] == [0, 0, 0, 0]
+
+
+def test_changes_out_of_order_over_batches(spark, tmp_path):
+    """One file a batch; older changes come after newer ones, also after a deletion."""
+    import os
+
+    batches = [[("a", "deleted", 5, 1), ("b", "modified", 5, 2)], [("a", "modified", 3, 3), ("b", "deleted", 5, 1)], [("c", "added", 1, 4), ("d", "deleted", 2, 5)], [("d", "added", 2, 6), ("c", "deleted", 0, 7)]]
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "path string, kind string, ts int, seq int").coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        (part,) = (tmp_path / f"w{k}").glob("*.parquet")
+        part.rename(landing / f"f{k}.parquet")
+        os.utime(landing / f"f{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    old = spark.createDataFrame([(p, "old") for p in "abde"], "path string, content string")
+    extract_ = lambda last: last.select("path", F.lit("new").alias("content"))
+    for files in (1, 100):
+        out = applied(change_stream(spark, str(landing), "path string, kind string, ts int, seq int", files), old, extract_)
+        assert sorted(map(tuple, out.collect())) == [("b", "new"), ("c", "new"), ("d", "new"), ("e", "old")]
