@@ -23,10 +23,18 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs with the signs of padding that end them; any other = parts two runs. A candidate has `LEAST` characters with them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+LEAST = 20
+#: Parts of a run that no alphabet covers: without signs of plain base64, without those of its URL-safe form, without both.
+URL_SAFE, PLAIN, BARE = (rf"[A-Za-z0-9{signs}]{{14,}}+=*+" for signs in ("_-", "+/", ""))
+#: A folder's name in a run, which a random string has with odds of about one in a thousand.
+FOLDER = r"(^|/)[A-Za-z]?[a-z]{2,}/"
+FOLDERS = r"^/?([A-Za-z]?[a-z]{2,}/)+"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: p-values fall in bins of 1/20 on the scale of -ln p, the last one open.
@@ -58,17 +66,44 @@ def base_spans(text: Column) -> Column:
 
 
 def encoding(part: Column) -> Column:
-    """The narrowest encoding whose alphabet covers the string and of whose kinds of characters it has some; else null."""
+    """The narrowest encoding whose alphabet covers the string and of whose kinds of characters it has some; else null.
+
+    Hex may be parted by dashes; hex, base32 and base36 come in capitals or small letters, but not in both.
+    """
     bare = F.rtrim(part, F.lit("="))
     has = lambda p: bare.rlike(p)
     mixed = has("[0-9]") & has("[A-Za-z]")
     return (
-        F.when(mixed & (has("^[0-9a-f]+$") | has("^[0-9A-F]+$")), "hex")
-        .when(mixed & has("^[A-Z2-7]+$"), "base32")
-        .when(mixed & has("[a-z]") & has("[A-Z]") & (has("^[A-Za-z0-9+/]+$") | has("^[A-Za-z0-9_-]+$")), "base64")
+        F.when(mixed & has("^([0-9a-f]+(-[0-9a-f]+)*|[0-9A-F]+(-[0-9A-F]+)*)$"), "hex")
+        .when(mixed & has("^([A-Z2-7]+|[a-z2-7]+)$"), "base32")
+        .when(mixed & has("^([A-Z0-9]+|[a-z0-9]+)$"), "base36")
+        .when(mixed & has("[a-z]") & has("[A-Z]") & has("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"), "base64")
     )
 
 
+def pieces(run: Column) -> Column:
+    """The candidates of one run, with their encodings: the run itself, or parts of it between signs of other alphabets.
+
+    A run that no alphabet covers, or that has a folder's name in it, is cut at / and + into URL-safe strings and at
+    - and _ into plain ones without folders before them (these first if it has a +), then at all four; a later cut adds what no earlier one has taken.
+    """
+    named = lambda found: F.filter(F.transform(F.filter(found, lambda m: F.length(m["part"]) >= LEAST), lambda m: m.withField("encoding", encoding(m["part"]))), lambda m: m["encoding"].isNotNull())
+
+    def parts(pattern: str) -> Column:
+        bare = lambda m: F.regexp_replace(m["part"], FOLDERS, "")
+        moved = lambda m: F.struct((m["end"] - F.length(bare(m)) + run["start"]).alias("start"), m["kind"].alias("kind"), (m["end"] + run["start"]).alias("end"), bare(m).alias("part"))
+        return named(F.transform(matches(run["part"], pattern, "random"), moved))
+
+    def more(taken: Column, others: Column) -> Column:
+        return once(taken, lambda t: F.concat(t, F.filter(others, lambda m: ~F.exists(t, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
+
+    plus = F.contains(run["part"], F.lit("+"))
+    ordered = lambda s: F.when(plus, F.struct(s["p"].alias("a"), s["u"].alias("b"))).otherwise(F.struct(s["u"].alias("a"), s["p"].alias("b")))
+    split = once(once(F.struct(parts(URL_SAFE).alias("u"), parts(PLAIN).alias("p")), ordered), lambda s: more(s["a"], s["b"]))
+    whole = once(encoding(run["part"]), lambda e: F.when(e.isNotNull() & ~run["part"].rlike(FOLDER), F.array(run.withField("encoding", e))).otherwise(more(split, parts(BARE))))
+    return F.filter(whole, lambda m: F.length(m["part"]) >= LEAST)
+
+
 def two_sided(z: Column) -> Column:
     """Probability that a normal deviate exceeds |z| in size; a polynomial of absolute error below 2e-7."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
@@ -83,8 +118,8 @@ def random_p(part: Column, kind: Column) -> Column:
     Chi-squared over eight equal stretches of the alphabet (Wilson and Hilferty's normal form), runs above and below its
     middle, and serial correlation of neighbours, each against its exact mean and variance under uniform draws.
     """
-    bare = F.translate(F.rtrim(part, F.lit("=")), "_-", "/+")
-    bare = F.when(kind == "hex", F.lower(bare)).otherwise(bare)
+    bare = F.rtrim(part, F.lit("="))
+    bare = F.when(kind == "hex", F.lower(F.translate(bare, "-", ""))).when(kind == "base32", F.upper(bare)).when(kind == "base36", F.lower(bare)).otherwise(F.translate(bare, "_-", "/+"))
     alphabet = reduce(lambda a, k: a.when(kind == k, F.lit(ALPHABETS[k])), ALPHABETS, F.when(F.lit(False), F.lit("")))
 
     def tests(s: Column) -> Column:
@@ -112,8 +147,7 @@ def random_p(part: Column, kind: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """Strings of 20 or more characters in a recognised encoding that touch no base span, with stratum and bin."""
-    free = F.filter(matches(text, CANDIDATE, "random"), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    known = F.filter(F.transform(free, lambda m: m.withField("encoding", encoding(m["part"]))), lambda m: m["encoding"].isNotNull())
+    known = F.filter(F.flatten(F.transform(matches(text, CANDIDATE, "random"), pieces)), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
     def scored(m: Column) -> Column:
         depth = F.least(F.floor(-F.log(F.greatest(random_p(m["part"], m["encoding"]), F.lit(1e-30))) * PER_UNIT), F.lit(BINS))
@@ -127,7 +161,7 @@ def cutoffs(found: DataFrame, rate: float) -> dict[str, int]:
     """Benjamini and Hochberg's step-up within each stratum of encoding and length band: the first bin that is rejected.
 
     A stratum is an encoding at similar lengths, as a short string has little power and would else borrow that of long
-    ones. The result has at most 3 * 41 entries whatever the input.
+    ones. The result has at most 4 * 41 entries whatever the input.
     """
     counts = found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("stratum").orderBy(F.col("bin").desc())

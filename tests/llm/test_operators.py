@@ -290,6 +290,24 @@ def test_secret_scan(docs):
         assert kinds == ([0, 1, 2] if r["doc_id"] == 13 else [])
 
 
+def test_secret_scan_finds_random_strings_in_context(spark):
+    rng, plain = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n, signs=plain: "aB3" + "".join(rng.choice(signs) for _ in range(n - 3))
+    url, std = token(20, plain) + "_-" + token(20, plain), token(20, plain) + "+/" + token(20, plain)
+    small = "q7" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(38)) + "z0"
+    ident = "1e2feb89-414c-443c-9027-c4d1c386bbc4"
+    cases = [
+        ("sig=", token(40), ""), ("AWS_KEY=", std + "==", " x"), ("see https://a.example/x?auth=", url, "&b=1"), ("/var/lib/data/", url, ""),
+        ("file_name/", std, ""), ("my_file/", url, "."), ("id ", ident, ","), ("id=", ident.upper(), ""), ("key ", small, ""),
+        ("a/b/", small, "/c"), ("usr/share/some/long/folder/name/", token(40), ""), ("é日 x=", token(30), "=="), ("n ", token(18) + "==", ""),
+    ]
+    rows = [(i, a + b + c) for i, (a, b, c) in enumerate(cases)]
+    for r in secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string"), rate=0.0).collect():  # none is rejected by chance
+        a, b, c = cases[r["doc_id"]]
+        end = len(a + b) + (2 if c == "==" else 0)
+        assert [(s["start"], s["kind"], s["end"]) for s in r["spans"]] == [(len(a), 3, end)], cases[r["doc_id"]]
+
+
 def test_language_id(spark):
     rows = [(i, prose(i, 60) if i % 2 else prose(i, 60).translate(str.maketrans("aeioustrnl", "bcdfghjkmp")), "ab"[i % 2], "s") for i in range(160)]
     rows += [(900, None, "a", None), (901, "12 34 !", "b", None), (902, "", None, None), (None, "abc", None, None)]
