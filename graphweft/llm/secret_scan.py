@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed patterns, and strings that pass a battery of randomness tests.
 
 Everything is an array expression over one row, so the texts are read once and never shuffled; only the p-values of
-candidate strings are counted per stratum, in bins of a fixed number.
+candidate strings are counted per stratum, in bins of a fixed number. False-discovery control bounds the share of reported
+strings that are not random, per encoding and length.
 """
 
 from __future__ import annotations
@@ -37,8 +38,34 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: p-values fall in bins of 1/20 on the scale of -ln p, the last one open.
-BINS, PER_UNIT = 800, 20
+#: Five classes of signs an alphabet, by how common letters are in written words, whose letters are far from
+#: uniform over them. The chi-squared test has four degrees of freedom then, and its probability a closed form.
+CLASSES = {
+    "hex": ("0123", "456", "789", "ace", "bdf"),
+    "base32": ("ETAOINSR", "HLDCUMPGF", "WYBVK", "JXQZ", "234567"),
+    "base36": ("etaoinsr", "hldcumpgf", "wybvkjxqz", "01234", "56789"),
+    "base64": ("etaoinsr", "hldcumpgf", "wybvkjxqz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789+/"),
+}
+#: p-values fall in bins of 1/20 on the scale of -ln p, the last one open. Bins below HALF hold p-values above about one
+#: half; those from MISSED on, p-values below 0.02, are never reported, which misses one random string of fifty.
+BINS, PER_UNIT, HALF, MISSED = 800, 20, 14, 78
+
+
+def starts(pieces: Column, found: Column) -> Column:
+    """Where each match begins: the lengths of all pieces and matches before it.
+
+    Sums up to every 64th match are taken first, then those of the few in between, so a text with very many matches costs
+    little more than one pass for each 64 of them.
+    """
+    lengths = F.zip_with(pieces, found, lambda p, m: F.coalesce(F.length(p), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda u, x: u + x)
+
+    def placed(n: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 64).cast("int")), lambda k: total(F.slice(n, F.lit(1), k * 64)))
+        inner = lambda u, i: F.get(u, F.floor(i / 64).cast("int")) + total(F.slice(n, F.floor(i / 64).cast("int") * 64 + 1, i % 64)) + F.length(F.get(pieces, i))
+        return once(sums, lambda u: F.transform(found, lambda m, i: inner(u, i)))
+
+    return once(lengths, placed)
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
@@ -46,16 +73,12 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
 
     The pieces between the matches and the matches themselves alternate, so their lengths give the places.
     """
-    total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-
-    def placed(found: Column, pieces: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            start = total(pieces, i + 1) + total(found, i)
-            return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(m)).alias("end"), m.alias("part"))
 
-        return F.transform(found, one)
+    def placed(s: Column) -> Column:
+        one = lambda m, at: F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + F.length(m)).alias("end"), m.alias("part"))
+        return F.zip_with(s["f"], starts(s["p"], s["f"]), one)
 
-    some = once(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"), F.split(text, pattern, -1).alias("p")), lambda s: placed(s["f"], s["p"]))
+    some = once(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"), F.split(text, pattern, -1).alias("p")), placed)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,part:string>>")
     return F.when(text.rlike(pattern), some).otherwise(none)
 
@@ -113,23 +136,27 @@ def two_sided(z: Column) -> Column:
 
 
 def random_p(part: Column, kind: Column) -> Column:
-    """Fisher's combination of the battery for one string: small if it is unlikely as a uniform draw from its alphabet.
+    """Fisher's combination of the battery for one string: uniform on 0 to 1 if it is a uniform draw from its alphabet.
 
-    Chi-squared over eight equal stretches of the alphabet (Wilson and Hilferty's normal form), runs above and below its
-    middle, and serial correlation of neighbours, each against its exact mean and variance under uniform draws.
+    Chi-squared over the alphabet's classes against their shares, runs above and below the alphabet's middle, and serial
+    correlation of neighbours less what the runs say of it already, so the three are independent but for rounding.
     """
     bare = F.rtrim(part, F.lit("="))
     bare = F.when(kind == "hex", F.lower(F.translate(bare, "-", ""))).when(kind == "base32", F.upper(bare)).when(kind == "base36", F.lower(bare)).otherwise(F.translate(bare, "_-", "/+"))
-    alphabet = reduce(lambda a, k: a.when(kind == k, F.lit(ALPHABETS[k])), ALPHABETS, F.when(F.lit(False), F.lit("")))
+    by_kind = lambda value: reduce(lambda a, k: a.when(kind == k, value(k)), list(ALPHABETS)[1:], F.when(kind == "hex", value("hex")))
+    alphabet = by_kind(lambda k: F.lit(ALPHABETS[k]))
+
+    def in_class(bare: Column, c: int) -> tuple[Column, Column]:
+        """How many signs of the string are in class c of its alphabet, and how many would be."""
+        signs = by_kind(lambda k: F.lit(CLASSES[k][c]))
+        share = by_kind(lambda k: F.lit(len(CLASSES[k][c]) / len(ALPHABETS[k])))
+        return F.length(bare) - F.length(F.call_function("translate", bare, signs, F.lit(""))), share * F.length(bare)
 
     def tests(s: Column) -> Column:
         xs, a = s["xs"], s["a"].cast("double")
         n = F.size(xs).cast("double")
-        counts = [F.size(F.filter(xs, lambda x, b=b: F.floor(x * 8 / a) == b)) for b in range(8)]
-        chi = reduce(lambda u, v: u + v, ((c - n / 8) * (c - n / 8) / (n / 8) for c in counts))
-        cube = 2 / (9 * F.lit(7.0))
-        z_chi = (F.pow(chi / 7, F.lit(1 / 3)) - (1 - cube)) / F.sqrt(cube)
-        p_chi = F.when(z_chi > 0, two_sided(z_chi) / 2).otherwise(1 - two_sided(z_chi) / 2)
+        chi = reduce(lambda u, v: u + v, ((seen - due) * (seen - due) / due for seen, due in (in_class(s["bare"], c) for c in range(5))))
+        p_chi = F.exp(-chi / 2) * (1 + chi / 2)
         nexts = F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
         both = F.zip_with(F.slice(xs, F.lit(1), F.size(nexts)), nexts, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         changes = F.size(F.filter(both, lambda t: (t["x"] * 2 < a) != (t["y"] * 2 < a)))
@@ -137,12 +164,16 @@ def random_p(part: Column, kind: Column) -> Column:
         middle = (a - 1) / 2
         product = F.aggregate(both, F.lit(0.0), lambda u, t: u + (t["x"] - middle) * (t["y"] - middle))
         z_serial = product / ((a * a - 1) / 12 * F.sqrt(n - 1))
-        half = -(F.log(p_chi) + F.log(two_sided(z_runs)) + F.log(two_sided(z_serial)))
+        rho = 0.75 * a * a / (a * a - 1)  # how far neighbours on one side of the middle make up the correlation
+        z_rest = (z_serial + rho * z_runs) / F.sqrt(1 - rho * rho)
+        half = -(F.log(F.greatest(p_chi, F.lit(1e-300))) + F.log(two_sided(z_runs)) + F.log(two_sided(z_rest)))
         return F.exp(-half) * (1 + half + half * half / 2)
 
-    chars = F.filter(F.split(bare, ""), lambda c: c != "")
-    values = F.transform(chars, lambda c: F.instr(alphabet, c) - 1)
-    return once(F.struct(values.alias("xs"), F.length(alphabet).alias("a")), tests)
+    def values(bare: Column) -> Column:
+        chars = F.filter(F.split(bare, ""), lambda c: c != "")
+        return F.struct(bare.alias("bare"), F.transform(chars, lambda c: F.instr(alphabet, c) - 1).alias("xs"), F.length(alphabet).alias("a"))
+
+    return once(once(bare, values), tests)
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -158,16 +189,21 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def cutoffs(found: DataFrame, rate: float) -> dict[str, int]:
-    """Benjamini and Hochberg's step-up within each stratum of encoding and length band: the first bin that is rejected.
+    """Per stratum of encoding and length band the first bin that is not reported, so that about `rate` of the reported
+    strings at most are no random ones.
 
-    A stratum is an encoding at similar lengths, as a short string has little power and would else borrow that of long
-    ones. The result has at most 4 * 41 entries whatever the input.
+    p-values of random strings are uniform, those of others lie near 0, so the strings above one half tell how many random
+    ones each further bin holds; what it holds beyond is false. The lowest p-value is taken at which the false ones are
+    `rate` of those reported, or no more than chance adds to as many random strings. Strata are narrow in length, as a
+    short string is told from a random one with less power. At most 4 * 41 entries come to the driver, whatever the input.
     """
-    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count("*").alias("n"))
-    down = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
-    ranked = counts.select("stratum", "bin", F.sum("n").over(down).alias("k"), F.sum("n").over(Window.partitionBy("stratum")).alias("m"))
-    passed = ranked.where(F.exp(-F.col("bin") / PER_UNIT) * F.col("m") <= rate * F.col("k"))
-    return {r["stratum"]: r["bin"] for r in passed.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count("*").alias("n")).where(F.col("bin") < MISSED)
+    up = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    high = F.sum(F.when(F.col("bin") < HALF, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
+    upto = counts.select("stratum", "bin", F.sum("n").over(up).alias("reported"), high.alias("high"))
+    random = F.col("high") * (1 - F.exp(-(F.col("bin") + 1) / PER_UNIT)) / (1 - F.exp(F.lit(-HALF / PER_UNIT)))
+    held = upto.where(F.col("reported") - random <= rate * F.col("reported") + 2 * F.sqrt("reported"))
+    return {r["stratum"]: r["bin"] + 1 for r in held.groupBy("stratum").agg(F.max("bin").alias("bin")).collect()}
 
 
 def joined(spans: Column) -> Column:
@@ -176,7 +212,7 @@ def joined(spans: Column) -> Column:
 
 
 def secret_scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """doc_id, base spans, and all spans with the strings that the battery does not reject as random at FDR `rate`.
+    """doc_id, base spans, and all spans with the strings that the battery takes for random, about `rate` of them falsely.
 
     Null text counts as empty, so it has no span. Repeated rows are scanned alike; other columns are not read. Spans are
     sorted by start, then kind. With no candidate at all, base spans alone are returned.
@@ -185,8 +221,8 @@ def secret_scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     based = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
     found = written(based.select("doc_id", F.transform("base", lambda b: F.struct(b["start"], b["kind"], b["end"])).alias("base"), candidates(F.col("text"), F.col("base")).alias("candidates")), "secret-candidates")
     limit = cutoffs(found, rate)
-    rejected_from = lambda c: F.coalesce(F.create_map(*(F.lit(x) for kv in limit.items() for x in kv))[c["stratum"]] if limit else F.lit(None), F.lit(BINS + 1))
-    kept = F.transform(F.filter("candidates", lambda c: c["bin"] < rejected_from(c)), lambda c: F.struct(c["start"], c["kind"], c["end"]))
+    below = lambda c: F.coalesce(F.create_map(*(F.lit(x) for kv in limit.items() for x in kv))[c["stratum"]] if limit else F.lit(None), F.lit(0))
+    kept = F.transform(F.filter("candidates", lambda c: c["bin"] < below(c)), lambda c: F.struct(c["start"], c["kind"], c["end"]))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", kept)).alias("spans"))
 
 
