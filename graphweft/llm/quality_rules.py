@@ -23,6 +23,14 @@ WINDOW = 8
 #: no symbol, repeated line or repeated window at all, so their own spread can be nil.
 VECTOR = {"x_length": 0.05, "x_symbols": 0.06, "x_lines": 0.12, "x_repeats": 0.10, "x_capitals": 0.06}
 
+#: Part of a group that its estimate is made from, the factor that makes up for the scatter which the nearest three
+#: quarters of a normal sample in five dimensions lack, and the steps after the two that choose among the starts.
+PART, CONSISTENT, STEPS = 0.75, 1.6, 6
+#: The squared distance that a normal vector of five statistics passes once in ten thousand documents (chi-squared).
+CUTOFF = 25.74
+#: Groups whose estimates may be broadcast (some 15 MB), and tasks that a group is dealt over beyond that.
+BROADCAST, SALTS = 50_000, 64
+
 
 def base_statistics(text: Column) -> dict[str, Column]:
     """Counts of one text by array functions; null counts as empty."""
@@ -86,7 +94,10 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def whitening(moments: DataFrame, xs: list[str], scale: Column) -> DataFrame:
-    """Per group the centre and the inverse Cholesky factor of its scatter, from sums; the algebra is unrolled."""
+    """Per group the centre, the inverse Cholesky factor of its scatter and the logarithm of its determinant, from sums.
+
+    The algebra is unrolled. The floors of VECTOR are added to the diagonal, so the scatter is never singular.
+    """
     n = F.greatest(F.col("n"), F.lit(1))
     df = moments.select("g", *((F.col(f"s_{x}") / n).alias(f"m_{x}") for x in xs), *(F.col(f"q_{i}_{j}") for i in range(len(xs)) for j in range(i + 1)), n.alias("n"))
     for i, x in enumerate(xs):
@@ -95,7 +106,8 @@ def whitening(moments: DataFrame, xs: list[str], scale: Column) -> DataFrame:
             value = scale * cov + (F.lit(VECTOR[x] ** 2) if i == j else F.lit(0.0))
             value = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), value)
             df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return df.select("g", *(f"m_{x}" for x in xs), *(f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)))
+    det = reduce(lambda a, b: a + b, (2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(xs))))
+    return df.select("g", *(f"m_{x}" for x in xs), *(f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)), det.alias("log_det"))
 
 
 def distance(xs: list[str]) -> Column:
@@ -120,34 +132,73 @@ def nearest(placed: DataFrame, part: float) -> DataFrame:
     return run.where(F.col("upto") >= F.ceil(part * F.col("all"))).groupBy("g").agg((F.exp((F.min("bin") + 1) / 32) - 1e-6).alias("reach"))
 
 
-def robust_distances(rows: DataFrame, part: float = 0.75, steps: int = 3) -> DataFrame:
+def beside(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """rows joined with the estimate of their group, of which there is one row each.
+
+    Up to BROADCAST rows, some 300 bytes each, it is broadcast; a larger one is joined by salted keys, each group dealt
+    over SALTS tasks, so a group with a third of all rows is spread either way.
+    """
+    if estimate.limit(BROADCAST + 1).count() <= BROADCAST:
+        return rows.join(F.broadcast(estimate), "g")
+    salted = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted.hint("merge"), ["g", "salt"]).drop("salt")
+
+
+def starts(rows: DataFrame, xs: list[str]) -> DataFrame:
+    """Per group and start k a first centre and scatter: medians with the floors, medians with the statistics' own median
+    deviations, and means with the classical scatter; g becomes the pair of both."""
+    middle = written(rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in xs)), "quality-middle")
+    spread = beside(rows, middle).groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"a_{x}") for x in xs))
+    named = lambda k, df: df.withColumn("g", F.struct(F.col("g").alias("g"), F.lit(k).alias("k")))
+    low = [(i, j) for i in range(len(xs)) for j in range(i + 1)]
+    diagonal = lambda scale: [(scale(x) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in low for x in (xs[i],)]
+    both = middle.join(spread, "g")
+    floors = both.select("g", *(f"m_{x}" for x in xs), *diagonal(lambda x: F.lit(VECTOR[x])))
+    own = both.select("g", *(f"m_{x}" for x in xs), *diagonal(lambda x: F.sqrt(F.pow(1.4826 * F.col(f"a_{x}"), F.lit(2.0)) + VECTOR[x] ** 2)))
+    plain = whitening(sums(rows, xs), xs, F.lit(1.0)).drop("log_det")
+    return named(0, floors).unionByName(named(1, own)).unionByName(named(2, plain))
+
+
+def concentrated(rows: DataFrame, estimate: DataFrame, xs: list[str]) -> DataFrame:
+    """The estimate from the PART of each group's rows that lie nearest by the last one; its determinant is no larger."""
+    placed = beside(rows, estimate).withColumn("d", distance(xs)).select("g", *xs, "d")
+    near = beside(placed, written(nearest(placed, PART), "quality-reach")).where(F.col("d") <= F.col("reach"))
+    return written(whitening(sums(near, xs), xs, F.lit(CONSISTENT)), "quality-estimate")
+
+
+def robust_distances(rows: DataFrame) -> DataFrame:
     """rows (g and the vector) with column d, the squared robust distance.
 
-    The first centre is the mean of all rows with each statistic scaled by its floor; each concentration step keeps the
-    `part` of a group's rows that lie nearest and estimates anew, which never raises the determinant. The factor 1.6
-    makes up for the scatter that the nearest three quarters of a normal sample in five dimensions lack.
+    From three starts two concentration steps are made for all groups at once; of each group the one with the least
+    determinant goes on until no determinant falls by one part in a hundred, or for STEPS steps.
     """
     xs = list(VECTOR)
-    middle = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in xs))
-    start = reduce(lambda a, b: a + b, (((F.col(x) - F.col(f"m_{x}")) / VECTOR[x]) ** 2 for x in xs))
-    placed = rows.join(middle, "g").withColumn("d", start).select(*rows.columns, "d")
-    for _ in range(steps):
-        near = placed.join(nearest(placed, part), "g").where(F.col("d") <= F.col("reach"))
-        found = written(whitening(sums(near, xs), xs, F.lit(1.6)), "quality-estimate")
-        placed = rows.join(found, "g").withColumn("d", distance(xs)).select(*rows.columns, "d")
-    return placed
-
-
-def quality_rules(docs: DataFrame, keep: tuple[str, ...] = (), cutoff: float = 60.0) -> DataFrame:
+    narrow = written(rows.select("g", *xs), "quality-vectors")
+    many = narrow.withColumn("g", F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda k: F.struct(F.col("g").alias("g"), k.alias("k")))))
+    estimate = starts(narrow, xs)
+    for _ in range(2):
+        estimate = concentrated(many, estimate, xs)
+    rest = [c for c in estimate.columns if c != "g"]
+    least = estimate.select(F.col("g.g").alias("g"), F.struct("log_det", F.col("g.k").alias("k"), *(F.col(c).alias(c) for c in rest if c != "log_det")).alias("e"))
+    estimate = written(least.groupBy("g").agg(F.min("e").alias("e")).select("g", *(F.col(f"e.{c}").alias(c) for c in rest)), "quality-least")
+    for _ in range(STEPS):
+        last, estimate = estimate, concentrated(narrow, estimate, xs)
+        fall = last.select("g", F.col("log_det").alias("was")).join(estimate.select("g", "log_det"), "g")
+        if fall.where(F.col("log_det") < F.col("was") - 0.01).isEmpty():
+            break
+    return beside(rows, estimate).withColumn("d", distance(xs)).select(*rows.columns, "d")
+
+
+def quality_rules(docs: DataFrame, keep: tuple[str, ...] = (), cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of docs: the counts, base_failed, distance and kept.
 
-    `cutoff` bounds the squared distance. It is far above the normal quantile (26 at 0.9999 with five degrees), as
-    statistics of short documents have heavy tails and clean documents shall stay. Rows that fail the base rules
-    neither shape the estimates nor get a distance. Null lang and source form groups of their own; a group too small
-    for an estimate is held to the floors alone. A null or empty text fails the base rules; repeated rows are judged alike.
+    `cutoff` bounds the squared distance. Rows that fail the base rules neither shape the estimates nor get a distance.
+    Null lang and source form groups of their own; a group too small for an estimate is held to the floors alone. A null
+    or empty text fails the base rules; repeated rows are judged alike.
     """
     stats = written(statistics(docs, keep), "quality-statistics")
-    rows = stats.withColumn("g", F.struct(F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))).cast("string"))
+    rows = stats.withColumn("g", F.struct("lang", "source"))
     judged = robust_distances(rows.where(~F.col("base_failed")))
     failed = rows.where("base_failed").withColumn("d", F.lit(None).cast("double"))
     return judged.unionByName(failed).select(
