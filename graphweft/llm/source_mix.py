@@ -1,7 +1,7 @@
 """Mixing sources to target weights by fixed-length blocks of tokens.
 
-The words of a source form one stream, cut into blocks. Every output shard gets multinomial counts of slots per source;
-the slots of a source are numbered across the shards and mapped through a pseudorandom permutation of its block numbers,
+The words of a source form one stream, cut into blocks. Every output shard, of a fixed number of slots, gets multinomial
+counts of slots per source, drawn so that all shards together meet the targets; the slots of a source are numbered across the shards and mapped through a pseudorandom permutation of its block numbers,
 a new one each time all blocks have been used. Blocks are joined by number, so a third of all rows in one source is
 spread like any other rows. Only the list of sources with their sizes, which is what the weights are given for, is
 held by the driver.
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from graphweft.llm.common import table, words, written
 
-#: Words in a block, slots in an output shard on average, documents in a stretch of a source's order on average.
+#: Words in a block, slots in an output shard, documents in a stretch of a source's order on average.
 BLOCK, SHARD, STRETCH = 64, 2048, 2048
 WEIGHTS, MOST = (5, 2, 1), 3
 
@@ -66,21 +66,46 @@ def sources_of(sizes: DataFrame, weights: tuple[float, ...], block: int) -> list
     return [Source(r["source"], r["size"], r["docs"], t, *slots_of(r["size"], t, block)) for r, t in zip(rows, wanted, strict=True)]
 
 
-def multinomial_ranges(shard: int, shards: int, totals: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """First slot and count per source of one shard.
+def share_of_left(count: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """How many slots of each source fall in the first `left` of all slots: draws without putting back, source by source.
 
-    The counts are multinomial draws given each source's total: halves of a range of shards share what the range holds
-    by binomial draws, seeded by the range, so every shard finds its own counts and offsets without asking the others.
+    Above a thousand million slots numpy has no such draw; there its normal form is rounded into the possible range.
     """
-    low, high, first, count = 0, shards, np.zeros_like(totals), totals.copy()
-    while high - low > 1:
-        middle = (low + high) // 2
-        left = np.random.default_rng([seed, low, high]).binomial(count, (middle - low) / (high - low))
-        if shard < middle:
-            high, count = middle, left
+    out, total = np.zeros_like(count), int(count.sum())
+    for s, n in enumerate(count.tolist()):
+        rest = total - n
+        low, high = max(0, left - rest), min(n, left)
+        if low == high:
+            drawn = low
+        elif total < 1_000_000_000:
+            drawn = int(rng.hypergeometric(n, rest, left))
         else:
-            low, first, count = middle, first + left, count - left
-    return first, count
+            mean = left * (n / total)
+            deviation = (mean * (rest / total) * ((total - left) / (total - 1))) ** 0.5
+            drawn = min(max(round(rng.normal(mean, deviation)), low), high)
+        out[s], left, total = drawn, left - drawn, rest
+    return out
+
+
+def shard_counts(totals: np.ndarray, shard: int, seed: int, wanted: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """shard, first slot and count per source, of the shards in `wanted`; a shard has `shard` slots, the last one fewer.
+
+    A shard's counts are a multinomial draw by the sources' weights, given that all shards together meet each source's
+    total. Halves of a range of shards share what the range holds, with draws seeded by the range, so a task finds the
+    counts and offsets of its own shards without asking others.
+    """
+    slots = int(totals.sum())
+    ranges = [(0, -(-slots // shard), np.zeros_like(totals), totals.copy())]
+    while ranges:
+        low, high, first, count = ranges.pop()
+        if low >= wanted[1] or high <= wanted[0]:
+            continue
+        if high - low == 1:
+            yield low, first, count
+            continue
+        middle = (low + high) // 2
+        left = share_of_left(count, (middle - low) * shard, np.random.default_rng([seed, low, high]))
+        ranges += [(middle, high, first + left, count - left), (low, middle, first, left)]
 
 
 def permuted(index: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
@@ -106,27 +131,27 @@ def slots(spark, sources: list[Source], seed: int = 11) -> DataFrame:
     """shard, slot, source index s and block of every output slot."""
     totals = np.array([s.slots for s in sources], np.int64)
     sizes = [s.blocks for s in sources]
-    shards = max(1, -(-int(totals.sum()) // SHARD))
+    shards = -(-int(totals.sum()) // SHARD)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                first, count = multinomial_ranges(int(shard), shards, totals, seed)
+            if not len(batch):
+                continue
+            for shard, first, count in shard_counts(totals, SHARD, seed, (int(batch["id"].min()), int(batch["id"].max()) + 1)):
                 which, blocks = [], []
                 for s in np.flatnonzero(count):
                     j = np.arange(first[s], first[s] + count[s])
                     key = (j // sizes[s]).astype(np.uint64) * np.uint64(1 << 20) + np.uint64(s + 1)
                     blocks.append(permuted(j % sizes[s], sizes[s], key))
                     which.append(np.full(len(j), s, np.int32))
-                if which:
-                    order = np.random.default_rng([seed, int(shard)]).permutation(sum(map(len, which)))
-                    yield pd.DataFrame({"shard": shard, "slot": np.arange(len(order), dtype=np.int32), "s": np.concatenate(which)[order], "block": np.concatenate(blocks)[order]})
+                order = np.random.default_rng([seed, shard]).permutation(sum(map(len, which)))
+                yield pd.DataFrame({"shard": shard, "slot": np.arange(len(order), dtype=np.int32), "s": np.concatenate(which)[order], "block": np.concatenate(blocks)[order]})
 
     return spark.range(shards).mapInPandas(draw, "shard long, slot int, s int, block long")
 
 
-def placed(sizes: DataFrame, sources: list[Source]) -> DataFrame:
-    """sizes with the source's index s, and the place `start` where the document begins in the stream of its source.
+def placed(sizes: DataFrame, sources: list[Source], also: tuple[str, ...] = ()) -> DataFrame:
+    """sizes (and its columns `also`) with the source's index s, and the place `start` where the document begins in the stream of its source.
 
     Running sums in two levels: a source's documents are dealt by hash into stretches of some thousand, whatever its
     share of the rows; sums of stretches are added up first, then documents within each stretch.
@@ -139,7 +164,7 @@ def placed(sizes: DataFrame, sources: list[Source]) -> DataFrame:
     before = sums.select("s", "stretch", (F.sum("total").over(Window.partitionBy("s").orderBy("stretch")) - F.col("total")).alias("before"))
     inner = Window.partitionBy("s", "stretch").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.withColumn("run", F.sum("size").over(inner) - F.col("size"))
-    return run.join(before, ["s", "stretch"]).select("doc_id", "source", "size", "s", (F.col("before") + F.col("run")).alias("start"))
+    return run.join(before, ["s", "stretch"]).select("doc_id", "source", "size", *also, "s", (F.col("before") + F.col("run")).alias("start"))
 
 
 def parts_of_blocks(docs: DataFrame, block: int) -> DataFrame:
@@ -192,15 +217,19 @@ def copies(mix: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """The mixture itself: shard, slot, source, and the words of the block in that slot."""
-    listed = docs.select("doc_id", "source", words(F.col("text")).alias("w"))
-    sizes = listed.select("doc_id", "source", F.size("w").cast("long").alias("size"))
+    """The mixture itself: shard, slot, source, and the words of the block in that slot.
+
+    Every row of docs counts by itself, whether its doc_id is null or repeated: rows are numbered in a written table.
+    Null and empty texts fill no block, so a table of such rows alone gives no slot.
+    """
+    listed = written(docs.select("doc_id", "source", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    sizes = listed.select("doc_id", "source", "row", F.size("w").cast("long").alias("size"))
     sources = sources_of(sizes, weights, block)
-    parts = parts_of_blocks(placed(sizes, sources), block)
-    texts = listed.withColumnRenamed("source", "from")
-    cut = parts.join(texts, (parts["doc_id"] == texts["doc_id"]) & parts["source"].eqNullSafe(texts["from"])).select("s", "source", "block", "start", F.slice("w", (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")).alias("w"))
+    parts = parts_of_blocks(placed(sizes, sources, ("row",)), block).drop("doc_id")
+    texts = listed.select("row", "w").hint("merge")
+    cut = parts.join(texts, "row").select("s", "source", "block", "start", F.slice("w", (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")).alias("w"))
     whole = cut.groupBy("s", "source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda p: p["w"])).alias("words"))
-    return slots(docs.sparkSession, sources, seed).join(whole, ["s", "block"]).select("shard", "slot", "source", "words")
+    return slots(docs.sparkSession, sources, seed).hint("merge").join(whole.hint("merge"), ["s", "block"]).select("shard", "slot", "source", "words")
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from graphweft.llm.quality_classifier import isotonic, quality_scores
 from graphweft.llm.quality_rules import quality_rules
 from graphweft.llm.secret_scan import secret_scan
 from graphweft.llm.sentencepiece_codec import VOCABULARY, Codec, codec_report, read_pieces
-from graphweft.llm.source_mix import mixed_blocks, permuted, source_mix, targets
+from graphweft.llm.source_mix import mixed_blocks, permuted, shard_counts, share_of_left, source_mix, targets
 from graphweft.llm.suffix_dedup import earlier, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, stage string, c bigint, sig bigint, size bigint, x bigint"
@@ -87,7 +87,29 @@ def test_source_mix(docs):
     assert abs(sum(s[1] for s in by.values()) - sum(s[0] for s in by.values())) < 1e-6
     for size, target, taken in by.values():
         assert abs(taken - target) <= 64, (size, target, taken)
-    assert sum(len(r["words"]) for r in mixed_blocks(docs.where("doc_id IS NOT NULL AND doc_id <> 7")).collect()) > 0
+    blocks = mixed_blocks(docs).collect()  # null and repeated ids count by row
+    assert sum(len(r["words"]) for r in blocks) == sum(r["taken"] for r in out)
+    for source, (_, _, taken) in by.items():
+        assert sum(len(r["words"]) for r in blocks if r["source"] == source) == taken
+    shards = collections.Counter(r["shard"] for r in blocks)
+    assert set(list(shards.values())[:-1]) <= {2048} and len({(r["shard"], r["slot"]) for r in blocks}) == len(blocks)
+
+
+def test_counts_of_shards_are_multinomial_and_meet_the_totals():
+    import numpy as np
+
+    totals = np.array([5000, 2000, 0, 1000, 77])
+    got = list(shard_counts(totals, 100, 3, (0, 1000)))
+    count, first = np.array([g[2] for g in got]), np.array([g[1] for g in got])
+    assert (count.sum(0) == totals).all() and (count.sum(1)[:-1] == 100).all() and count.sum(1)[-1] == 77
+    assert (first == np.cumsum(count, 0) - count).all()
+    assert [g[0] for g in shard_counts(totals, 100, 3, (40, 43))] == [40, 41, 42]
+    assert all((a[2] == b[2]).all() and (a[1] == b[1]).all() for a, b in zip(shard_counts(totals, 100, 3, (40, 43)), got[40:43]))
+    share = totals / totals.sum()
+    spread = count[:-1].var(0) / (100 * share * (1 - share) + 1e-9)  # near 1 as in a multinomial draw
+    assert ((spread > 0.6) & (spread < 1.5) | (totals == 0)).all()
+    big = share_of_left(np.array([10**12, 3 * 10**12]), 10**12, np.random.default_rng(0))
+    assert big.sum() == 10**12 and abs(big[0] - 25 * 10**10) < 10**7
 
 
 def test_targets_and_permutation():
