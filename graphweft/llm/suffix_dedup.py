@@ -1,10 +1,11 @@
 """Substrings that an earlier document has too, by merging Burrows-Wheeler transforms of shards.
 
 Equal strings of LENGTH bytes choose the same anchor among their 16-byte stretches, the one with the least hash. A piece is
-the stretch of text whose strings share an anchor. Pieces that are equal need no sorting: all but the smallest document's
-go. Pieces that share an anchor but differ are brought together in parts of bounded size; a part's shards get their
-transforms alone, these are merged by refining their interleaving one character at a time, and the blocks that are left
-after LENGTH characters are the repeated intervals. No suffix is sorted twice, and no document meets another whole.
+the stretch of text whose strings share an anchor. Pieces that are equal need no sorting: they are joined to runs that a
+smaller document has too, and a run goes once the SHA-256 of its bytes there and here agree. Pieces that share an anchor
+but differ are dealt by the 33 bytes that two of them with a common string must share. In parts of bounded size their
+shards get their transforms alone, these are merged by refining their interleaving one character at a time, and the
+common prefixes that this yields bound the repeated intervals. No suffix is sorted twice, no document meets another whole.
 """
 
 from __future__ import annotations
@@ -21,8 +22,14 @@ from graphweft.llm.common import dropped, freed, table, written
 from graphweft.llm.ngram_join import id_type, mixed
 
 LENGTH, GRAM = 50, 16
-#: Bytes hashed at a time; bytes of pieces that are sifted at once, in a shard and in a part that is merged at once.
-BLOCK, SIFTED, SHARD, PART = 1 << 18, 1 << 18, 1 << 15, 1 << 17
+#: Bytes on one side of an anchor that two pieces agree in at least if they have a string in common.
+SIDE = (LENGTH - GRAM) // 2
+#: Bytes hashed at a time; bytes in a shard, in a part that is merged at once, and of one key beyond which its strings are
+#: compared by grouping them instead.
+BLOCK, SHARD, PART, MOST = 1 << 18, 1 << 15, 1 << 17, 1 << 21
+#: One document of so many is looked at for hot anchors, and the part of its pieces that makes an anchor hot: there are
+#: 1,000 such anchors at most, and all pieces of any other one are a small part of a task's share.
+PROBE, HOT, SALTS = 64, 0.001, 64
 U = np.uint64
 
 
@@ -44,10 +51,10 @@ class Anchors:
                 setattr(self, name, np.multiply.accumulate(steps))
 
     def of(self, body: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For the pieces of one text: anchor's hash, piece's hash, start and end; an end is exclusive."""
+        """For the pieces of one text: anchor's hash, piece's hash, start, end and the anchor's place; an end is exclusive."""
         n = len(body)
         if n < LENGTH:
-            return tuple(np.empty(0, t) for t in (U, U, np.int64, np.int64))
+            return tuple(np.empty(0, t) for t in (U, U, np.int64, np.int64, np.int64))
         self.grow(n + 1)
         run = np.concatenate([[U(0)], np.cumsum(self.value[body] * self.power[:n], dtype=U)])
         grams = mixed((run[GRAM:] - run[:-GRAM]) * self.inverse[: n - GRAM + 1], 21)
@@ -65,7 +72,7 @@ class Anchors:
         lasts = np.concatenate([starts[1:] - 1, [count - 1]])
         ends = lasts + LENGTH
         whole = mixed((run[ends] - run[starts]) * self.inverse[starts] + (ends - starts).astype(U), 22)
-        return least[starts], whole, starts, ends
+        return least[starts], whole, starts, ends, at[starts]
 
 
 def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -78,14 +85,15 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def piece_rows(docs: DataFrame) -> DataFrame:
-    """anchor, piece, doc_id, start, size of every piece."""
+    """anchor, piece, doc_id, start, size of every piece, and the place of its anchor in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
 
         def batch(found: list[tuple], ids: list[int], source: pa.Array) -> pa.RecordBatch:
-            a, p, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(p.view(np.int64)), source.take(pa.array(np.repeat(ids, [len(f[0]) for f in found]), pa.int64())), pa.array(s), pa.array((e - s).astype(np.int32))], ["anchor", "piece", "doc_id", "start", "size"])
+            a, p, s, e, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [a.view(np.int64), p.view(np.int64), source.take(pa.array(np.repeat(ids, [len(f[0]) for f in found]), pa.int64())), s, (e - s).astype(np.int16), (at - s).astype(np.int8)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "piece", "doc_id", "start", "size", "at"])
 
         for b in batches:
             found, ids, size = [], [], 0
@@ -99,7 +107,7 @@ def piece_rows(docs: DataFrame) -> DataFrame:
             if found:
                 yield batch(found, ids, b.column(0))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, piece long, doc_id {id_type(docs)}, start long, size int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, piece long, doc_id {id_type(docs)}, start long, size short, at byte")
 
 
 def transform(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,11 +135,12 @@ def transform(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def merge(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleaving of shards' transforms and, over it, the blocks of suffixes that agree in `depth` symbols.
+    """Interleaving of shards' transforms, and for every place in it the common prefix of its suffix with the one before.
 
     ends: the number of pieces of each shard. From shards one after the other, each round sorts the interleaving by one
-    more symbol: symbols before suffixes, taken in the order so far, say where these suffixes' predecessors go. Where two
-    neighbours part for the first time, their common prefix has the number of rounds before; two ends are never equal.
+    more symbol: symbols before suffixes, taken in the order so far, say where these suffixes' predecessors go. A boundary
+    between two places stays once it is there, so the round in which it comes up tells the common prefix: one symbol
+    less. Prefixes of `depth` symbols or more count as `depth`; two ends are never equal.
     """
     symbols = np.concatenate(transforms)
     narrow = np.uint8 if symbols.max(initial=0) < 256 else np.uint16  # bytes of UTF-8 leave room for the end
@@ -139,18 +148,18 @@ def merge(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     fixed = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
     total_ends, n = len(fixed), len(symbols)
-    block = np.zeros(n, np.int32)
-    for _ in range(depth):
+    block, prefix = np.zeros(n, np.int32), np.full(n, depth, np.uint8)
+    for known in range(depth):
         now = np.empty(n, narrow)
         now[np.argsort(source, kind="stable")] = symbols
         order = np.argsort(now, kind="stable")
         source = np.concatenate([fixed, source[order[total_ends:]]])
         symbol, old = now[order], block[order]
         parts = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])])
-        parts[:total_ends] = True
-        parts[total_ends : total_ends + 1] = True
+        parts[: total_ends + 1] = True
+        prefix[parts & (prefix == depth)] = known
         block = np.cumsum(parts, dtype=np.int32)
-    return source, block
+    return source, prefix
 
 
 def earlier(pieces: list[np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +172,13 @@ def earlier(pieces: list[np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, np
         shards[-1].append(i)
         size += len(p) + 1
     made = [transform([pieces[i] for i in s]) for s in shards]
-    source, block = merge([m[0] for m in made], [len(s) for s in shards], LENGTH)
+    source, prefix = merge([m[0] for m in made], [len(s) for s in shards], LENGTH)
     spread = np.argsort(source, kind="stable")
     of, place = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
     of[spread] = np.concatenate([np.array(s)[m[1]] for s, m in zip(shards, made, strict=True)])
     place[spread] = np.concatenate([m[2] for m in made])
-    begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    least = np.repeat(np.minimum.reduceat(owner[of], begin), np.diff(np.concatenate([begin, [len(block)]])))
+    begin = np.flatnonzero(prefix < LENGTH)  # each interval of suffixes that agree in LENGTH symbols
+    least = np.repeat(np.minimum.reduceat(owner[of], begin), np.diff(np.concatenate([begin, [len(prefix)]])))
     found = least < owner[of]
     return of[found], place[found]
 
@@ -184,105 +193,177 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
 
 
-def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a column of some rows, and the size of each value."""
-    values = column.combine_chunks().cast(pa.large_binary())
-    _, offsets, data = values.buffers()
-    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], np.diff(at)
+def hot_anchors(docs: DataFrame) -> DataFrame:
+    """anchor: those that make up HOT of the pieces of one document in PROBE, 1 / HOT of them at most.
+
+    They only choose between two ways to the same rows, so it doesn't matter which documents are looked at.
+    """
+    seen = piece_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PROBE)) == 0)).groupBy("anchor").agg(F.count("*").alias("n"))
+    return written(seen.withColumn("all", F.sum("n").over(Window.partitionBy())).where((F.col("n") >= 100) & (F.col("n") >= HOT * F.col("all"))).select("anchor"), "repeats-hot")
 
 
-def may_repeat(hashes: Anchors, anchors: np.ndarray, body: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which pieces, given one after the other, can share a string of LENGTH bytes with a piece of another owner.
+def shared_pieces(docs: DataFrame) -> DataFrame:
+    """anchor, doc_id, start, size, at of the pieces that an earlier document has too (with its doc_id and place, f_doc and
+    f_start) or whose anchor stands in a different piece as well.
 
-    Such a string holds the anchor and LENGTH - GRAM bytes around it, so at least half of these lie on one side of it: both
-    pieces agree in the anchor with that many bytes before it, or with that many after it.
+    Pieces of an anchor are sorted beside each other, but for those of hot anchors: these are counted in every task first
+    and what comes out is joined by salted keys, so no anchor's pieces have to pass through one task.
     """
-    begin = np.cumsum(size) - size
-    hashes.grow(len(body) + 1)
-    run = np.concatenate([[U(0)], np.cumsum(hashes.value[body] * hashes.power[: len(body)], dtype=U)])
-    gram = mixed((run[GRAM:] - run[:-GRAM]) * hashes.inverse[: len(body) - GRAM + 1], 21)
-    of = np.repeat(np.arange(len(size)), size)[: len(gram)]
-    at = np.flatnonzero(gram == anchors[of])
-    which, first = np.unique(of[at], return_index=True)
-    at = at[first]  # where the anchor of each piece begins
-    half, out = (LENGTH - GRAM + 1) // 2, np.zeros(len(size), bool)
-    for low, high in ((at - half, at + GRAM), (at, at + GRAM + half)):
-        inside = np.flatnonzero((low >= begin[which]) & (high <= begin[which] + size[which]))
-        key = mixed((run[high[inside]] - run[low[inside]]) * hashes.inverse[low[inside]], 23)
-        order = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else np.empty(0, int)
-        if len(edges):
-            who = owner[which[inside]][order]
-            several = np.minimum.reduceat(who, edges) < np.maximum.reduceat(who, edges)
-            out[which[inside[order[np.repeat(several, np.diff(np.append(edges, len(order))))]]]] = True
-    return out
+    kind = id_type(docs)
+    hot = hot_anchors(docs)
+    rows = piece_rows(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left")
+    place = F.struct("doc_id", "start")
+    equal, same = Window.partitionBy("anchor", "piece"), Window.partitionBy("anchor")
+    keep = ["anchor", "doc_id", "start", "size", "at", "first", "several"]
+    marked = rows.where("hot IS NULL").select("*", F.min(place).over(equal).alias("first"), (F.min("piece").over(same) < F.max("piece").over(same)).alias("several")).select(*keep)
+    if not hot.isEmpty():
+        dealt = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+        least = written(dealt.groupBy("anchor", "piece").agg(F.min(place).alias("first")), "repeats-least")
+        several = least.groupBy("anchor").agg((F.min("piece") < F.max("piece")).alias("several"))
+        salted = least.join(F.broadcast(several), "anchor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = marked.unionByName(dealt.join(salted.hint("merge"), ["anchor", "piece", "salt"]).select(*keep))
+    later = F.when(F.col("doc_id") > F.col("first.doc_id"), F.col("first"))
+    out = marked.where("doc_id > first.doc_id OR several").select("anchor", "doc_id", "start", "size", "at", later["doc_id"].cast(kind).alias("f_doc"), later["start"].alias("f_start"))
+    return written(out, "repeats-shared")
+
+
+def copied_runs(shared: DataFrame) -> DataFrame:
+    """doc_id, start, size, f_doc, f_start: pieces that an earlier document has too, joined where both texts go on."""
+    kind = id_type(shared)
+    schema = f"doc_id {kind}, start long, size long, f_doc {kind}, f_start long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for i in range(b.num_rows):
+                rows = b.column(1)[i].values
+                start, size, doc, first = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                order = np.argsort(start, kind="stable")
+                start, end, doc, first = start[order], (start + size)[order], doc[order], first[order]
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] - first[1:] != start[:-1] - first[:-1]) | (start[1:] > end[:-1])])
+                at = np.flatnonzero(new)
+                parts.append((i, len(at), start[at], np.maximum.reduceat(end, at) - start[at], doc[at], first[at]))
+            if parts:
+                which = pa.array(np.repeat([p[0] for p in parts], [p[1] for p in parts]), pa.int64())
+                columns = [np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(which), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), b.column(0).type, pa.int64()), strict=True))], ["doc_id", "start", "size", "f_doc", "f_start"])
+
+    lists = shared.where("f_doc IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("size").cast("long").alias("size"), "f_doc", "f_start")).alias("at"))
+    return lists.mapInArrow(run, schema)
+
+
+def cut(docs: DataFrame, pieces: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc_id, pieces (left, right, start, body) and ranges (start, size, sha): what is asked of each text, in one pass over it.
+
+    left and right are hashes of the anchor with the SIDE bytes before and after it, null where the piece has fewer there.
+    """
+    whole = lambda df, name, *columns: df.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias(name))
+    asked = whole(pieces, "p", "start", "size", "at").join(whole(ranges, "r", "start", "size"), "doc_id", "full")
+    part = lambda b, start, size: F.substring(b, (start + 1).cast("int"), size.cast("int"))
+
+    def piece(b, p):
+        from_, width = p["start"] + p["at"], F.lit(GRAM + SIDE)
+        left = F.when(p["at"] >= SIDE, F.xxhash64(F.lit(0), part(b, from_ - SIDE, width)))
+        right = F.when(p["at"] + GRAM + SIDE <= p["size"], F.xxhash64(F.lit(1), part(b, from_, width)))
+        return F.struct(left.alias("left"), right.alias("right"), p["start"].alias("start"), part(b, p["start"], p["size"]).alias("body"))
+
+    both = lambda b: F.struct(F.transform("p", lambda p: piece(b, p)).alias("pieces"), F.transform("r", lambda r: F.struct(r["start"].alias("start"), r["size"].alias("size"), F.sha2(part(b, r["start"], r["size"]), 256).alias("sha"))).alias("ranges"))
+    return docs.join(asked, "doc_id").select("doc_id", F.get(F.transform(F.array(F.col("text").cast("binary")), both), F.lit(0)).alias("x")).select("doc_id", "x.pieces", "x.ranges")
 
 
 def told_apart(pieces: DataFrame) -> DataFrame:
-    """doc_id, start, end of strings that another piece with the same anchor and a smaller doc_id has.
+    """doc_id, start, end of strings that another piece of the same key and a smaller doc_id has; of keys with more than MOST
+    bytes the pieces themselves, with body.
 
-    pieces: anchor, doc_id, start, body. All pieces of an anchor meet in one task, which takes whole anchors in turn until
-    a part is full. Most of them have nothing but their anchor in common; the others are merged, a part at a time.
+    pieces: left, right, doc_id, start, body. A task takes whole keys in turn until a part is full, and merges it. Keys of
+    one document alone are passed over, which is most of them.
     """
     kind = id_type(pieces)
 
-    def sifted(hashes: Anchors, rows: pa.Table) -> pa.Table:
-        owner = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)[1]
-        return rows.filter(pa.array(may_repeat(hashes, rows.column("anchor").to_numpy().view(U), *flat(rows.column("body")), owner)))
+    def several(rows: pa.Table) -> pa.Table:
+        """Rows of keys that two documents or more have; rows are in order of key and doc_id."""
+        key, doc = rows.column("key").to_numpy(), rows.column("doc_id").to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        last = np.append(begin[1:], len(key)) - 1
+        return rows.filter(pa.array(np.repeat(doc[begin] != doc[last], last - begin + 1)))
+
+    def batch(doc, start, end, body) -> pa.RecordBatch:
+        body = pa.nulls(len(doc), pa.binary()) if body is None else body.combine_chunks().cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start, pa.int64()), pa.array(end, pa.int64()), body], ["doc_id", "start", "end", "body"])
 
     def merged(rows: pa.Table) -> pa.RecordBatch:
         ids = rows.column("doc_id").to_numpy()
         of, place = earlier([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("body")], np.unique(ids, return_inverse=True)[1])
         begin = rows.column("start").to_numpy()[of] + place
-        return pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(begin), pa.array(begin + LENGTH)], ["doc_id", "start", "end"])
+        return batch(ids[of], begin, begin + LENGTH, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, ready, wanted = Anchors(), [], [], SIFTED
+        ready, rest, over = [], None, None
         for b in batches:
-            held.append(b)
-            if sum(x.nbytes for x in held) < wanted:
+            rows = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if not rows.num_rows:
                 continue
-            rows = pa.Table.from_batches(held)
-            anchors = rows.column("anchor").to_numpy()
-            last = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
-            wanted = SIFTED if last else 2 * wanted
-            if last:
-                ready.append(sifted(hashes, rows.slice(0, last)))
-                held = rows.slice(last).to_batches()
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            over = over if over == key[0] else None
+            whole, rest = rows.slice(0, last), rows.slice(last)
+            if over is not None and last:  # what is left of a key that was too large
+                end = int(np.searchsorted(key, over, "right"))
+                yield batch(*(whole.column(k).to_numpy()[:end] for k in ("doc_id", "start", "start")), whole.column("body").slice(0, end))
+                whole, over = whole.slice(end), None
+            if whole.num_rows:
+                ready.append(several(whole))
+            if over is not None or rest.nbytes > MOST:
+                over = key[-1]
+                yield batch(*(rest.column(k).to_numpy() for k in ("doc_id", "start", "start")), rest.column("body"))
+                rest = None
             if sum(x.nbytes for x in ready) > PART:
                 yield merged(pa.concat_tables(ready))
                 ready = []
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            ready.append(sifted(hashes, rows))
+        if rest is not None and rest.num_rows:
+            ready.append(several(rest))
         if sum(x.num_rows for x in ready):
             yield merged(pa.concat_tables(ready))
 
-    rows = pieces.select("anchor", "doc_id", "start", "body").repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, end long")
+    sides = pieces.select(F.explode(F.array("left", "right")).alias("key"), "doc_id", "start", "body").where("key IS NOT NULL")
+    rows = sides.repartition("key").sortWithinPartitions("key", "doc_id")
+    return rows.mapInArrow(run, f"doc_id {kind}, start long, end long, body binary")
 
 
-def cut_pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, doc_id, start and the bytes of the wanted pieces (anchor, doc_id, start, size)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("at"))
-    body = F.col("text").cast("binary")
-    rows = docs.join(lists, "doc_id").select("doc_id", F.get(F.transform(F.array(body), lambda b: F.transform("at", lambda p: F.struct(p["anchor"].alias("anchor"), p["start"].alias("start"), F.substring(b, (p["start"] + 1).cast("int"), p["size"]).alias("body")))), F.lit(0)).alias("p"))
-    return rows.select("doc_id", F.explode_outer("p").alias("p")).select("p.anchor", "doc_id", "p.start", "p.body")
+def compared_strings(pieces: DataFrame) -> DataFrame:
+    """doc_id, start, end of the strings that a piece of a smaller doc_id has too, by grouping the strings themselves."""
+    at = F.explode(F.sequence(F.lit(0), F.length("body") - LENGTH))
+    strings = pieces.distinct().select("doc_id", "start", "body", at.alias("at")).select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.substring("body", F.col("at") + 1, F.lit(LENGTH)).alias("s"))
+    least = strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return strings.join(least.hint("merge"), "s").where("doc_id > least").select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, start, end: stretches whose strings of LENGTH bytes a document with a smaller doc_id has too."""
     some = docs.where("doc_id IS NOT NULL")
-    equal, same = Window.partitionBy("anchor", "piece"), Window.partitionBy("anchor")
-    marked = piece_rows(some).select("*", F.min("doc_id").over(equal).alias("first"), F.min("piece").over(same).alias("p1"), F.max("piece").over(same).alias("p2"))
-    shared = written(marked.where("doc_id > first OR p1 <> p2").select("anchor", "doc_id", "start", "size", (F.col("doc_id") > F.col("first")).alias("later")), "repeats-shared")
+    shared = shared_pieces(some)
     freed(docs.sparkSession)
-    pieces = written(cut_pieces(some, shared.where("NOT later")), "repeats-pieces")
+    runs = written(copied_runs(shared), "repeats-runs")
+    first = runs.select(F.col("f_doc").alias("doc_id"), F.col("f_start").alias("start"), "size")
+    texts = written(cut(some, shared.where("f_doc IS NULL"), runs.select("doc_id", "start", "size").unionByName(first)), "repeats-texts")
     freed(docs.sparkSession)
-    whole = shared.where("later").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
-    out = written(whole.unionByName(told_apart(pieces)), "repeats-ranges")
-    dropped(shared)
-    dropped(pieces)
+    sha = texts.select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
+    there = sha.select(F.col("doc_id").alias("f_doc"), F.col("start").alias("f_start"), "size", F.col("sha").alias("f_sha"))
+    judged = written(runs.join(sha.hint("merge"), ["doc_id", "start", "size"]).join(there.hint("merge"), ["f_doc", "f_start", "size"]).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), (F.col("sha") == F.col("f_sha")).alias("same")), "repeats-judged")
+    pieces = texts.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
+    clashing = judged.where("NOT same").select("doc_id", F.col("start").alias("from"), F.col("end").alias("to"))
+    if not clashing.isEmpty():  # pieces of one hash that differ: all pieces of their anchors are told apart
+        anchors = shared.where("f_doc IS NOT NULL").join(clashing, "doc_id").where("start >= from AND start + size <= to").select("anchor").distinct()
+        again = piece_rows(some).join(anchors, "anchor", "left_semi")
+        pieces = pieces.unionByName(cut(some, again, runs.limit(0)).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*"))
+    told = written(told_apart(pieces), "repeats-told")
+    ranges = judged.where("same").drop("same").unionByName(told.where("body IS NULL").drop("body"))
+    large = told.where("body IS NOT NULL").select("doc_id", "start", "body")
+    if not large.isEmpty():
+        ranges = ranges.unionByName(compared_strings(large))
+    out = written(ranges, "repeats-ranges")
+    for used in (shared, runs, texts, judged, told):
+        dropped(used)
     freed(docs.sparkSession)
     return out
 

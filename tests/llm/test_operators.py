@@ -16,7 +16,7 @@ from graphweft.llm.quality_rules import quality_rules
 from graphweft.llm.secret_scan import secret_scan
 from graphweft.llm.sentencepiece_codec import VOCABULARY, Codec, codec_report, read_pieces
 from graphweft.llm.source_mix import mixed_blocks, permuted, shard_counts, share_of_left, source_mix, targets
-from graphweft.llm.suffix_dedup import earlier, suffix_dedup
+from graphweft.llm.suffix_dedup import earlier, merge, suffix_dedup, transform
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, stage string, c bigint, sig bigint, size bigint, x bigint"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -197,6 +197,48 @@ def test_suffix_dedup(docs):
             assert (r["n_bytes"], removed, len(r["spans"]), bytes(r["rest"])) == want[r["doc_id"]]
 
 
+@pytest.mark.parametrize("way", ["plain", "hot", "large", "clash"])
+def test_suffix_dedup_of_hot_lines(spark, monkeypatch, way):
+    """A line in all documents, copies and shared passages: by every way that pieces can take."""
+    from graphweft.llm import suffix_dedup as s
+
+    rng = random.Random(6)
+    line, common = "this line of some seventy bytes stands in every document there is, too", [prose(90 + k, 40) for k in range(4)]
+    rows = [(i, f"{prose(200 + i, 12)}\n{line}\n{prose(600 + i, 9)} {common[i % 4][rng.randrange(60) :]} {prose(800 + i, 5)}") for i in range(160)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(20)] + [(300, None), (301, ""), (None, line)]
+    monkeypatch.setattr(s, "PART", 4096)
+    if way == "hot":
+        monkeypatch.setattr(s, "PROBE", 1)
+    if way == "large":
+        monkeypatch.setattr(s, "MOST", 2000)
+    if way == "clash":
+        exact = s.mixed
+        monkeypatch.setattr(s, "mixed", lambda x, seed=0: exact(x, seed) & s.U(1) if seed == 22 else exact(x, seed))
+    want = brute_repeats(rows)
+    for r in suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        if r["doc_id"] is not None:
+            removed = sum(x["end"] - x["start"] for x in r["spans"])
+            assert (r["n_bytes"], removed, len(r["spans"]), bytes(r["rest"])) == want[r["doc_id"]], r["doc_id"]
+
+
+def test_merged_prefixes_are_the_common_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pieces = [rng.integers(97, 99, n, dtype=np.uint8) for n in rng.integers(3, 60, 40)]
+    made = [transform(pieces[k : k + 10]) for k in range(0, 40, 10)]
+    source, prefix = merge([m[0] for m in made], [10] * 4, 50)
+    at, suffixes = [0] * 4, []
+    for s in source:
+        _, of, place = (x[at[s]] for x in made[s])
+        suffixes.append(pieces[10 * s + of][place:].tobytes() + b"\0")
+        at[s] += 1
+    for k in range(1, len(suffixes)):
+        a, b = suffixes[k - 1], suffixes[k]
+        common = next(i for i in range(99) if a[i] != b[i] or a[i] == 0)
+        assert prefix[k] == min(common, 50) and (a[:50] <= b[:50] or a[common] == 0)
+
+
 def test_merged_transforms_find_every_repeat():
     import numpy as np
 
