@@ -26,7 +26,7 @@ LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes hashed at a time; bytes in a shard, in a part that is merged at once, and of one key beyond which its strings are
 #: compared by grouping them instead.
-BLOCK, SHARD, PART, MOST = 1 << 18, 1 << 15, 1 << 17, 1 << 21
+BLOCK, SHARD, PART, MOST = 1 << 18, 1 << 15, 1 << 17, 1 << 22
 #: One document of so many is looked at for hot anchors, and the part of its pieces that makes an anchor hot: there are
 #: 1,000 such anchors at most, and all pieces of any other one are a small part of a task's share.
 PROBE, HOT, SALTS = 64, 0.001, 64
@@ -193,37 +193,31 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
 
 
-def hot_anchors(docs: DataFrame) -> DataFrame:
-    """anchor: those that make up HOT of the pieces of one document in PROBE, 1 / HOT of them at most.
+def hot_anchors(docs: DataFrame) -> list[int]:
+    """Anchors that make up HOT of the pieces of one document in PROBE, 1 / HOT of them at most.
 
     They only choose between two ways to the same rows, so it doesn't matter which documents are looked at.
     """
     seen = piece_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PROBE)) == 0)).groupBy("anchor").agg(F.count("*").alias("n"))
-    return written(seen.withColumn("all", F.sum("n").over(Window.partitionBy())).where((F.col("n") >= 100) & (F.col("n") >= HOT * F.col("all"))).select("anchor"), "repeats-hot")
+    hot = seen.withColumn("all", F.sum("n").over(Window.partitionBy())).where((F.col("n") >= 100) & (F.col("n") >= HOT * F.col("all")))
+    return [r["anchor"] for r in hot.select("anchor").collect()]
 
 
-def shared_pieces(docs: DataFrame) -> DataFrame:
+def shared_pieces(docs: DataFrame, hot: list[int]) -> DataFrame:
     """anchor, doc_id, start, size, at of the pieces that an earlier document has too (with its doc_id and place, f_doc and
     f_start) or whose anchor stands in a different piece as well.
 
-    Pieces of an anchor are sorted beside each other, but for those of hot anchors: these are counted in every task first
-    and what comes out is joined by salted keys, so no anchor's pieces have to pass through one task.
+    Pieces of an anchor are sorted beside each other. Those of a hot one are dealt over SALTS tasks, each of which keeps the
+    first of equal pieces that it sees; these few are compared with each other later, like different pieces.
     """
     kind = id_type(docs)
-    hot = hot_anchors(docs)
-    rows = piece_rows(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left")
-    place = F.struct("doc_id", "start")
-    equal, same = Window.partitionBy("anchor", "piece"), Window.partitionBy("anchor")
-    keep = ["anchor", "doc_id", "start", "size", "at", "first", "several"]
-    marked = rows.where("hot IS NULL").select("*", F.min(place).over(equal).alias("first"), (F.min("piece").over(same) < F.max("piece").over(same)).alias("several")).select(*keep)
-    if not hot.isEmpty():
-        dealt = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-        least = written(dealt.groupBy("anchor", "piece").agg(F.min(place).alias("first")), "repeats-least")
-        several = least.groupBy("anchor").agg((F.min("piece") < F.max("piece")).alias("several"))
-        salted = least.join(F.broadcast(several), "anchor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        marked = marked.unionByName(dealt.join(salted.hint("merge"), ["anchor", "piece", "salt"]).select(*keep))
+    is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
+    rows = piece_rows(docs).withColumn("salt", F.when(is_hot, 1 + F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0).cast("int"))
+    same = Window.partitionBy("anchor", "salt")
+    equal = Window.partitionBy("anchor", "salt", "piece")
+    marked = rows.select("*", F.min(F.struct("doc_id", "start")).over(equal).alias("first"), (F.min("piece").over(same) < F.max("piece").over(same)).alias("several"))
     later = F.when(F.col("doc_id") > F.col("first.doc_id"), F.col("first"))
-    out = marked.where("doc_id > first.doc_id OR several").select("anchor", "doc_id", "start", "size", "at", later["doc_id"].cast(kind).alias("f_doc"), later["start"].alias("f_start"))
+    out = marked.where("doc_id > first.doc_id OR several OR salt > 0").select("anchor", "doc_id", "start", "size", "at", later["doc_id"].cast(kind).alias("f_doc"), later["start"].alias("f_start"))
     return written(out, "repeats-shared")
 
 
@@ -253,39 +247,48 @@ def copied_runs(shared: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame, pieces: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, pieces (left, right, start, body) and ranges (start, size, sha): what is asked of each text, in one pass over it.
+    """doc_id, pieces (anchor, left, right, start, body) and ranges (start, size, sha): what is asked of each text, in one pass over it.
 
     left and right are hashes of the anchor with the SIDE bytes before and after it, null where the piece has fewer there.
     """
     whole = lambda df, name, *columns: df.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias(name))
-    asked = whole(pieces, "p", "start", "size", "at").join(whole(ranges, "r", "start", "size"), "doc_id", "full")
+    asked = whole(pieces, "p", "anchor", "start", "size", "at").join(whole(ranges, "r", "start", "size"), "doc_id", "full")
     part = lambda b, start, size: F.substring(b, (start + 1).cast("int"), size.cast("int"))
 
     def piece(b, p):
         from_, width = p["start"] + p["at"], F.lit(GRAM + SIDE)
         left = F.when(p["at"] >= SIDE, F.xxhash64(F.lit(0), part(b, from_ - SIDE, width)))
         right = F.when(p["at"] + GRAM + SIDE <= p["size"], F.xxhash64(F.lit(1), part(b, from_, width)))
-        return F.struct(left.alias("left"), right.alias("right"), p["start"].alias("start"), part(b, p["start"], p["size"]).alias("body"))
+        return F.struct(p["anchor"].alias("anchor"), left.alias("left"), right.alias("right"), p["start"].alias("start"), part(b, p["start"], p["size"]).alias("body"))
 
     both = lambda b: F.struct(F.transform("p", lambda p: piece(b, p)).alias("pieces"), F.transform("r", lambda r: F.struct(r["start"].alias("start"), r["size"].alias("size"), F.sha2(part(b, r["start"], r["size"]), 256).alias("sha"))).alias("ranges"))
     return docs.join(asked, "doc_id").select("doc_id", F.get(F.transform(F.array(F.col("text").cast("binary")), both), F.lit(0)).alias("x")).select("doc_id", "x.pieces", "x.ranges")
 
 
-def told_apart(pieces: DataFrame) -> DataFrame:
-    """doc_id, start, end of strings that another piece of the same key and a smaller doc_id has; of keys with more than MOST
-    bytes the pieces themselves, with body.
+def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
+    """doc_id, start, end of strings that another piece of the same anchor and a smaller doc_id has; of groups with more than
+    MOST bytes the pieces themselves, with body.
 
-    pieces: left, right, doc_id, start, body. A task takes whole keys in turn until a part is full, and merges it. Keys of
-    one document alone are passed over, which is most of them.
+    pieces: anchor, left, right, doc_id, start, body. They are dealt by anchor, those of hot ones by left and by right. A
+    task takes whole groups in turn until a part is full. Most pieces share neither left nor right with another document;
+    the others are merged.
     """
     kind = id_type(pieces)
 
     def several(rows: pa.Table) -> pa.Table:
-        """Rows of keys that two documents or more have; rows are in order of key and doc_id."""
-        key, doc = rows.column("key").to_numpy(), rows.column("doc_id").to_numpy()
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        last = np.append(begin[1:], len(key)) - 1
-        return rows.filter(pa.array(np.repeat(doc[begin] != doc[last], last - begin + 1)))
+        """Rows whose left or right another document has too."""
+        doc, out = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)[1], np.zeros(rows.num_rows, bool)
+        for side in ("left", "right"):
+            column = rows.column(side)
+            some = np.flatnonzero(column.is_valid().to_numpy())
+            key = column.drop_null().to_numpy()
+            order = np.argsort(key, kind="stable")
+            if len(order):
+                edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+                who = doc[some][order]
+                apart = np.minimum.reduceat(who, edges) < np.maximum.reduceat(who, edges)
+                out[some[order[np.repeat(apart, np.diff(np.append(edges, len(order))))]]] = True
+        return rows.filter(pa.array(out))
 
     def batch(doc, start, end, body) -> pa.RecordBatch:
         body = pa.nulls(len(doc), pa.binary()) if body is None else body.combine_chunks().cast(pa.binary())
@@ -295,7 +298,10 @@ def told_apart(pieces: DataFrame) -> DataFrame:
         ids = rows.column("doc_id").to_numpy()
         of, place = earlier([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("body")], np.unique(ids, return_inverse=True)[1])
         begin = rows.column("start").to_numpy()[of] + place
-        return batch(ids[of], begin, begin + LENGTH, None)
+        order = np.lexsort((begin, ids[of]))
+        doc, begin = ids[of][order], begin[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + 1)])) if len(doc) else np.empty(0, int)
+        return batch(doc[first], begin[first], begin[np.append(first[1:], len(doc))[: len(first)] - 1] + LENGTH, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, rest, over = [], None, None
@@ -325,8 +331,8 @@ def told_apart(pieces: DataFrame) -> DataFrame:
         if sum(x.num_rows for x in ready):
             yield merged(pa.concat_tables(ready))
 
-    sides = pieces.select(F.explode(F.array("left", "right")).alias("key"), "doc_id", "start", "body").where("key IS NOT NULL")
-    rows = sides.repartition("key").sortWithinPartitions("key", "doc_id")
+    keys = F.when(F.col("anchor").isin(hot), F.array("left", "right")).otherwise(F.array("anchor")) if hot else F.array("anchor")
+    rows = pieces.select(F.explode(keys).alias("key"), "left", "right", "doc_id", "start", "body").where("key IS NOT NULL").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, f"doc_id {kind}, start long, end long, body binary")
 
 
@@ -341,7 +347,8 @@ def compared_strings(pieces: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, start, end: stretches whose strings of LENGTH bytes a document with a smaller doc_id has too."""
     some = docs.where("doc_id IS NOT NULL")
-    shared = shared_pieces(some)
+    hot = hot_anchors(some)
+    shared = shared_pieces(some, hot)
     freed(docs.sparkSession)
     runs = written(copied_runs(shared), "repeats-runs")
     first = runs.select(F.col("f_doc").alias("doc_id"), F.col("f_start").alias("start"), "size")
@@ -356,7 +363,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         anchors = shared.where("f_doc IS NOT NULL").join(clashing, "doc_id").where("start >= from AND start + size <= to").select("anchor").distinct()
         again = piece_rows(some).join(anchors, "anchor", "left_semi")
         pieces = pieces.unionByName(cut(some, again, runs.limit(0)).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*"))
-    told = written(told_apart(pieces), "repeats-told")
+    told = written(told_apart(pieces, hot), "repeats-told")
     ranges = judged.where("same").drop("same").unionByName(told.where("body IS NULL").drop("body"))
     large = told.where("body IS NOT NULL").select("doc_id", "start", "body")
     if not large.isEmpty():
