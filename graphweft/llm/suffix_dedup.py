@@ -247,7 +247,7 @@ def copied_runs(shared: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame, pieces: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, pieces (anchor, left, right, start, body) and ranges (start, size, sha): what is asked of each text, in one pass over it.
+    """doc_id, pieces (anchor, left, right, start, at, body) and ranges (start, size, sha): what is asked of each text, in one pass over it.
 
     left and right are hashes of the anchor with the SIDE bytes before and after it, null where the piece has fewer there.
     """
@@ -259,7 +259,7 @@ def cut(docs: DataFrame, pieces: DataFrame, ranges: DataFrame) -> DataFrame:
         from_, width = p["start"] + p["at"], F.lit(GRAM + SIDE)
         left = F.when(p["at"] >= SIDE, F.xxhash64(F.lit(0), part(b, from_ - SIDE, width)))
         right = F.when(p["at"] + GRAM + SIDE <= p["size"], F.xxhash64(F.lit(1), part(b, from_, width)))
-        return F.struct(p["anchor"].alias("anchor"), left.alias("left"), right.alias("right"), p["start"].alias("start"), part(b, p["start"], p["size"]).alias("body"))
+        return F.struct(p["anchor"].alias("anchor"), left.alias("left"), right.alias("right"), p["start"].alias("start"), p["at"].alias("at"), part(b, p["start"], p["size"]).alias("body"))
 
     both = lambda b: F.struct(F.transform("p", lambda p: piece(b, p)).alias("pieces"), F.transform("r", lambda r: F.struct(r["start"].alias("start"), r["size"].alias("size"), F.sha2(part(b, r["start"], r["size"]), 256).alias("sha"))).alias("ranges"))
     return docs.join(asked, "doc_id").select("doc_id", F.get(F.transform(F.array(F.col("text").cast("binary")), both), F.lit(0)).alias("x")).select("doc_id", "x.pieces", "x.ranges")
@@ -269,16 +269,17 @@ def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
     """doc_id, start, end of strings that another piece of the same anchor and a smaller doc_id has; of groups with more than
     MOST bytes the pieces themselves, with body.
 
-    pieces: anchor, left, right, doc_id, start, body. They are dealt by anchor, those of hot ones by left and by right. A
+    pieces: anchor, left, right, doc_id, start, at, body. They are dealt by anchor, those of hot ones by left and by right. A
     task takes whole groups in turn until a part is full. Most pieces share neither left nor right with another document;
     the others are merged.
     """
     kind = id_type(pieces)
 
     def several(rows: pa.Table) -> pa.Table:
-        """Rows whose left or right another document has too."""
-        doc, out = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)[1], np.zeros(rows.num_rows, bool)
-        for side in ("left", "right"):
+        """Rows whose left or right another document has too, with what of the body strings with it can reach: low and high."""
+        doc = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)[1]
+        found = {side: np.zeros(rows.num_rows, bool) for side in ("left", "right")}
+        for side, out in found.items():
             column = rows.column(side)
             some = np.flatnonzero(column.is_valid().to_numpy())
             key = column.drop_null().to_numpy()
@@ -288,7 +289,11 @@ def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
                 who = doc[some][order]
                 apart = np.minimum.reduceat(who, edges) < np.maximum.reduceat(who, edges)
                 out[some[order[np.repeat(apart, np.diff(np.append(edges, len(order))))]]] = True
-        return rows.filter(pa.array(out))
+        at = rows.column("at").to_numpy().astype(np.int64)
+        low = np.where(found["left"], 0, np.maximum(at - SIDE, 0))
+        high = np.where(found["right"], 2 * LENGTH, at + GRAM + SIDE)
+        rows = rows.select(["doc_id", "start", "body"]).append_column("low", pa.array(low)).append_column("high", pa.array(high))
+        return rows.filter(pa.array(found["left"] | found["right"]))
 
     def batch(doc, start, end, body) -> pa.RecordBatch:
         body = pa.nulls(len(doc), pa.binary()) if body is None else body.combine_chunks().cast(pa.binary())
@@ -296,8 +301,10 @@ def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
 
     def merged(rows: pa.Table) -> pa.RecordBatch:
         ids = rows.column("doc_id").to_numpy()
-        of, place = earlier([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("body")], np.unique(ids, return_inverse=True)[1])
-        begin = rows.column("start").to_numpy()[of] + place
+        low, high = (rows.column(k).to_numpy() for k in ("low", "high"))
+        bodies = [np.frombuffer(x.as_buffer(), np.uint8)[a:b] for x, a, b in zip(rows.column("body"), low.tolist(), high.tolist(), strict=True)]
+        of, place = earlier(bodies, np.unique(ids, return_inverse=True)[1])
+        begin = (rows.column("start").to_numpy() + low)[of] + place
         order = np.lexsort((begin, ids[of]))
         doc, begin = ids[of][order], begin[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + 1)])) if len(doc) else np.empty(0, int)
@@ -332,7 +339,7 @@ def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
             yield merged(pa.concat_tables(ready))
 
     keys = F.when(F.col("anchor").isin(hot), F.array("left", "right")).otherwise(F.array("anchor")) if hot else F.array("anchor")
-    rows = pieces.select(F.explode(keys).alias("key"), "left", "right", "doc_id", "start", "body").where("key IS NOT NULL").repartition("key").sortWithinPartitions("key")
+    rows = pieces.select(F.explode(keys).alias("key"), "left", "right", "doc_id", "start", "at", "body").where("key IS NOT NULL").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, f"doc_id {kind}, start long, end long, body binary")
 
 
