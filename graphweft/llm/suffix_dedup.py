@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -84,16 +84,24 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield body[a:b]
 
 
-def piece_rows(docs: DataFrame) -> DataFrame:
-    """anchor, piece, doc_id, start, size of every piece, and the place of its anchor in it."""
+def piece_rows(docs: DataFrame, hot: tuple[int, ...] = ()) -> DataFrame:
+    """anchor, piece, doc_id and place of every piece.
+
+    place packs start, size and the anchor's place in the piece (see unpacked). The last bit of an anchor is 0; those of
+    hot ones are spread over SALTS values with last bit 1.
+    """
+    hot = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
 
         def batch(found: list[tuple], ids: list[int], source: pa.Array) -> pa.RecordBatch:
             a, p, s, e, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            columns = [a.view(np.int64), p.view(np.int64), source.take(pa.array(np.repeat(ids, [len(f[0]) for f in found]), pa.int64())), s, (e - s).astype(np.int16), (at - s).astype(np.int8)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "piece", "doc_id", "start", "size", "at"])
+            a &= ~U(1)
+            is_hot = np.isin(a.view(np.int64), hot)
+            a[is_hot] = mixed(a[is_hot] + mixed(s[is_hot].astype(U), 24) % U(SALTS), 25) | U(1)
+            columns = [a.view(np.int64), p.view(np.int64), source.take(pa.array(np.repeat(ids, [len(f[0]) for f in found]), pa.int64())), s << 14 | (e - s) << 7 | (at - s)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "piece", "doc_id", "place"])
 
         for b in batches:
             found, ids, size = [], [], 0
@@ -107,7 +115,12 @@ def piece_rows(docs: DataFrame) -> DataFrame:
             if found:
                 yield batch(found, ids, b.column(0))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, piece long, doc_id {id_type(docs)}, start long, size short, at byte")
+    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, piece long, doc_id {id_type(docs)}, place long")
+
+
+def unpacked(place: Column) -> list[Column]:
+    """start, size and at of a piece."""
+    return [F.shiftright(place, 14).alias("start"), (F.shiftright(place, 7) % 128).alias("size"), (place % 128).alias("at")]
 
 
 def transform(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,13 +224,10 @@ def shared_pieces(docs: DataFrame, hot: list[int]) -> DataFrame:
     first of equal pieces that it sees; these few are compared with each other later, like different pieces.
     """
     kind = id_type(docs)
-    is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
-    rows = piece_rows(docs).withColumn("salt", F.when(is_hot, 1 + F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0).cast("int"))
-    same = Window.partitionBy("anchor", "salt")
-    equal = Window.partitionBy("anchor", "salt", "piece")
-    marked = rows.select("*", F.min(F.struct("doc_id", "start")).over(equal).alias("first"), (F.min("piece").over(same) < F.max("piece").over(same)).alias("several"))
+    same, equal = Window.partitionBy("anchor"), Window.partitionBy("anchor", "piece")
+    marked = piece_rows(docs, tuple(hot)).select("*", F.min(F.struct("doc_id", "place")).over(equal).alias("first"), F.min("piece").over(same).alias("p1"), F.max("piece").over(same).alias("p2"))
     later = F.when(F.col("doc_id") > F.col("first.doc_id"), F.col("first"))
-    out = marked.where("doc_id > first.doc_id OR several OR salt > 0").select("anchor", "doc_id", "start", "size", "at", later["doc_id"].cast(kind).alias("f_doc"), later["start"].alias("f_start"))
+    out = marked.where("doc_id > first.doc_id OR p1 <> p2 OR anchor % 2 <> 0").select("anchor", "doc_id", *unpacked(F.col("place")), later["doc_id"].cast(kind).alias("f_doc"), F.shiftright(later["place"], 14).alias("f_start"))
     return written(out, "repeats-shared")
 
 
@@ -242,7 +252,7 @@ def copied_runs(shared: DataFrame) -> DataFrame:
                 columns = [np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(which), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), b.column(0).type, pa.int64()), strict=True))], ["doc_id", "start", "size", "f_doc", "f_start"])
 
-    lists = shared.where("f_doc IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("size").cast("long").alias("size"), "f_doc", "f_start")).alias("at"))
+    lists = shared.where("f_doc IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "f_doc", "f_start")).alias("at"))
     return lists.mapInArrow(run, schema)
 
 
@@ -265,7 +275,7 @@ def cut(docs: DataFrame, pieces: DataFrame, ranges: DataFrame) -> DataFrame:
     return docs.join(asked, "doc_id").select("doc_id", F.get(F.transform(F.array(F.col("text").cast("binary")), both), F.lit(0)).alias("x")).select("doc_id", "x.pieces", "x.ranges")
 
 
-def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
+def told_apart(pieces: DataFrame) -> DataFrame:
     """doc_id, start, end of strings that another piece of the same anchor and a smaller doc_id has; of groups with more than
     MOST bytes the pieces themselves, with body.
 
@@ -300,13 +310,25 @@ def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start, pa.int64()), pa.array(end, pa.int64()), body], ["doc_id", "start", "end", "body"])
 
     def merged(rows: pa.Table) -> pa.RecordBatch:
-        ids = rows.column("doc_id").to_numpy()
-        low, high = (rows.column(k).to_numpy() for k in ("low", "high"))
-        bodies = [np.frombuffer(x.as_buffer(), np.uint8)[a:b] for x, a, b in zip(rows.column("body"), low.tolist(), high.tolist(), strict=True)]
-        of, place = earlier(bodies, np.unique(ids, return_inverse=True)[1])
-        begin = (rows.column("start").to_numpy() + low)[of] + place
-        order = np.lexsort((begin, ids[of]))
-        doc, begin = ids[of][order], begin[order]
+        """Stretches of each document; equal bodies, as of lines that a document repeats, are merged once."""
+        ids, start, low, high = (rows.column(k).to_numpy() for k in ("doc_id", "start", "low", "high"))
+        owner, coded = np.unique(ids, return_inverse=True)[1], rows.column("body").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        first = np.unique(code, return_index=True)[1]
+        bodies = [np.frombuffer(x.as_buffer(), np.uint8)[a:b] for x, a, b in zip(coded.dictionary, low[first].tolist(), high[first].tolist(), strict=True)]
+        least = np.full(len(bodies), len(ids))
+        np.minimum.at(least, code, owner)
+        of, place = earlier(bodies, least)
+        # of each row its body's places, or all of them where a smaller document has the same body
+        whole = owner > least[code]
+        order = np.argsort(of, kind="stable")
+        from_, n = np.searchsorted(of[order], code), np.where(whole, [len(x) - LENGTH + 1 for x in map(bodies.__getitem__, code.tolist())], np.bincount(of, minlength=len(bodies))[code])
+        row = np.repeat(np.arange(len(ids)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        places = np.append(place[order], 0)  # one more, so that rows with all their places may look beyond the last
+        begin = (start + low)[row] + np.where(whole[row], k, places[np.minimum(from_[row] + k, len(places) - 1)])
+        order = np.lexsort((begin, ids[row]))
+        doc, begin = ids[row][order], begin[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + 1)])) if len(doc) else np.empty(0, int)
         return batch(doc[first], begin[first], begin[np.append(first[1:], len(doc))[: len(first)] - 1] + LENGTH, None)
 
@@ -338,7 +360,7 @@ def told_apart(pieces: DataFrame, hot: list[int]) -> DataFrame:
         if sum(x.num_rows for x in ready):
             yield merged(pa.concat_tables(ready))
 
-    keys = F.when(F.col("anchor").isin(hot), F.array("left", "right")).otherwise(F.array("anchor")) if hot else F.array("anchor")
+    keys = F.when(F.col("anchor") % 2 != 0, F.array("left", "right")).otherwise(F.array("anchor"))
     rows = pieces.select(F.explode(keys).alias("key"), "left", "right", "doc_id", "start", "at", "body").where("key IS NOT NULL").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, f"doc_id {kind}, start long, end long, body binary")
 
@@ -368,9 +390,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     clashing = judged.where("NOT same").select("doc_id", F.col("start").alias("from"), F.col("end").alias("to"))
     if not clashing.isEmpty():  # pieces of one hash that differ: all pieces of their anchors are told apart
         anchors = shared.where("f_doc IS NOT NULL").join(clashing, "doc_id").where("start >= from AND start + size <= to").select("anchor").distinct()
-        again = piece_rows(some).join(anchors, "anchor", "left_semi")
+        again = piece_rows(some, tuple(hot)).join(anchors, "anchor", "left_semi").select("anchor", "doc_id", *unpacked(F.col("place")))
         pieces = pieces.unionByName(cut(some, again, runs.limit(0)).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*"))
-    told = written(told_apart(pieces, hot), "repeats-told")
+    told = written(told_apart(pieces), "repeats-told")
     ranges = judged.where("same").drop("same").unionByName(told.where("body IS NULL").drop("body"))
     large = told.where("body IS NOT NULL").select("doc_id", "start", "body")
     if not large.isEmpty():
