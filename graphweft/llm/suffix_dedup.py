@@ -211,9 +211,11 @@ def hot_anchors(docs: DataFrame) -> list[int]:
 
     They only choose between two ways to the same rows, so it doesn't matter which documents are looked at.
     """
-    seen = piece_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PROBE)) == 0)).groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = seen.withColumn("all", F.sum("n").over(Window.partitionBy())).where((F.col("n") >= 100) & (F.col("n") >= HOT * F.col("all")))
-    return [r["anchor"] for r in hot.select("anchor").collect()]
+    seen = written(piece_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PROBE)) == 0)).groupBy("anchor").agg(F.count("*").alias("n")), "repeats-probe")
+    least = max(100, HOT * (seen.agg(F.sum("n").alias("n")).first()["n"] or 0))
+    hot = [r["anchor"] for r in seen.where(F.col("n") >= least).select("anchor").collect()]
+    dropped(seen)
+    return hot
 
 
 def shared_pieces(docs: DataFrame, hot: list[int]) -> DataFrame:

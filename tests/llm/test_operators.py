@@ -330,6 +330,56 @@ def test_fuzzy_passages_of_one_pair_are_cut_and_grown(spark):
     assert [(r["start"], r["end"], r["partner_start"], r["partner_end"]) for r in rows if r["doc_id"] == 9] == [(12, 55, 30, 74)]
 
 
+def test_fuzzy_passages_of_many_holders(spark):
+    """Documents that share a passage whose parts others hold as well, a long gap with edits, a passage far beyond a chain."""
+    parts = [prose(300 + k, 30).split() for k in range(4)]
+    x, y, z, w = parts
+    own = lambda k: [f"o{k}w{i}" for i in range(12)]
+    texts = {0: x, 1: y, 2: x + y, 3: x, 4: y, 5: x + y, 6: z + w, 7: y + z, 8: x + y + z, 9: z, 10: own(0) + x + y + z + w, 11: w, 12: z + w + own(1)}
+    texts = {k: own(50 + k) + t for k, t in texts.items()}
+    for k, gap in ((20, 480), (22, 520), (24, 1500)):
+        ends, middle = [prose(400 + k + i, 300).split() for i in range(2)], prose(500 + k, gap).split()
+        texts[k] = ends[0] + middle + ends[1]
+        texts[k + 1] = ends[0] + [f"e{i}" if i % 4 == 0 else v for i, v in enumerate(middle)] + ends[1]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")
+    rows = fuzzy_passages(frame).collect()
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    sides = [((r["doc_id"], r["start"], r["end"]), (r["partner_id"], r["partner_start"], r["partner_end"])) for r in rows]
+    for a, b in sides:
+        root[find(a)] = find(b)
+    nodes = list(root)
+    for a in nodes:  # passages of one document that have 40 words in common belong together
+        for b in nodes:
+            if a[0] == b[0] and min(a[2], b[2]) - max(a[1], b[1]) >= 40:
+                root[find(a)] = find(b)
+    wanted = [(i, j) for i in texts for j in texts if j < i < 20 and brute_local(texts[i], texts[j])]
+    met = [(i, j) for i, j in wanted if {find(n) for n in nodes if n[0] == i} & {find(n) for n in nodes if n[0] == j}]
+    assert (5, 2) in met and len(wanted) > 8 and len(met) >= 0.9 * len(wanted), (wanted, met)
+    for k in (20, 22, 24):
+        mine = [(r["start"], r["end"]) for r in rows if (r["doc_id"], r["partner_id"]) == (k + 1, k)]
+        assert sum(e - s for s, e in mine) >= 600 and min(s for s, e in mine) == 0 and max(e for s, e in mine) == len(texts[k + 1]), mine
+
+
+def test_long_gaps_have_the_fewest_edits(monkeypatch):
+    from graphweft.llm import fuzzy_passages as f
+
+    rng = random.Random(2)
+    for _ in range(20):
+        a = [rng.choice("abcde") for _ in range(rng.randint(1, 60))]
+        b = [v for v in a if rng.random() < 0.8] + [rng.choice("abcde") for _ in range(rng.randint(0, 20))]
+        exact = plain_distance(a, b)
+        monkeypatch.setattr(f, "CELLS", 50)
+        runs = f.between(a, b)
+        assert distance(a, b) == exact == sum(r[0] for r in runs if r[3])
+        assert sum(r[0] * r[1] for r in runs) == len(a) and sum(r[0] * r[2] for r in runs) == len(b)
+
+
 def test_quality_rules(docs):
     for r in quality_rules(docs).collect():
         text = dict((i, t) for i, t in odd_texts() if i is not None).get(r["doc_id"])
