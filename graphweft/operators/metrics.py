@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.operators.graph import OWNED, TEMPLATE, Graph
 
 
-def degree(edges: DataFrame, at: str, other: str, name: str) -> DataFrame:
-    """Distinct neighbours per node. Pairs are made distinct first, so a hub's count is combined in every task."""
-    return edges.select(F.col(at).alias("id"), F.col(other).alias("o")).distinct().groupBy("id").agg(F.count("*").alias(name))
-
-
 def symbol_metrics(graph: Graph, entities: DataFrame) -> DataFrame:
-    coupled = graph.edges.where(~F.col("type").isin(OWNED))
-    uses = graph.typed("USES_COMPONENT", "USES_DIRECTIVE", "USES_PIPE")
-    parts = [
-        degree(coupled, "dst", "src", "inbound"), degree(coupled, "src", "dst", "outbound"), degree(graph.typed("INJECTS"), "dst", "src", "injections"),
-        degree(graph.typed(*TEMPLATE), "dst", "src", "template_usages"), degree(uses, "dst", "src", "selector_usages"),
-    ]
-    joined = reduce(lambda a, p: a.join(p, "id", "left"), parts, entities.select("id"))
+    """Distinct neighbours per entity, by direction and kind of edge, in one pass over the edges.
+
+    Each edge counts at both its ends. Pairs are made distinct first, so a hub's count is combined in every task.
+    """
+    kinds = {"inbound": ~F.col("type").isin(OWNED), "injections": F.col("type") == "INJECTS", "template_usages": F.col("type").isin(TEMPLATE), "selector_usages": F.col("type").isin("USES_COMPONENT", "USES_DIRECTIVE", "USES_PIPE")}
+    at = lambda near, far, into: F.struct(F.col(near).alias("id"), F.col(far).alias("other"), F.lit(into).alias("into"))
+    ends = graph.edges.select(F.explode(F.array(at("dst", "src", True), at("src", "dst", False))).alias("e"), *(c.alias(k) for k, c in kinds.items()))
+    pairs = ends.groupBy("e").agg(*(F.max(k).alias(k) for k in kinds))
+    count = lambda k, into: F.count_if(F.col(k) & (F.col("e.into") == into))
+    counts = pairs.groupBy("e.id").agg(count("inbound", True).alias("inbound"), count("inbound", False).alias("outbound"), *(count(k, True).alias(k) for k in ("injections", "template_usages", "selector_usages")))
+    joined = entities.select("id").join(counts, "id", "left")
     return joined.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in joined.columns[1:]))
 
 

@@ -2,50 +2,89 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions.lineage import cut
+from graphweft.functions.lineage import cut, dropped
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges (written) without nodes that no edge enters or none leaves, until every node left has both."""
+    before = -1
+    while (now := edges.count()) not in (before, 0):
+        before = now
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        last, edges = edges, cut(kept.select("src", "dst"), "core")
+        dropped(last)
+    return edges
+
+
+def spread(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """values (id, v) with the largest v that reaches each node along edges (src, dst); each round takes one step."""
+    while True:
+        came = values.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max("v").alias("came"))
+        after = cut(values.join(came, "id", "left").select("id", F.greatest("v", "came").alias("v"), (F.coalesce("came", "v") > F.col("v")).alias("new")), "colours")
+        done = after.where("new").isEmpty()
+        dropped(values)
+        values = after.select("id", "v")
+        if done:
+            return values
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """id of every node on a cycle, self-loops included.
+    """id of every node on a cycle, self-loops included, by colouring forwards and backwards.
 
-    Nodes without an edge in or out are trimmed until none is left; on the core that remains, reachability is doubled.
-    The core is small where cycles are few; its closure is the one place where pairs of nodes are held.
+    Nodes that no cycle can hold are trimmed. Then every node takes the largest id that reaches it as its colour; what
+    reaches that node again within the colour is its strong component. The components found go, and the rest is done
+    over. No pair of nodes that isn't an edge is ever held.
     """
-    rest, before = cut(edges.select("src", "dst").distinct(), "core"), -1
-    while (now := rest.count()) != before:
-        before = now
-        if not now:
-            break
-        kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        rest = cut(kept.select("src", "dst"), "core")
-    reach, before = rest, -1
-    while (now := reach.count()) != before:
-        before = now
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        reach = cut(reach.unionByName(step).distinct(), "reach")
-    return reach.where("src = dst").select(F.col("src").alias("id"))
+    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    rest, found = trimmed(cut(edges.where("src <> dst").select("src", "dst").distinct(), "core")), []
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("src").alias("id")).distinct()
+        colour = spread(cut(nodes.select("id", F.col("id").alias("v")), "colours"), rest)
+        of = lambda k: colour.select(F.col("id").alias(k), F.col("v").alias(f"{k}_colour"))
+        inside = cut(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
+        back = spread(cut(colour.select("id", (F.col("id") == F.col("v")).cast("int").alias("v")), "colours"), inside)
+        strong = back.where("v = 1").select("id")
+        # a component of one node is on no cycle: only those with an edge inside are
+        pairs = inside.join(strong.withColumnRenamed("id", "src"), "src", "left_semi").join(strong.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        found.append(cut(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), "cycles"))
+        left = rest.join(strong.withColumnRenamed("id", "src"), "src", "left_anti").join(strong.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        last, rest = rest, trimmed(cut(left.select("src", "dst"), "core"))
+        for used in (last, inside, colour, back):
+            dropped(used)
+    out = loops
+    for more in found:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and level: 0 without dependencies, else one more than the highest one's. Nodes that a cycle holds up have none.
 
-    Each round takes the nodes whose dependencies have all been taken. What is written per round is the rest only.
+    Edges are written once with the number of dependencies of their source. Each round joins them with the level before
+    and adds to what has been counted of the sources that are not done; only these and the next level are written.
     """
-    deps = edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    left, rest, out, level = cut(nodes.select("id").distinct(), "left"), cut(deps.select("src", "dst"), "rest"), None, 0
-    while not left.isEmpty():
-        ready = cut(left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "ready")
+    ids = nodes.select("id").distinct()
+    deps = edges.select("src", "dst").distinct().join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    need = deps.groupBy("src").agg(F.count("*").alias("need"))
+    rest = cut(deps.join(need, "src").select("src", "dst", "need").repartition("dst"), "deps")
+    ready = cut(ids.join(rest.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")), "level")
+    out, counted, level = [ready], None, 0
+    while True:
+        level += 1
+        came = rest.join(ready.select(F.col("id").alias("dst")), "dst").groupBy("src").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+        both = came if counted is None else came.unionByName(counted).groupBy("src").agg(F.sum("n").alias("n"), F.first("need").alias("need"))
+        state = cut(both, "counted")
+        ready = state.where("n = need").select(F.col("src").alias("id"), F.lit(level).alias("level"))
         if ready.isEmpty():
             break
-        out = ready if out is None else out.unionByName(ready)
-        done = ready.select("id")
-        left = cut(left.join(done, "id", "left_anti"), "left")
-        rest = cut(rest.join(done.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "rest")
-        level += 1
-    return out if out is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
+        out.append(ready)
+        counted = state.where("n < need")
+    return reduce(DataFrame.unionByName, out)
 
 
 def batches(tasks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions.lineage import cut
+from graphweft.functions.lineage import cut, dropped
 from graphweft.operators.graph import ELIGIBLE, STRUCTURAL, TEMPLATE, Graph
 
 
@@ -18,14 +18,14 @@ def traverse(graph: Graph, seeds: DataFrame, direction: str = "in", depth: int |
     """seed, id, depth and edge_chain of every node that a seed reaches.
 
     seeds: one column, id. Each seed has its own visited set. Of several shortest paths the one with the smallest chain is
-    given; since `>` sorts before letters, the smallest per level is the smallest of all. Edges and tests are filtered
-    once, before the loop; a level's frontier is written so the plan stays short however deep it goes.
+    given; since `>` sorts before letters, the smallest per level is the smallest of all. Edges are filtered and written
+    once, before the loop, dealt by the end they are entered at; a level's frontier is written, so the plan stays short.
     """
     start, end = ("dst", "src") if direction == "in" else ("src", "dst")
     edges = graph.typed(*(kinds or ELIGIBLE)).select(F.col(start).alias("from"), F.col(end).alias("to"), "type")
     if not tests:
         edges = edges.join(graph.nodes.where("is_test").select(F.col("id").alias("to")), "to", "left_anti")
-    edges = edges.select("from", "to", "type")
+    edges = cut(edges.select("from", "to", "type").repartition("from"), "edges")
     frontier = cut(seeds.distinct().select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.lit("").alias("edge_chain")), "frontier")
     seen = frontier
     for level in range(1, depth_of(depth) + 1):
@@ -38,6 +38,24 @@ def traverse(graph: Graph, seeds: DataFrame, direction: str = "in", depth: int |
     return seen.where("depth > 0")
 
 
+def ancestors(child_of: DataFrame) -> DataFrame:
+    """id, ancestor and distance over paths of any length in child_of (id, parent); a node on a cycle is no ancestor of itself.
+
+    Paths double in each round: one longer than 2^k begins with one of exactly 2^k, so only these are joined with all that
+    are known. A chain of a thousand takes ten rounds.
+    """
+    known, length = cut(child_of.where("id <> parent").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct(), "paths"), 1
+    while True:
+        first = known.where(F.col("distance") == length).select("id", F.col("ancestor").alias("via"), F.col("distance").alias("d"))
+        rest = known.select(F.col("id").alias("via"), "ancestor", "distance")
+        longer = first.join(rest, "via").where("id <> ancestor").groupBy("id", "ancestor").agg(F.min(F.col("d") + F.col("distance")).alias("distance"))
+        new = cut(longer.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "paths")
+        if new.isEmpty():
+            dropped(new)
+            return known
+        known, length = known.unionByName(new), 2 * length
+
+
 def impact_class(chain: Column, depth: Column) -> Column:
     """Of a chain of edge types: any template edge, then nothing but structure, then one step, then the rest."""
     kinds = F.split(chain, ">")

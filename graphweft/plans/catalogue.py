@@ -11,7 +11,7 @@ from graphweft.functions import expressions as X
 from graphweft.operators import findings as fd
 from graphweft.operators import metrics, normalize, rules, topo
 from graphweft.operators.graph import ELIGIBLE, STRUCTURAL, TEMPLATE, hop
-from graphweft.operators.traverse import impact, in_project, summary, traverse
+from graphweft.operators.traverse import ancestors, impact, in_project, summary, traverse
 from graphweft.plans.star_graph import GRAPH_SQL, star_graph, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +106,7 @@ def module_structure(spark, d):
 def entity_detail(spark, d):
     g = star_graph(spark, d)
     around = g.edges.where("src = 'customer::17' OR dst = 'customer::17'").groupBy("type").agg(F.count("*").alias("n"))
-    return g.nodes.where("id = 'customer::17'").select("id", "label", "name").join(around)
+    return g.nodes.where("id = 'customer::17'").select("id", "label", "name").crossJoin(around)  # one row beside one per type
 
 
 @query(on_graph(" SELECT p.id AS symbol, count(DISTINCT t.id) AS n_templates FROM nodes p JOIN edges e ON e.dst = p.id AND e.type = 'TEMPLATE_USES_PIPE' JOIN nodes t ON t.id = e.src AND t.label = 'Template' GROUP BY p.id"))
@@ -200,11 +200,9 @@ def dependencies(spark, d):
 def route_ancestors(spark, d):
     """All ancestors in chains of turns, each one a child of the turn before."""
     t = table(spark, d, "conversations").select("conv_id", "turn").distinct()
-    t.createOrReplaceTempView("graphweft_turns")
-    up = spark.sql(
-        "WITH RECURSIVE up(conv_id, turn, ancestor, distance) AS (SELECT conv_id, turn, turn, 0 FROM graphweft_turns UNION ALL SELECT conv_id, turn, ancestor - 1, distance + 1 FROM up WHERE ancestor > 0) SELECT * FROM up WHERE distance > 0"
-    )
-    return up.join(t.withColumnRenamed("turn", "ancestor"), ["conv_id", "ancestor"], "left_semi").select("conv_id", "turn", "ancestor", "distance")
+    node = lambda turn: F.struct("conv_id", turn.alias("turn"))
+    up = ancestors(t.where("turn > 0").select(node(F.col("turn")).alias("id"), node(F.col("turn") - 1).alias("parent")))
+    return up.select("id.conv_id", "id.turn", F.col("ancestor.turn").alias("ancestor"), F.col("distance")).join(t.withColumnRenamed("turn", "ancestor"), ["conv_id", "ancestor"], "left_semi").select("conv_id", "turn", "ancestor", "distance")
 
 
 @query("WITH r AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+', 0) AS path FROM pages) SELECT page_id, arg_max(path, length(path)) AS route FROM pages JOIN r ON starts_with(url, path) WHERE path <> '' GROUP BY page_id")
