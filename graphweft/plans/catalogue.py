@@ -82,10 +82,10 @@ def service_usage(spark, d):
     return used.select("dst", "label", "src").distinct().groupBy(F.col("dst").alias("service"), F.col("label").alias("user_label")).agg(F.count("*").alias("n_users"))
 
 
-@query(on_graph(" SELECT n.id AS service, c.id AS consumer, c.name AS consumer_name, c.label AS kind FROM edges e JOIN nodes n ON e.dst = n.id JOIN nodes c ON e.src = c.id WHERE e.type = 'INJECTS' AND n.name = 'FRANCE' ORDER BY c.name, c.id LIMIT 20"))
+@query(on_graph(" SELECT n.id AS service, c.id AS consumer, c.name AS consumer_name, c.label AS kind FROM edges e JOIN nodes n ON e.dst = n.id JOIN nodes c ON e.src = c.id WHERE e.type = 'INJECTS' AND n.name = 'NATION_7' ORDER BY c.name, c.id LIMIT 20"))
 def di_consumers(spark, d):
     g = star_graph(spark, d)
-    found = hop(g, ["INJECTS"], g.nodes, g.nodes.where("name = 'FRANCE'"))
+    found = hop(g, ["INJECTS"], g.nodes, g.nodes.where("name = 'NATION_7'"))
     return found.select(F.col("t_id").alias("service"), F.col("s_id").alias("consumer"), F.col("s_name").alias("consumer_name"), F.col("s_label").alias("kind")).orderBy("consumer_name", "consumer").limit(20)
 
 
@@ -418,10 +418,12 @@ def module_complexity(spark, d):
     return n.select("id", score.alias("score")).withColumn("feasibility", fd.feasibility(F.col("score")))
 
 
-@query("SELECT DISTINCT user_id FROM events a WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type IN ('error', 'purchase'))")
+@query("SELECT DISTINCT user_id FROM events a WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type IN ('error', 'purchase') AND b.ts::DATE = a.ts::DATE)")
 def subscription_leak(spark, d):
     e = table(spark, d, "events")
-    return e.where("event_type = 'signup'").select("user_id").distinct().join(e.where(F.col("event_type").isin("error", "purchase")), "user_id", "left_anti")
+    days = e.withColumn("day", F.to_date("ts"))
+    ended = days.where(F.col("event_type").isin("error", "purchase")).select("user_id", "day")
+    return days.where("event_type = 'signup'").select("user_id", "day").join(ended, ["user_id", "day"], "left_anti").select("user_id").distinct()
 
 
 @query(on_graph(" SELECT DISTINCT e.src AS template, e.dst AS pipe FROM edges e WHERE e.type = 'TEMPLATE_USES_PIPE' AND NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE 'order::' || l_orderkey = e.src AND s_acctbal > 0)"))
