@@ -12,11 +12,15 @@ from graphweft.functions.expressions import half_up, priority, severity_rank, st
 def build(raw: DataFrame, rules: DataFrame) -> DataFrame:
     """raw(node_id, reason_code, scope) with its rule's values, type and a deterministic id; an unknown code is an error.
 
-    The rules are some dozens of rows, so they are sent to every task.
+    A column type of raw overrides the type that follows from the severity; so does a blocker only where that is high or
+    critical, else it is an error. The rules are some dozens of rows, so they are sent to every task.
     """
     kind = F.when(F.col("severity") == "critical", "blocker").when(F.col("severity").isin("high", "medium"), "risk").otherwise("opportunity")
     joined = raw.join(F.broadcast(rules), "reason_code", "left")
     known = F.when(F.col("severity").isNull(), F.raise_error(F.concat(F.lit("no rule for "), "reason_code"))).otherwise(F.col("severity"))
+    if "type" in raw.columns:
+        bad = (F.col("type") == "blocker") & ~F.col("severity").isin("high", "critical")
+        kind = F.when(bad, F.raise_error(F.concat(F.lit("no blocker: "), "reason_code"))).otherwise(F.coalesce("type", kind))
     return joined.withColumn("severity", known).select(
         stable_id("node_id", "reason_code", "scope").alias("id"), kind.alias("type"), "category", "severity", "node_id", "reason_code",
         "confidence", "scope", F.col("category").isin("angular", "rxjs").alias("is_deprecated"),

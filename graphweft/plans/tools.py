@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from graphweft.functions import expressions as X
 from graphweft.operators import findings as fd
-from graphweft.operators import rules, tools
+from graphweft.operators import analyzers, rules, tools
 from graphweft.plans import catalogue as c
 from graphweft.plans.catalogue import query, quoted, table
 from graphweft.plans.star_graph import star_graph
@@ -178,3 +180,49 @@ def tool_migration_tasks(spark, d):
     node = lambda k: F.concat(F.lit("order::"), k)
     order = table(spark, d, "orders").select(node("o_orderkey").alias("a"), node(F.col("o_orderkey") + 10_000_000_000).alias("b"))
     return tools.migration_tasks(items, fd.item_links(items.select("id", "node_id"), order), "blocker")
+
+
+#: What the file of part k holds, by k % 14, with what it is found to be.
+CASES: list[tuple[str, list[tuple[str, str]]]] = [
+    ("import 'rxjs/add/operator/map';", [("RXJS_PATCH_IMPORTS", "risk")]),
+    ("const x = a$.toPromise(); // y", [("RXJS_TO_PROMISE", "risk")]),
+    ("return throwError('bad');", [("RXJS_THROW_ERROR_STRING", "risk")]),
+    ("this.r.resolveComponentFactory(A);", [("ANG_COMPONENT_FACTORY", "risk")]),
+    ("this.get(a).map(f);", [("RXJS_NON_PIPEABLE", "risk")]),
+    ("this.get(a).pipe(x).map(f); // b.toPromise()", []),
+    ("static forRoot(): ModuleWithProviders<A> { }", [("ANG_MODULE_WITH_PROVIDERS", "opportunity")]),
+    ("@Component({selector: 'a-#', standalone: true, changeDetection: ChangeDetectionStrategy.OnPush, template: `<input [(ngModel)]=\"v\">`}) class C# { }", [("TMPL_NGMODEL_MISSING_IMPORT", "blocker")]),
+    ("@Component({selector: 'a-#', standalone: true, imports: [FormsModule, P13], template: `<b *ngIf=\"v\"><i ngModel></i>{{ v | p13 }}</b>`}) class C# { }", [("TMPL_OLD_STRUCTURAL_DIRECTIVE", "opportunity")]),
+    ("@Component({selector: 'a-#', templateUrl: './../t/#.html'}) class C# { }", [("TMPL_ASYNC_WITHOUT_ONPUSH", "opportunity"), ("ANG_CD_DEFAULT", "opportunity"), ("ANG_NGMODULE_HEAVY", "risk"), ("TMPL_OLD_STRUCTURAL_DIRECTIVE", "opportunity")]),
+    ("@Injectable({}) export class G# implements CanActivate, OnInit { }", [("ANG_CLASS_BASED_GUARD", "risk")]),
+    ("@Injectable({}) export class Resolve# { }", [("ANG_CLASS_BASED_RESOLVER", "risk")]),
+    ("@Component({selector: 'a-#', standalone: true, template: `{{ v || w }}{{ v | p13 }}`}) class C# { }", [("TMPL_PIPE_MISSING_IMPORT", "blocker")]),
+    ("@NgModule({declarations: [D#], entryComponents: [D#]}) class M# { }\n@Component({selector: 'd-#', changeDetection: ChangeDetectionStrategy.OnPush}) class D# { }", [("ANG_ENTRY_COMPONENTS", "blocker")]),
+]
+WANTED = ", ".join(f"({k}, '{code}', '{kind}')" for k, (_, found) in enumerate(CASES) for code, kind in found)
+
+
+def case_files(spark, d):
+    """Sources, one of them a pipe, and the templates that some name."""
+    k = F.col("p_partkey")
+    content = reduce(lambda a, i: a.when(k % len(CASES) == i, CASES[i][0]), range(1, len(CASES)), F.when(k % len(CASES) == 0, CASES[0][0]))
+    part = table(spark, d, "part")
+    files = part.select(F.concat(F.lit("src/p/f"), k, F.when(k % 3 == 0, ".spec.ts").otherwise(".ts")).alias("path"), F.replace(content, F.lit("#"), k.cast("string")).alias("content"))
+    pipe = spark.createDataFrame([("src/pipe.ts", "@Pipe({name: 'p13'}) class P13 { }")], "path string, content string")
+    templates = part.where(k % len(CASES) == 9).select(F.concat(F.lit("src/t/"), k, F.lit(".html")).alias("path"), F.lit("<b *ngFor=\"let x of y\">{{ z | async }}</b>").alias("content"))
+    return files.unionByName(pipe), templates
+
+
+@query(f"SELECT reason_code, type, scope, count(*) AS n FROM (SELECT w.reason_code, w.type, CASE WHEN p_partkey % 3 = 0 AND NOT (w.k = 9 AND w.reason_code = 'TMPL_OLD_STRUCTURAL_DIRECTIVE') THEN 'test' ELSE 'production' END AS scope FROM part JOIN (VALUES {WANTED}) w(k, reason_code, type) ON p_partkey % {len(CASES)} = w.k) GROUP BY ALL")
+def analyzer_findings(spark, d):
+    """Findings of every rule on sources and templates, with the rules' values and unique ids."""
+    out = fd.unique(fd.build(analyzers.analyzed(*case_files(spark, d)), rules.reasons(spark)))
+    return out.groupBy("reason_code", "type", "scope").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {c.TRADE_SQL}, r(a, b) AS (SELECT src, dst FROM trade UNION SELECT a, dst FROM r JOIN trade ON b = src), raw AS (SELECT 'nation::' || a AS node_id, 'ARCH_CIRCULAR_DEPENDENCY' AS reason_code, 'blocker' AS type FROM r WHERE a = b UNION ALL SELECT 'nation::' || id, 'ANG_NGMODULE_HEAVY', 'risk' FROM (" + c.SCORE_SQL + ") WHERE feasibility = 'blocked') SELECT substr(sha256(node_id || '::' || reason_code || '::production'), 1, 16) AS id, node_id, reason_code, type FROM raw")
+def structure_findings(spark, d):
+    """Nodes on cycles and modules that are too entangled, as findings."""
+    named = lambda df: df.withColumn("id", F.concat(F.lit("nation::"), "id")).withColumn("file_path", F.lit("m.ts"))
+    rows = analyzers.cycle_rules(named(c.cyclic_nodes(spark, d)).select("id"), named(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")))).unionByName(analyzers.module_rules(named(c.module_complexity(spark, d))))
+    return fd.unique(fd.build(rows, rules.reasons(spark))).select("id", "node_id", "reason_code", "type")
