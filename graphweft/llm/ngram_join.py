@@ -25,8 +25,8 @@ from graphweft.llm.components import components
 
 #: Two sets link if 100 * intersection >= SHARE * union. Words in a shingle.
 SHARE, WORDS = 85, 4
-#: Bytes of text that are hashed at a time, rows of a group that are compared in one task.
-BLOCK, SPLIT = 1 << 19, 8192
+#: Bytes of text that are hashed at a time; rows and bytes of sets in a block of a group, two of which meet in a task.
+BLOCK, SPLIT, HELD = 1 << 19, 8192, 1 << 25
 U = np.uint64
 
 
@@ -266,25 +266,44 @@ def near_pairs(pairs: DataFrame, sizes: DataFrame, share: int) -> DataFrame:
     return both.select("c", "x", "n_c", "n_x", "b_c", "b_x").mapInArrow(run, f"c {kind}, x {kind}, near boolean")
 
 
+def blocks_of(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """c, i, j, side, x, n_shingles, bits: the members of each centre in pairs of blocks, so that every two members meet.
+
+    A block has some SPLIT rows and HELD bytes of sets at most, so a task holds two such blocks whatever a group's size. A
+    row of n comes into as many pairs as there are blocks; most groups are one block and stay as they are.
+    """
+    rows = stars.join(sizes.select(F.col("doc_id").alias("x"), "n_shingles", "bits").hint("merge"), "x")
+    several = rows.groupBy("c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).where("n > 1")
+    sized = several.select("c", F.greatest(F.ceil(F.col("n") / SPLIT), F.ceil(F.col("all") * 8 / HELD)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+
+    def pairs(own):
+        after = F.transform(F.sequence(own, F.col("blocks") - 1), lambda j: pair(own, j, 0))
+        before = F.when(own > 0, F.transform(F.sequence(F.lit(0), F.greatest(own - 1, F.lit(0))), lambda i: pair(i, own, 1)))
+        return F.concat(after, F.coalesce(before, F.slice(after, 1, 0)))
+
+    spread = rows.join(sized, "c").withColumn("own", own).withColumn("p", F.explode(pairs(F.col("own"))))
+    return spread.select("c", "p.i", "p.j", "p.side", "x", "n_shingles", "bits")
+
+
 def possible_others(stars: DataFrame, sizes: DataFrame, share: int) -> DataFrame:
-    """c, block, x: of each centre's members those that may link with another one, by their parity bits.
+    """c, i, j, side, x: of each centre's members those that may link with another one, by their parity bits.
 
-    A large group is split: each block of the rows that ask meets all rows of the group. Bits are compared block by block
-    in a task, and rows come out, not pairs.
+    Bits are compared for two blocks in a task, and rows come out, not pairs.
     """
-    sized = stars.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c", F.ceil(F.col("n") * F.col("n") / (SPLIT * SPLIT)).cast("int").alias("blocks"))
-    spread = stars.join(sized, "c").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = F.pmod(F.xxhash64("x"), F.col("blocks")) == F.col("block")
-    rows = spread.select("c", "block", "x", asking.alias("ask")).join(sizes.select(F.col("doc_id").alias("x"), "n_shingles", "bits").hint("merge"), "x")
     kind = stars.schema["c"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        n, ask = group["n_shingles"].to_numpy(), group["ask"].to_numpy()
+        n, side = group["n_shingles"].to_numpy(), group["side"].to_numpy()
         bits = [np.frombuffer(x, U) for x in group["bits"]]
         length = np.array([len(x) for x in bits])
         keep = np.zeros(len(n), bool)
-        by = {k: (np.flatnonzero(length == k), np.stack([bits[i] for i in np.flatnonzero(length == k)])) for k in np.unique(length)}
-        for i in np.flatnonzero(ask):
+        one = group["i"].iat[0] == group["j"].iat[0]
+        theirs = np.ones(len(n), bool) if one else side == 1
+        by = {k: np.flatnonzero(theirs & (length == k)) for k in np.unique(length[theirs])}
+        by = {k: (at, np.stack([bits[i] for i in at])) for k, at in by.items()}
+        for i in np.flatnonzero(side == 0):
             for k in {length[i], 2 * length[i], length[i] // 2} & by.keys():  # sets that differ more in size don't link
                 which, them = by[k]
                 us, them = (bits[i], them) if k == length[i] else (bits[i], folded(them)) if k > length[i] else (folded(bits[i]), them)
@@ -292,13 +311,13 @@ def possible_others(stars: DataFrame, sizes: DataFrame, share: int) -> DataFrame
                 near[which == i] = False
                 keep[which[near]] = True
                 keep[i] |= near.any()
-        return group.loc[keep, ["c", "block", "x", "ask"]]
+        return group.loc[keep, ["c", "i", "j", "side", "x"]]
 
-    return rows.select("c", "block", "x", "ask", "n_shingles", "bits").groupBy("c", "block").applyInPandas(run, f"c {kind}, block int, x {kind}, ask boolean")
+    return blocks_of(stars, sizes).groupBy("c", "i", "j").applyInPandas(run, f"c {kind}, i int, j int, side int, x {kind}")
 
 
 def among_others(possible: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) of asking rows to other rows of their centre and block, enough to join each component.
+    """Links (a, b) of rows that ask to rows of the other block of their pair, enough to join each component.
 
     Shared elements are counted through lists of the rows that hold an element; elements that all rows hold are counted
     once. Links between rows that are joined already are not given.
@@ -307,7 +326,7 @@ def among_others(possible: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     kind = possible.schema["c"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, ask, out = group["x"].to_numpy(), group["ask"].to_numpy(), []
+        ids, ask, side, out = group["x"].to_numpy(), group["ask"].to_numpy(), group["side"].to_numpy(), []
         items = [np.frombuffer(x, U) for x in group["items"]]
         size = np.array([len(x) for x in items])
         values, code, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
@@ -319,16 +338,17 @@ def among_others(possible: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         holders, edges = holder[order], np.searchsorted(code[order], np.arange(len(values) + 1))
         own = np.searchsorted(holder, np.arange(len(ids) + 1))
         root = np.arange(len(ids))
+        one = group["i"].iat[0] == group["j"].iat[0]
         for i in np.flatnonzero(ask):
             lists = [holders[edges[e] : edges[e + 1]] for e in code[own[i] : own[i + 1]]]
             inter = shared + (np.bincount(np.concatenate(lists), minlength=len(ids)) if lists else np.zeros(len(ids), np.int64))
-            for j in np.flatnonzero(linked(inter, size[i], size, share)):
+            for j in np.flatnonzero(linked(inter, size[i], size, share) & (one | (side != side[i]))):
                 if root[i] != root[j]:
                     root[root == root[i]] = root[j]
                     out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.select("c", "block", "x", "ask", "items").groupBy("c", "block").applyInPandas(run, f"a {kind}, b {kind}")
+    return rows.select("c", "i", "j", "side", "x", "ask", "items").groupBy("c", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def copies(sizes: DataFrame) -> DataFrame:
@@ -355,9 +375,9 @@ def ngram_links(docs: DataFrame, sizes: DataFrame, share: int = SHARE) -> DataFr
     sets = written(shingle_sets(some.join(named.hint("merge"), "doc_id", "left_semi")), "join-sets")
     freed(docs.sparkSession)
     stars = written(compared(near, sets, share), "join-stars")
-    asked = possible.join(stars, ["c", "x"], "left").select("c", "block", "x", (F.col("ask") & ~F.coalesce("link", F.lit(False))).alias("ask"))
-    open_ = asked.groupBy("c", "block").agg(F.max("ask").alias("any")).where("any").select("c", "block")
-    others = among_others(asked.join(open_, ["c", "block"]), sets, share)
+    asked = possible.join(stars, ["c", "x"], "left").select("c", "i", "j", "side", "x", (~F.coalesce("link", F.lit(False))).alias("ask"))
+    open_ = asked.groupBy("c", "i", "j").agg(F.max("ask").alias("any")).where("any").select("c", "i", "j")
+    others = among_others(asked.join(open_, ["c", "i", "j"]), sets, share)
     links = stars.where("link").select(F.col("c").alias("a"), F.col("x").alias("b")).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     out = written(links.unionByName(others), "join-links")
     for used in (equal, pairs, judged, possible, sets, stars):

@@ -149,8 +149,12 @@ def test_ngram_join(docs):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
-def test_ngram_join_of_variants(spark):
-    """Variants of one text, linked with each other but not always with the first."""
+@pytest.mark.parametrize("split", [8192, 20])
+def test_ngram_join_of_variants(spark, monkeypatch, split):
+    """Variants of one text, linked with each other but not always with the first; in one block and in several."""
+    from graphweft.llm import ngram_join as j
+
+    monkeypatch.setattr(j, "SPLIT", split)
     rng, rows = random.Random(5), []
     base = prose(77, 150).split()
     for i in range(120):
