@@ -1,9 +1,10 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
 Sets of word shingles fall in bands of size. Within two neighbouring bands a Jaccard bound is a bound k on the number of
-elements that two sets do not share. The domain of shingles is dealt into groups of two parts each, k + 1 parts and some
-more in all, and every subset of one part of a group is enumerated: sets that differ in k elements at most agree on one
-whole part, so they have a signature in common. Candidates are compared element by element.
+elements that two sets do not share. The domain of shingles is dealt into k // 2 + 1 groups and some more, each of three
+parts, and every subset of two parts of a group is enumerated: sets that differ in k elements at most differ in one at
+most within some group, so they agree on two whole parts of it and have a signature in common. Candidates are compared
+element by element.
 
 A bucket of equal signatures is never paired with itself: its members are compared with its smallest one. Where some are
 not linked with that one, links among the others are looked up by what sets them apart from it.
@@ -107,27 +108,46 @@ class Shingler:
 
 
 class Bands:
-    """Sizes of neighbouring bands, and for each band the parts of the domain that serve it and the one below."""
+    """Sizes of neighbouring bands, and for each band how the domain is parted that serves it and the one below.
+
+    A band on two levels deals the domain into groups: sets that differ in k elements at most differ in one at most in
+    some group of k // 2 + 1. Each group has THREE parts, and every two of them are enumerated: one such pair is the same
+    in both sets. A band of one level (small sets, whose groups would often be empty) has k + 1 parts, one of which is
+    the same. Groups or parts that both sets leave empty tell nothing, so there are `empty` more of them.
+    """
+
+    THREE = 3
 
     def __init__(self, share: int = SHARE, most: int = 1 << 31) -> None:
-        self.low, self.high, self.parts, self.empty = [1], [], [], []
+        self.low, self.high, parts, empty, two = [1], [], [], [], []
         while self.low[-1] <= most:
             self.high.append(self.low[-1] * 100 // share)
             self.low.append(self.high[-1] + 1)
         for i, high in enumerate(self.high):
             k = 2 * high * (100 - share) // (100 + share)
-            spare, least = 0, self.low[max(0, i - 1)]
-            for _ in range(30 if k else 0):  # parts that both sets may leave empty, as these tell nothing
-                n = k + 1 + spare
-                blank = n * np.exp(-least / n)
-                spare = int(np.ceil(blank + 4 * np.sqrt(blank) + 1))
-            self.parts.append(k + 1 + spare)
-            self.empty.append(spare)
-        self.low, self.parts, self.empty = np.array(self.low), np.array(self.parts), np.array(self.empty)
+            least = self.low[max(0, i - 1)]
+            groups = k // 2 + 1
+            n, spare = self.spared(groups, lambda n: 3 * n * np.exp(-2 * least / (3 * n)))
+            on_two = k > 0 and spare <= groups
+            if not on_two:
+                n, spare = self.spared(k + 1, lambda n: n * np.exp(-least / n)) if k else (1, 0)
+            parts.append(n)
+            empty.append(spare)
+            two.append(on_two)
+        self.low, self.parts, self.empty, self.two = np.array(self.low), np.array(parts), np.array(empty), np.array(two)
+
+    @staticmethod
+    def spared(needed: int, blank) -> tuple[int, int]:
+        """How many groups there are so that `needed` ones are very likely left beside the blank ones, of which blank(n) are due."""
+        spare = 0
+        for _ in range(30):
+            due = blank(needed + spare)
+            spare = int(np.ceil(due + 4 * np.sqrt(due) + 1))
+        return needed + spare, spare
 
     def signatures(self, sets: list[np.ndarray], tries: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the set and signature, over all sets. A set with more empty parts than its band allows for is dealt
-        anew with another seed, beside the first: two such sets may have had nothing but empty parts in common."""
+        """Index of the set and signature, over all sets. A set with more blank groups than its band allows for is dealt
+        anew with another seed, beside the first: two such sets may have had nothing but blanks in common."""
         sizes = np.array([len(s) for s in sets])
         some = np.flatnonzero(sizes)
         owner, value = [], []
@@ -139,25 +159,32 @@ class Bands:
             which, seed = np.arange(len(some)), 0
             while len(which):
                 b = band[which] + up
-                parts, spare = self.parts[b], self.empty[b]
+                parts, spare, width = self.parts[b], self.empty[b], np.where(self.two[b], self.THREE, 1)
                 size = sizes[some][which]
-                start = np.cumsum(parts) - parts
+                first = np.cumsum(parts * width) - parts * width  # of each set among the cells of all groups
                 own = items if len(which) == len(some) else np.concatenate([sets[some[i]] for i in which])
                 h = mixed(own, 100 + seed)
                 of = np.repeat(np.arange(len(which)), size)
-                place = start[of] + (((h >> U(32)) * parts[of].astype(U)) >> U(32)).astype(np.int64)
-                total = np.zeros(int(parts.sum()), U)
+                group = (((h >> U(32)) * parts[of].astype(U)) >> U(32)).astype(np.int64)
+                cell = (((h & U(0xFFFFFFFF)) * width[of].astype(U)) >> U(32)).astype(np.int64)
+                place = first[of] + group * width[of] + cell
+                total = np.zeros(int((parts * width).sum()), U)
                 np.add.at(total, place, mixed(h, 7))
-                filled = np.zeros(len(total), bool)
-                filled[place] = True
-                owner_of = np.repeat(np.arange(len(which)), parts)
-                index = np.arange(len(total)) - start[owner_of]
+                held = np.bincount(place, minlength=len(total))
+                owner_of = np.repeat(np.arange(len(which)), parts * width)
+                wide = width[owner_of] > 1
+                at = np.flatnonzero(wide)[:: self.THREE, None] + np.arange(self.THREE) if wide.any() else np.empty((0, self.THREE), np.int64)
+                # on two levels a cell stands for the two other parts of its group
+                total[at], held[at] = total[at].sum(1, keepdims=True, dtype=U) - total[at], held[at].sum(1, keepdims=True) - held[at]
+                index = np.arange(len(total)) - first[owner_of]
                 last = seed + 1 == tries
-                keep = np.ones(len(total), bool) if last else filled
                 tag = mixed(b[owner_of].astype(U) * U(1 << 40) + index.astype(U), 200 + seed)
+                keep = np.ones(len(total), bool) if last else held > 0
                 value.append(mixed(total + tag, 9)[keep])
                 owner.append(some[which[owner_of[keep]]])
-                blank = parts - np.add.reduceat(filled, start)
+                blank_cells = held == 0
+                blank_cells[at] = blank_cells[at].any(1, keepdims=True) & (np.arange(self.THREE) == 0)  # once for a group
+                blank = np.add.reduceat(blank_cells, first)
                 which, seed = (which[blank > spare], seed + 1) if not last else (which[:0], seed)
         return np.concatenate(owner), np.concatenate(value)
 

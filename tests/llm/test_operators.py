@@ -175,8 +175,21 @@ def test_ngram_join_of_variants(spark, monkeypatch, split):
 
 
 def test_bands_cover_all_pairs():
+    import numpy as np
+
     b = Bands()
-    assert (b.low[1:] > b.low[:-1]).all() and (b.parts > b.empty).all()
+    assert (b.low[1:] > b.low[:-1]).all() and (b.parts > b.empty).all() and b.two[b.low >= 143].all()
+    rng = np.random.default_rng(4)
+    for size in (2, 5, 9, 14, 20, 33, 60, 140, 400, 1500):
+        for _ in range(60):  # a set and one that is as far from it as a link allows
+            whole = np.unique(rng.integers(0, 1 << 63, size + 400, dtype=np.uint64))
+            rng.shuffle(whole)
+            gone = int(rng.integers(0, size * 15 // 100 + 1))
+            new = max(0, (100 * (size - gone) - 85 * size) // 85)
+            one, other = np.sort(whole[:size]), np.sort(whole[gone : size + new])
+            assert 100 * len(np.intersect1d(one, other)) >= 85 * len(np.union1d(one, other))
+            owner, value = b.signatures([one, other])
+            assert set(value[owner == 0].tolist()) & set(value[owner == 1].tolist()), (size, gone, new)
 
 
 def brute_repeats(texts, length=50):
