@@ -27,7 +27,7 @@ from graphweft.llm.components import components
 #: Two sets link if 100 * intersection >= SHARE * union. Words in a shingle.
 SHARE, WORDS = 85, 4
 #: Bytes of text that are hashed at a time; rows and bytes of sets in a block of a group, two of which meet in a task.
-BLOCK, SPLIT, HELD = 1 << 19, 8192, 1 << 25
+BLOCK, SPLIT, HELD = 1 << 18, 8192, 1 << 24
 U = np.uint64
 
 

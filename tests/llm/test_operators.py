@@ -178,7 +178,7 @@ def test_bands_cover_all_pairs():
     import numpy as np
 
     b = Bands()
-    assert (b.low[1:] > b.low[:-1]).all() and (b.parts > b.empty).all() and b.two[b.low >= 143].all()
+    assert (b.low[1:] > b.low[:-1]).all() and (b.parts > b.empty).all() and b.two[b.low[:-1] >= 143].all()
     rng = np.random.default_rng(4)
     for size in (2, 5, 9, 14, 20, 33, 60, 140, 400, 1500):
         for _ in range(60):  # a set and one that is as far from it as a link allows
