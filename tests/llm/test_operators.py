@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphweft.llm.exact_dedup import exact_dedup
 from graphweft.llm.fuzzy_passages import chains, distance, fuzzy_passages
@@ -506,6 +507,33 @@ def test_pipeline(spark):
     assert p.run(spark, d).count() == frame.count()
 
 
+def test_every_stage_on_odd_rows(spark, docs, none):
+    """Nulls, empty and long texts, repeated rows, no rows and columns of other names that the stages use themselves."""
+    import corpus_pipeline as p
+
+    rows = docs.unionByName(docs.where("doc_id IN (1, 4)")).withColumn("kept", F.lit("x")).withColumn("size", F.lit("y")).withColumn("key", F.lit(1)).withColumn("times", F.lit(9))
+    count = lambda df: collections.Counter(repr((r["doc_id"], r["text"])) for r in df.select("doc_id", "text").collect())
+    before = count(rows)
+    out = {name: stage(spark, rows, "") for name, stage in p.STAGES}
+    for name, _ in p.STAGES[:-1]:
+        assert out[name].columns == p.COLUMNS
+    kept = {name: count(out[name]) for name, _ in p.STAGES[:-1]}
+    for name in ("quality rules", "exact dedup", "n-gram join"):
+        assert all(before[k] >= n for k, n in kept[name].items())
+        assert sum(n for k, n in kept[name].items() if k.startswith("(None")) == 2  # rows without an id pass
+    ids = lambda name: {r["doc_id"] for r in out[name].select("doc_id").collect()}
+    rejected = {r["doc_id"] for r in quality_rules(rows).where("NOT kept").select("doc_id").collect()}
+    assert ids("quality rules") == {i for i, _ in odd_texts()} - rejected - {None} | {None} and {4, 5, 6, 7, 8} <= rejected
+    assert ids("exact dedup") == {i for i, _ in odd_texts()} - {2, 5}  # 5 is empty like 4, 6 is one blank
+    groups = jaccard_groups(odd_texts())
+    assert ids("n-gram join") == {i for i, (_, root) in groups.items() if i == root} | {None}
+    assert not {4, 5, 6} & ids("source mix") and all(n <= 3 * before[k] for k, n in kept["source mix"].items())
+    tokens = out["sentencepiece"].collect()
+    assert len(tokens) == rows.count() and {r["n_ids"] for r in tokens if r["doc_id"] in (4, 5)} == {0}
+    for name, stage in p.STAGES:
+        assert stage(spark, none, "").collect() == []
+
+
 def test_mixture_keeps_the_words_of_each_source(spark):
     """Long and short documents of sources that are taken 1.9, 0.75 and 0.4 times; before, long ones of the last vanished."""
     import corpus_pipeline as p
