@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphweft.llm.common import table, words, written
+from graphweft.llm.common import dropped, table, words, written
 from graphweft.llm.exact_dedup import exact_dedup
 from graphweft.llm.ngram_join import ngram_join
 from graphweft.llm.quality_rules import quality_rules
@@ -66,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if last is not None:
+            dropped(last)  # what the stage before has left is not read again
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
