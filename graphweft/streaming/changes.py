@@ -17,16 +17,19 @@ def change_stream(spark: SparkSession, path: str, schema: str, per_trigger: int
 
 
 def debounced(changes: DataFrame, key: str | None = None, quiet: str = "30 seconds", late: str = "1 minute") -> DataFrame:
-    """path and its last kind for each run of changes that a pause of `quiet` ends; for batches and streams alike.
+    """path and its last kind for each run of changes that a pause of `quiet` ends, for batches and streams alike.
 
-    changes(path, kind, at timestamp). A column `key` gives each of its values a session of its own, which spreads the
-    state; without it all changes share one, as one timer would have it. An empty session never comes out.
+    changes(path, kind, at timestamp). A column `key`, which comes out as well, gives each of its values a session of its
+    own, which spreads the state; without it all changes share one, as one timer would have it, so that session's changes
+    meet in one task. Of changes of one path at one time the one with the larger kind counts. No session is ever empty.
     """
-    by = [F.col(key)] if key else [F.lit(0).alias("key")]
-    window = F.session_window("at", quiet)
+    # one key for all that isn't a constant: streams need a key of their own beside the session
+    by = [F.col(key)] if key else [F.pmod(F.xxhash64("path"), F.lit(1)).alias("key")]
+    also = [key] if key and key != "path" else []
     events = changes.withWatermark("at", late) if changes.isStreaming else changes
-    grouped = events.groupBy(*by, window).agg(F.collect_list(F.struct("path", "kind", "at")).alias("events"))
-    return grouped.select("session_window", F.explode("events").alias("e")).groupBy("session_window", "e.path").agg(F.max_by("e.kind", "e.at").alias("kind")) if not changes.isStreaming else grouped
+    grouped = events.groupBy(*by, F.session_window("at", quiet)).agg(F.array_sort(F.collect_list(F.struct("path", "at", "kind"))).alias("events"))
+    last = F.filter("events", lambda e, i: ~F.coalesce(F.get("events", i + 1)["path"] == e["path"], F.lit(False)))
+    return grouped.select(*also, "session_window", F.explode(last).alias("e")).select(*also, "session_window", "e.path", "e.kind")
 
 
 def session_counts(events: DataFrame, quiet: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Arguments of the questions: what is needed, what is cut, where a page starts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphweft.functions import expressions as X
 from graphweft.operators import tools
@@ -39,3 +40,15 @@ def test_projects_and_unknown_symbols(graph):
     assert [r["id"] for r in hits] == ["c0", "c1", "c2"] and {(r["total"], r["n_direct"]) for r in hits} == {(10, 10)}
     detail = tools.entity_detail(graph, "p", "Project").collect()
     assert [(r["direction"], r["type"], r["n"]) for r in detail] == [("in", "BELONGS_TO_PROJECT", 10)]
+
+
+def test_debounced_on_batches_and_streams(spark, tmp_path):
+    from graphweft.streaming.changes import change_stream, debounced, drained
+
+    rows = [("a", "added", 0), ("b", "modified", 5), ("a", "deleted", 20), ("a", "added", 100), ("c", "added", 101), ("c", "modified", 125)]
+    frame = spark.createDataFrame(rows, "path string, kind string, s int").selectExpr("path", "kind", "timestamp_seconds(s) AS at")
+    frame.coalesce(1).write.parquet(str(tmp_path / "landing"))
+    stream = change_stream(spark, str(tmp_path / "landing"), "path string, kind string, at timestamp", per_trigger=1)
+    for out in (debounced(frame), drained(debounced(stream))):
+        assert sorted((r["path"], r["kind"], r["session_window"]["start"].second) for r in out.collect()) == [("a", "added", 40), ("a", "deleted", 0), ("b", "modified", 0), ("c", "modified", 40)]
+    assert debounced(frame.withColumn("k", F.lit(1)), "k").columns == ["k", "session_window", "path", "kind"] and debounced(frame, "path").count() == 4
