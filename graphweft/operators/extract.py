@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions.expressions import folded_path, stable_id
+from graphweft.functions.expressions import folded_path, pascal_case, stable_id
 
 #: Decorators with the label of what they mark, and lists of a module with the type of their edges.
 DECORATORS = {"Component": "Component", "Injectable": "Service", "NgModule": "NgModule", "Directive": "Directive", "Pipe": "Pipe"}
@@ -51,6 +51,14 @@ def entities(files: DataFrame) -> DataFrame:
     )
 
 
+def styles(entities: DataFrame) -> DataFrame:
+    """component, style (a stable id), file_path, format and order of the style files that components name."""
+    listed = F.coalesce(group(F.col("meta"), r"\bstyleUrls\s*:\s*\[([^\]]*)\]"), group(F.col("meta"), r"\bstyleUrl\s*:\s*(['\"][^'\"]*['\"])"))
+    rows = entities.where("label = 'Component'").select(F.col("id").alias("component"), F.regexp_replace("file_path", "/?[^/]*$", "").alias("folder"), F.posexplode(every(listed, r"['\"]([^'\"]+)['\"]")).alias("order", "url"))
+    path = folded_path(F.concat_ws("/", "folder", "url"))
+    return rows.select("component", stable_id(F.lit("style"), path).alias("style"), path.alias("file_path"), F.regexp_extract("url", r"\.(\w+)$", 1).alias("format"), "order")
+
+
 def module_edges(entities: DataFrame) -> DataFrame:
     """type, src and pending_name of a module's lists; only bare names count, calls and objects do not."""
     modules = entities.where("label = 'NgModule'")
@@ -151,7 +159,11 @@ def spec_links(specs: DataFrame, suffixes: list[str]) -> DataFrame:
     setup = F.flatten(F.transform(every(F.col("content"), r"\b(?:declarations|providers|imports)\s*:\s*\[([^\]]*)\]"), lambda x: F.split(x, r"\s*,\s*")))
     rows = lambda via, rank, found: F.transform(found, lambda n: F.struct(F.trim(n).alias("pending_name"), F.lit(via).alias("via"), F.lit(rank).alias("rank")))
     all_ = code(specs).select(F.col("path").alias("spec"), F.explode(F.concat(rows("import", 1, imported), rows("testbed", 2, setup))).alias("e"))
-    return all_.where(F.col("e.pending_name").rlike(named)).groupBy("spec", F.col("e.pending_name").alias("pending_name")).agg(F.min_by("e.via", "e.rank").alias("via"))
+    found = all_.where(F.col("e.pending_name").rlike(named)).groupBy("spec", F.col("e.pending_name").alias("pending_name")).agg(F.min_by("e.via", "e.rank").alias("via"))
+    # a spec that neither names nor sets up anything is of the class that its file is named after
+    file = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"\.spec\.ts$", "")
+    alone = specs.select(F.col("path").alias("spec"), pascal_case(file).alias("pending_name"), F.lit("naming").alias("via")).where(F.col("pending_name").rlike(rf"(?:{'|'.join(suffixes)})$"))
+    return found.unionByName(alone.join(found.select("spec").distinct(), "spec", "left_anti"))
 
 
 def pattern_findings(files: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -34,3 +34,9 @@ def hop(graph: Graph, types: list[str], source: DataFrame, target: DataFrame) ->
     s = source.select(*(F.col(c).alias(f"s_{c}") for c in source.columns))
     t = target.select(*(F.col(c).alias(f"t_{c}") for c in target.columns))
     return graph.typed(*types).join(s, F.col("src") == F.col("s_id")).join(t, F.col("dst") == F.col("t_id"))
+
+
+def neighbours(graph: Graph, types: list[str]) -> DataFrame:
+    """type, id and other for edges of some types whichever way they point; a pair joined both ways comes once."""
+    edges = graph.typed(*types)
+    return edges.select("type", F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select("type", F.col("dst").alias("id"), F.col("src").alias("other"))).distinct()

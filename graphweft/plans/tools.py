@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from graphweft.functions import expressions as X
 from graphweft.operators import findings as fd
-from graphweft.operators import analyzers, rules, tools
+from graphweft.operators import analyzers, extract, rules, tools
+from graphweft.operators.graph import neighbours
 from graphweft.plans import catalogue as c
 from graphweft.plans.catalogue import query, quoted, table
 from graphweft.plans.star_graph import star_graph
+from graphweft.sources import files as sources
 
 
 def page_sql(rows: str, order: str, size: int, skip: int = 0, beside: str = "") -> str:
@@ -226,3 +228,42 @@ def structure_findings(spark, d):
     named = lambda df: df.withColumn("id", F.concat(F.lit("nation::"), "id")).withColumn("file_path", F.lit("m.ts"))
     rows = analyzers.cycle_rules(named(c.cyclic_nodes(spark, d)).select("id"), named(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")))).unionByName(analyzers.module_rules(named(c.module_complexity(spark, d))))
     return fd.unique(fd.build(rows, rules.reasons(spark))).select("id", "node_id", "reason_code", "type")
+
+
+@query(c.on_graph(", u AS (SELECT src AS id, dst AS other FROM edges WHERE type IN ('EXTENDS', 'INJECTS') UNION SELECT dst, src FROM edges WHERE type IN ('EXTENDS', 'INJECTS')) SELECT id, count(*) AS n FROM u GROUP BY id"))
+def undirected_degree(spark, d):
+    return neighbours(star_graph(spark, d), ["EXTENDS", "INJECTS"]).select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'w' || n_regionkey AS workspace, CASE WHEN n_nationkey % 2 = 0 THEN 'app' || n_nationkey ELSE 'named' || n_nationkey END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'src' ELSE 'code' END AS source_root FROM nation WHERE n_nationkey % 5 <> 0 AND n_regionkey < 3 UNION ALL SELECT 'w' || n_regionkey, 'old' || n_nationkey, 'r/src' FROM nation WHERE n_regionkey >= 3")
+def workspace_applications(spark, d):
+    """Folders of two kinds: with a file for each project, libraries among them, and with one file for all."""
+    n = table(spark, d, "nation")
+    k, w = F.col("n_nationkey").cast("string"), F.concat(F.lit("w"), "n_regionkey")
+    lit = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kind = F.when(F.col("n_nationkey") % 5 == 0, "library").otherwise("application")
+    named = F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(lit(', "name": "named', k, '", "sourceRoot": "code"'))
+    own = n.where("n_regionkey < 3").select(lit(w, "/apps/app", k, "/project.json").alias("path"), lit('{"projectType": "', kind, '"', named, "}").alias("content"))
+    marks = n.where("n_regionkey < 3").select(lit(w, "/nx.json").alias("path"), F.lit("{}").alias("content")).distinct()
+    entry = lit('"old', k, '": {"root": "r"}')
+    one = n.where("n_regionkey >= 3").groupBy("n_regionkey").agg(F.array_join(F.collect_list(entry), ",").alias("all")).select(lit(w, "/angular.json").alias("path"), lit('{"projects": {', F.col("all"), "}}").alias("content"))
+    return sources.workspace_applications(own.unionByName(marks).unionByName(one))
+
+
+@query("SELECT 'src/s/' || p_partkey || '.scss' AS file_path, 'scss' AS format, 0 AS \"order\" FROM part UNION ALL SELECT 'src/theme.css', 'css', 1 FROM part WHERE p_partkey % 2 = 0")
+def component_styles(spark, d):
+    """Style files of components, in their order, by paths folded from the component's folder."""
+    k = F.col("p_partkey").cast("string")
+    second = F.when(F.col("p_partkey") % 2 == 0, ", '../../theme.css'").otherwise("")
+    content = F.concat(F.lit("@Component({selector: 'a', styleUrls: ['../s/"), k, F.lit(".scss'"), F.replace(second, F.lit("../../"), F.lit("./../")), F.lit("]}) class C"), k, F.lit(" { }"))
+    found = extract.styles(extract.entities(table(spark, d, "part").select(F.concat(F.lit("src/p/"), k, F.lit(".ts")).alias("path"), content.alias("content"))))
+    return found.select("file_path", "format", "order")
+
+
+@query("SELECT 's/part-' || p_partkey || '.service.spec.ts' AS spec, CASE WHEN p_partkey % 2 = 0 THEN 'Other' || p_partkey || 'Service' ELSE 'Part' || p_partkey || 'Service' END AS pending_name, CASE WHEN p_partkey % 2 = 0 THEN 'import' ELSE 'naming' END AS via FROM part")
+def spec_names(spark, d):
+    """Specs that import what they test, and others that are only named after it."""
+    k = F.col("p_partkey").cast("string")
+    content = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("import { Other"), k, F.lit("Service, thing } from './o';"))).otherwise("it('works', () => {});")
+    specs = table(spark, d, "part").select(F.concat(F.lit("s/part-"), k, F.lit(".service.spec.ts")).alias("path"), content.alias("content"))
+    return extract.spec_links(specs, X.CLASS_SUFFIXES)

@@ -36,6 +36,30 @@ def workspace_projects(configs: DataFrame) -> DataFrame:
     return rows.select("path", "name", kind.alias("type"), root.alias("source_root"), F.coalesce("p.tags", F.array().cast("array<string>")).alias("tags"), F.col("name").eqNullSafe(F.col("chosen")).alias("is_default"))
 
 
+def folder_projects(configs: DataFrame) -> DataFrame:
+    """workspace, name, type and source_root of projects with a file of their own, of configs (path, content).
+
+    A workspace is a folder with nx.json; its projects are apps/*/project.json below it. A project without a name has its
+    folder's, one without a source root has src. Libraries are told by their type, so that a caller may leave them out.
+    """
+    at = F.regexp_extract("path", r"^(.*?)/?nx\.json$", 1)
+    roots = configs.where(F.col("path").rlike(r"(^|/)nx\.json$")).select(at.alias("workspace")).distinct()
+    found = r"^(.*?)/?apps/([^/]+)/project\.json$"
+    parsed = F.from_json("content", "name string, projectType string, sourceRoot string")
+    rows = configs.where(F.col("path").rlike(found)).select(F.regexp_extract("path", found, 1).alias("workspace"), F.regexp_extract("path", found, 2).alias("folder"), parsed.alias("c"))
+    kind = F.when(F.col("c.projectType") == "library", "library").otherwise("application")
+    return rows.join(roots, "workspace", "left_semi").select("workspace", F.coalesce("c.name", "folder").alias("name"), kind.alias("type"), F.coalesce("c.sourceRoot", F.lit("src")).alias("source_root"))
+
+
+def workspace_applications(configs: DataFrame) -> DataFrame:
+    """workspace, name and source_root of all applications: of folders with nx.json, else of their angular.json."""
+    own = folder_projects(configs).where("type = 'application'").select("workspace", "name", "source_root")
+    nx = configs.where(F.col("path").rlike(r"(^|/)nx\.json$")).select(F.regexp_replace("path", r"/?nx\.json$", "").alias("workspace")).distinct()
+    one = workspace_projects(configs.where(F.col("path").rlike(r"(^|/)angular\.json$"))).where("type = 'application'")
+    rest = one.select(F.regexp_replace("path", r"/?angular\.json$", "").alias("workspace"), "name", "source_root").join(nx, "workspace", "left_anti")
+    return own.unionByName(rest)
+
+
 def applications(projects: DataFrame) -> DataFrame:
     """Per workspace file the default application, else the first by name."""
     order = Window.partitionBy("path").orderBy(F.desc("is_default"), "name")
