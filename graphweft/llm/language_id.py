@@ -106,14 +106,18 @@ def train(labels: list[str], windows: np.ndarray, target: np.ndarray, seed: int
 
 
 def taught_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, windows and their languages' indices of a bounded sample of docs (doc_id, text, lang)."""
+    """Languages, windows and their languages' indices of a bounded sample of docs (doc_id, text, lang).
+
+    Rows are drawn by a hash of id and text, so reruns draw the same ones; repeated rows bring the same windows, which
+    count once.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     labels = sorted(counts)
     if not labels:
         return [], np.empty((0, WINDOW), np.uint8), np.empty(0, int)
     share = F.create_map(*(F.lit(x) for k in labels for x in (k, TEACHERS / counts[k])))[F.col("lang")]
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * TEACHERS * len(labels))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(99)), F.lit(1 << 20)) < share * (1 << 20))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +129,7 @@ def taught_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
                     found.append(all_[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
 
-    rows = chosen.select("text", "lang").mapInArrow(cut, "lang string, window binary").orderBy("lang", "window").collect()
+    rows = chosen.select("text", "lang").mapInArrow(cut, "lang string, window binary").distinct().orderBy("lang", "window").collect()
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, WINDOW)
     return labels, windows, np.array([labels.index(r["lang"]) for r in rows], int)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphweft.llm.exact_dedup import exact_dedup
 from graphweft.llm.fuzzy_passages import chains, distance, fuzzy_passages
-from graphweft.llm.language_id import language_id
+from graphweft.llm.language_id import DIM, FILTERS, WIDTHS, WINDOW, Network, language_id, predicted, taught_windows
 from graphweft.llm.ngram_join import Bands, ngram_join
 from graphweft.llm.quality_classifier import isotonic, quality_scores
 from graphweft.llm.quality_rules import quality_rules
@@ -451,6 +451,48 @@ def test_language_id(spark):
     assert held and sum(r["lang_pred"] == "ab"[r["doc_id"] % 2] for r in held) >= 0.95 * len(held)
 
 
+def by_plain_convolution(net, text):
+    """Mean log-probabilities of a text's languages, place by place and filter by filter."""
+    import numpy as np
+
+    body, total = text.encode(), np.zeros(len(net.labels))
+    for at in range(0, len(body), WINDOW):
+        x = net.embed[list(body[at : at + WINDOW].ljust(WINDOW + max(WIDTHS) - 1, b"\0"))].astype(float)
+        top = []
+        for f in range(FILTERS * len(WIDTHS)):
+            w = WIDTHS[f // FILTERS]
+            parts = [net.filters[k * DIM : (k + 1) * DIM, f] for k in range(w)]
+            top.append(max(sum(x[p + k] @ parts[k] for k in range(w)) for p in range(WINDOW)))
+        logits = np.maximum(np.array(top) + net.bias, 0) @ net.dense + net.shift
+        total += (logits - np.log(np.exp(logits).sum())) * min(WINDOW, len(body) - at)
+    return total / len(body)
+
+
+def test_languages_are_those_of_plain_convolutions(spark):
+    """Short and long texts, of one window and of many, other alphabets, and repeated rows."""
+    import numpy as np
+
+    net = Network.fresh(["a", "b", "c"], 5)
+    texts = [prose(1, 3), prose(2, 90), "é" * 64, "日本 😀", prose(3, 400), "x", prose(2, 90), None, "", "12 !"]
+    out = {r["doc_id"]: r for r in predicted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), net).collect()}
+    for k, text in enumerate(texts):
+        if not text or text == "12 !":
+            assert (out[k]["lang_pred"], out[k]["score"]) == ("und", 0)
+            continue
+        want = by_plain_convolution(net, text)
+        p = np.exp(want - want.max())
+        assert out[k]["lang_pred"] == net.labels[int(want.argmax())] and out[k]["score"] == pytest.approx(p.max() / p.sum(), abs=1e-4)
+    assert out[1]["score"] == out[6]["score"]
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = [(i, prose(i, 400), "ab"[i % 2]) for i in range(8)]
+    labels, windows, target = taught_windows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    again = taught_windows(spark.createDataFrame(rows * 50, "doc_id bigint, text string, lang string").repartition(5))
+    assert labels == again[0] and len(windows) == 8 * 4
+    assert (windows == again[1]).all() and (target == again[2]).all()
+
+
 def test_quality_scores(spark, docs):
     rows = [(i, prose(i, 60) if i % 3 else "$$ ## | " * 30 + prose(i, 9)) for i in range(300)]
     table = spark.createDataFrame([*rows, (1000, None), (None, "x")], "doc_id bigint, text string")
