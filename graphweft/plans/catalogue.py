@@ -105,8 +105,8 @@ def module_structure(spark, d):
 @query(on_graph(" SELECT n.id, n.label, n.name, e.type, count(*) AS n FROM nodes n JOIN edges e ON e.src = n.id OR e.dst = n.id WHERE n.id = 'customer::17' GROUP BY ALL"))
 def entity_detail(spark, d):
     g = star_graph(spark, d)
-    around = g.edges.where("src = 'customer::17' OR dst = 'customer::17'").groupBy("type").agg(F.count("*").alias("n"))
-    return g.nodes.where("id = 'customer::17'").select("id", "label", "name").crossJoin(around)  # one row beside one per type
+    around = g.edges.where("src = 'customer::17' OR dst = 'customer::17'").groupBy(F.lit("customer::17").alias("id"), "type").agg(F.count("*").alias("n"))
+    return g.nodes.where("id = 'customer::17'").select("id", "label", "name").join(around, "id")
 
 
 @query(on_graph(" SELECT p.id AS symbol, count(DISTINCT t.id) AS n_templates FROM nodes p JOIN edges e ON e.dst = p.id AND e.type = 'TEMPLATE_USES_PIPE' JOIN nodes t ON t.id = e.src AND t.label = 'Template' GROUP BY p.id"))
