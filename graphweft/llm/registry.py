@@ -5,6 +5,7 @@ from __future__ import annotations
 from graphweft.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from graphweft.llm.fuzzy_passages import op5_fuzzy_passages
 from graphweft.llm.language_id import op1_language_id
+from graphweft.llm.merkle_manifest import OP12_SQL, op12_merkle_manifest
 from graphweft.llm.ngram_join import op4_ngram_join
 from graphweft.llm.quality_classifier import op9_quality_classifier
 from graphweft.llm.quality_rules import op6_quality_rules
@@ -24,7 +25,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
