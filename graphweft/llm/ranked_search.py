@@ -33,9 +33,11 @@ SIGNS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() els
 #: Bits of the map of hashed query terms that tasks sift a text's terms with; a fixed 1 MB.
 BITS = 1 << 23
 #: Documents in a cluster; documents that one task may halve; terms by which a document is placed; moves between two halves.
-CLUSTER, GROUP, EDGES, MOVES = 256, 16_384, 12, 2
+CLUSTER, GROUP, EDGES, MOVES = 256, 65_536, 12, 2
 #: Items and their terms in a batch that goes through the index together; clusters that the first round visits per item.
 ITEMS, PAIRS, FIRST, FASTER = 1024, 200_000, 8, 8
+#: Pairs of an item and a cluster at most, of 4 bytes each, that are sent to every task; more are joined by shuffling.
+SENT = 1 << 20
 
 
 def terms_of(text: Column) -> Column:
@@ -97,8 +99,8 @@ def postings(found: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]
     return written(rows.select("row", "doc_id", F.col("t.number").alias("terms"), F.col("t.adds").alias("adds"), edges.alias("edges")), "search-postings"), known.select("term", "number")
 
 
-def moved(state: DataFrame, salt: int) -> DataFrame:
-    """state (row, edges, part, side) after documents have changed sides where that makes the terms cheaper.
+def moved(state: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """state (row, edges, part, side) after documents have changed sides where that makes the terms cheaper; and what it reads.
 
     A term with l and r documents in halves of a and b costs l * log(a / (l + 1)) + r * log(b / (r + 1)). Of those that
     gain by moving as many go either way, drawn by a hash, so halves stay even.
@@ -115,19 +117,23 @@ def moved(state: DataFrame, salt: int) -> DataFrame:
     wish = gained.where("gain > 0").groupBy("part").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
     own = F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b"))
     drawn = F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(1 << 20)) < F.least("a", "b") / F.greatest(own, F.lit(1)) * (1 << 20)
-    return gained.join(wish, "part", "left").select("row", "edges", "part", F.when((F.col("gain") > 0) & drawn, 1 - F.col("side")).otherwise(F.col("side")).alias("side"))
+    return gained.join(wish, "part", "left").select("row", "edges", "part", F.when((F.col("gain") > 0) & drawn, 1 - F.col("side")).otherwise(F.col("side")).alias("side")), gained
 
 
 def coarse(rows: DataFrame, group: int) -> DataFrame:
     """row, edges and part: halved by Spark until a part has about `group` rows at most."""
-    n, level = rows.count(), 0
+    n, level, last = rows.count(), 0, None
     state = rows.select("row", "edges", F.lit(0).cast("long").alias("part"))
     while n > group << level:
         state = state.withColumn("side", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(2)))
         for k in range(MOVES):
-            state = moved(state, 1000 + level * MOVES + k)
+            state, gained = moved(state, 1000 + level * MOVES + k)
+            if last is not None:
+                dropped(last)
+            last = gained
         state = written(state.select("row", "edges", (F.col("part") * 2 + F.col("side")).alias("part")), "search-parts")
-        level += 1
+        dropped(last)
+        level, last = level + 1, state
     return state
 
 
@@ -227,8 +233,11 @@ class Batch:
 
         return index.select("cluster", "least", "terms", "tops").mapInPandas(run, "item int, cluster bigint, least bigint, bound bigint")
 
-    def scored(self, index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-        """item, doc_id and score: of each cluster that an item visits the k best that come before what it keeps last."""
+    def scored(self, index: DataFrame, visits: DataFrame, most: int, k: int) -> DataFrame:
+        """item, doc_id and score: of each cluster that an item visits the k best that come before what it keeps last.
+
+        visits: item and cluster, `most` of them at most.
+        """
         shared = index.sparkSession.sparkContext.broadcast((self.terms, self.floor))
 
         def best(row, wanted: np.ndarray, floor: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,12 +256,12 @@ class Batch:
             terms, floor = shared.value
             for b in batches:
                 for row in b.itertuples(index=False):
-                    for item in row.items:
-                        docs, score = best(row, terms[item], floor[item])
-                        yield pd.DataFrame({"item": np.full(len(docs), item, np.int32), "doc_id": docs, "score": score})
+                    found = [best(row, terms[item], floor[item]) for item in row.items]
+                    sizes = [len(docs) for docs, _ in found]
+                    yield pd.DataFrame({"item": np.repeat(np.asarray(row.items, np.int32), sizes), "doc_id": np.concatenate([x[0] for x in found]), "score": np.concatenate([x[1] for x in found])})
 
         asked = visits.groupBy("cluster").agg(F.collect_list("item").alias("items"))
-        return index.join(asked, "cluster").select("docs", "terms", "ends", "places", "adds", "items").mapInPandas(run, "item int, doc_id bigint, score bigint")
+        return index.join(F.broadcast(asked) if most <= SENT else asked, "cluster").select("docs", "terms", "ends", "places", "adds", "items").mapInPandas(run, "item int, doc_id bigint, score bigint")
 
 
 def searched(index: DataFrame, terms: list[np.ndarray], k: int) -> DataFrame:
@@ -276,7 +285,7 @@ def searched(index: DataFrame, terms: list[np.ndarray], k: int) -> DataFrame:
         if not ends:
             return best
         floor = [state[i][2:] for i in range(len(terms))]
-        more = Batch(terms, floor).scored(index, visits, k)
+        more = Batch(terms, floor).scored(index, visits, len(terms) * width, k)
         last, best = best, written(best.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "search-best")
         if width > FIRST:
             dropped(last)
@@ -306,6 +315,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, cluster: int =
     schema = f"item int, item_id {id_type}"
     out = spark.createDataFrame([], f"item_id {id_type}, rank int, doc_id bigint, score bigint")
     index = indexed(rows, cluster, group) if batches else None
+    dropped(rows)
     for b in range(batches):
         batch = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(batches)) == b).collect()
         if batch:
