@@ -131,6 +131,7 @@ def taught_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     rows = chosen.select("text", "lang").mapInArrow(cut, "lang string, window binary").distinct().orderBy("lang", "window").collect()
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, WINDOW)
+    labels = sorted({r["lang"] for r in rows})  # a language of which no text has a byte teaches nothing
     return labels, windows, np.array([labels.index(r["lang"]) for r in rows], int)
 
 
@@ -180,7 +181,8 @@ def language_id(docs: DataFrame, held_out: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     Rows whose crc32(doc_id) mod `held_out` is 1 are held out; of the others, text and non-null lang teach. A text that
-    is null or has no letter is `und` with score 0, and so is every text if nothing teaches. Repeated rows are judged
+    is null or has no letter is `und` with score 0, and so is every text if nothing teaches; a language whose texts are
+    all empty is never predicted. Repeated rows are judged
     alike; source and other columns are not read.
     """
     docs = docs.select("doc_id", "text", "lang")
