@@ -594,3 +594,25 @@ def test_mixture_keeps_the_words_of_each_source(spark):
         assert abs(long - all_ * want / sum(len(r[1].split()) for r in rows if r[3] == source)) <= 2
     assert 1 <= sum(r["doc_id"] is None for r in out) <= 2 and {r["text"][0] for r in out if r["doc_id"] == 7} >= {"w", "v"}
     assert sorted(map(repr, p.mixture(spark, docs, "").collect())) == sorted(map(repr, out))
+
+
+def test_language_with_only_empty_texts(spark):
+    rows = [(i, prose(i, 30), "de") for i in range(12)] + [(100 + i, "", "xx") for i in range(6)]
+    out = language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert len(out) == 18 and {r["lang_pred"] for r in out} == {"de", "und"}
+    nothing = language_id(spark.createDataFrame([(1, "", "a"), (2, "words here", None)], "doc_id bigint, text string, lang string")).collect()
+    assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """One id with several texts: only the row that is a copy goes, and one of rows repeated as a whole."""
+    import corpus_pipeline as p
+
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = " ".join(["changed", *b.split()[1:]])
+    rows = [(1, a), (2, a), (2, b), (3, near), (3, c), (3, "x"), (5, c.replace(" ", "  ")), (6, a), (6, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = lambda stage: sorted((r["doc_id"], r["text"]) for r in stage(spark, docs, "").collect())
+    assert kept(p.exact) == sorted([(1, a), (2, b), (3, near), (3, c), (3, "x")])
+    assert kept(p.near) == sorted([(1, a), (2, b), (3, c), (3, "x")])
+    assert (3, "x") not in kept(p.quality) and (3, c) in kept(p.quality)
