@@ -20,24 +20,47 @@ from graphweft.llm.source_mix import copies, source_mix
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone."""
-    return docs.select(*COLUMNS).join(gone.select("doc_id"), "doc_id", "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays: doc_id may be null or stand for several texts."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """The rows with their number as doc_id, for an operator that judges each."""
+    return rows.select(F.col("row").alias("doc_id"), "text", "lang", "source", "n_chars")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in gone (row); those without doc_id stay."""
+    named = gone.join(rows.where("doc_id IS NOT NULL").select("row"), "row", "left_semi")
+    return rows.join(named, "row", "left_anti").select(*COLUMNS)
+
+
+def but_one(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of groups (row, root) all rows but the one with the smallest doc_id, or the first of these."""
+    ids = groups.join(rows.select("row", "doc_id"), "row").where("doc_id IS NOT NULL")
+    stays = ids.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return ids.select("row").join(stays, "row", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules (op 6) reject go."""
-    return without(docs, quality_rules(docs).where("NOT kept"))
+    rows = numbered(docs)
+    return without(rows, quality_rules(by_row(rows)).where("NOT kept").select(F.col("doc_id").alias("row")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (op 2) the row with the smallest doc_id stays."""
-    return without(docs, exact_dedup(docs).where("NOT kept"))
+    rows = numbered(docs)
+    found = written(exact_dedup(by_row(rows)).where("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("root")), "pipeline-copies")
+    return without(rows, but_one(rows, found))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by n-gram Jaccard (op 4) the one with the smallest doc_id stays."""
-    return without(docs, ngram_join(docs).where("doc_id <> component_id"))
+    rows = numbered(docs)
+    found = written(ngram_join(by_row(rows)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), "pipeline-near")
+    return without(rows, but_one(rows, found))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
