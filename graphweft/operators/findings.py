@@ -81,6 +81,11 @@ def feasibility(score: Column) -> Column:
     return F.when(score <= 20, "high").when(score <= 50, "medium").when(score <= 80, "low").otherwise("blocked")
 
 
+def readiness(candidates: Column, blocked: Column) -> Column:
+    """Of what could still stand alone, the whole percentage that nothing blocks; 0 where there is nothing."""
+    return F.when(candidates + blocked > 0, F.floor(100.0 * candidates / (candidates + blocked) + 0.5)).otherwise(0).cast("long")
+
+
 def match_rules(installed: DataFrame, rules: DataFrame) -> DataFrame:
     """installed(name, …) with the pattern that holds for each name: an exact one, else the first prefix.
 

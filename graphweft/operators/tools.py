@@ -232,16 +232,31 @@ def migration_order(nodes: DataFrame, edges: DataFrame, page_size: int = 100, cu
     return paged(rows, [F.col("level").asc_nulls_last(), "id"], page_size, 500, cursor)
 
 
-def migration_summary(findings: DataFrame, candidates: DataFrame, seeds: int = 0) -> DataFrame:
-    """One row: how far the graph is ready, and the ids of the first work items if asked for."""
-    of = findings.agg(
-        F.count("*").alias("total"), F.count_if(F.col("type") == "blocker").alias("blockers"),
-        F.when(F.count("*") > 0, F.floor(100.0 * F.count_if(F.col("type") != "blocker") / F.count("*") + 0.5)).otherwise(100).alias("readiness"), half_up(F.avg("confidence"), 1).alias("mean_confidence"),
-    ).crossJoin(candidates.agg(F.count("*").alias("n_components"), F.count_if("is_candidate").alias("n_candidates")))
-    if not seeds:
-        return of
-    first = fd.work_items(findings).orderBy("priority", "id").limit(seeds).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("seeds"))
-    return of.crossJoin(first)
+def migration_summary(findings: DataFrame, artifacts: DataFrame, modules: DataFrame | None = None, order: DataFrame | None = None, graph: Graph | None = None, project: str | None = None, seeds: int = 0) -> DataFrame:
+    """One row on how far the graph is ready, and the ids of the first work items if asked for.
+
+    artifacts: id, is_candidate, is_standalone of components, directives and pipes; modules: id, score, feasibility;
+    order: id, level. A project leaves out what isn't in it, but for findings, which count as a whole.
+    """
+    kind = lambda column, k, name: F.count_if(F.col(column) == k).alias(name)
+    within = lambda rows: rows if graph is None else of_project(rows, "id", graph, project)
+    blocked = F.count_if(~F.col("is_candidate") & ~F.col("is_standalone"))
+    parts = [
+        within(artifacts).agg(F.count("*").alias("n_artifacts"), F.count_if("is_candidate").alias("n_candidates"), F.count_if("is_standalone").alias("n_standalone"), blocked.alias("n_blocked"), fd.readiness(F.count_if("is_candidate"), blocked).alias("readiness")),
+        findings.agg(
+            F.count("*").alias("total"), kind("type", "blocker", "blockers"), kind("type", "risk", "risks"), kind("type", "opportunity", "opportunities"), kind("scope", "production", "n_production"), kind("scope", "test", "n_test"),
+            F.count_if("is_deprecated").alias("n_deprecated"), *(F.count_if(F.col("is_deprecated") & (F.col("severity") == s)).alias(f"deprecated_{s}") for s in ("critical", "high", "medium", "low")),
+            F.count_distinct(F.when(F.col("reason_code") == "ARCH_CIRCULAR_DEPENDENCY", F.col("node_id"))).alias("n_on_cycles"),
+        ),
+        fd.top_reasons(findings.where("is_deprecated")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "reason_code"))), lambda x: x["reason_code"]), ",").alias("top_reasons")),
+    ]
+    if modules is not None:
+        parts.append(within(modules).agg(F.count("*").alias("n_modules"), F.coalesce(half_up(F.avg("score"), 1), F.lit(0.0)).alias("mean_score"), *(kind("feasibility", k, f"modules_{k}") for k in ("high", "medium", "low", "blocked"))))
+    if order is not None:
+        parts.append(within(order.where("level IS NOT NULL")).agg(F.count("*").alias("n_ordered"), F.count_distinct("level").alias("n_waves")))
+    if seeds:
+        parts.append(fd.work_items(findings).orderBy("priority", "id").limit(seeds).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("seeds")))
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # each part is one row
 
 
 def package_compatibility(classified: DataFrame, severity: str | None = None, page_size: int = 50, cursor: str | None = None) -> DataFrame:

@@ -405,6 +405,19 @@ def standalone_candidates(spark, d):
     return c.select("id", (~F.col("standalone") & ~none & ~F.col("has_entry")).alias("is_candidate"), blockers.alias("blockers"), severity.alias("severity"))
 
 
+def artifacts(spark, d) -> DataFrame:
+    """id, is_candidate, is_standalone: what has no blocker and is no candidate stands alone already."""
+    return standalone_candidates(spark, d).select("id", "is_candidate", (~F.col("is_candidate") & (F.col("blockers") == "")).alias("is_standalone"))
+
+
+@query(f"WITH k AS ({CANDIDATE_SQL}) SELECT c_nationkey AS module, count(*) FILTER (is_candidate) AS candidates, count(*) FILTER (blockers <> '') AS blocked, CASE WHEN count(*) FILTER (is_candidate OR blockers <> '') > 0 THEN CAST(floor(100.0 * count(*) FILTER (is_candidate) / count(*) FILTER (is_candidate OR blockers <> '') + 0.5) AS BIGINT) ELSE 0 END AS readiness FROM k JOIN customer ON c_custkey = id GROUP BY c_nationkey")
+def module_readiness(spark, d):
+    """Candidates, blocked artifacts and readiness of each module."""
+    rows = artifacts(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("module")), "id")
+    candidates, blocked = F.count_if("is_candidate"), F.count_if(~F.col("is_candidate") & ~F.col("is_standalone"))
+    return rows.groupBy("module").agg(candidates.alias("candidates"), blocked.alias("blocked"), fd.readiness(candidates, blocked).alias("readiness"))
+
+
 SCORE_SQL = """WITH s AS (SELECT n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS declares, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS imports, length(n_name) AS consumers, n_regionkey AS crossing FROM nation),
 r AS (SELECT id, least(floor((declares * 1.0e0 + imports * 1.5e0 + 0 * 1.2e0 + consumers * 2.0e0 + crossing * 3.0e0) / 300e0 * 100e0 * 10e0 + 0.5e0) / 10e0, 100e0) AS score FROM s)
 SELECT id, score, CASE WHEN score <= 20 THEN 'high' WHEN score <= 50 THEN 'medium' WHEN score <= 80 THEN 'low' ELSE 'blocked' END AS feasibility FROM r"""
@@ -505,13 +518,13 @@ def work_item_seeds(spark, d):
     return fd.work_items(found(spark, d)).select("id", "title", "priority").orderBy("priority", "id").limit(50)
 
 
-@query(on_findings("SELECT scope, count(*) AS total, count(*) FILTER (type = 'blocker') AS blockers, count(*) FILTER (type = 'risk') AS risks, count(*) FILTER (type = 'opportunity') AS opportunities, CAST(floor(100.0 * count(*) FILTER (type <> 'blocker') / count(*) + 0.5) AS BIGINT) AS readiness, floor(avg(confidence) * 10 + 0.5) / 10 AS mean_confidence FROM f GROUP BY scope"))
+@query(on_findings("SELECT scope, count(*) AS total, count(*) FILTER (type = 'blocker') AS blockers, count(*) FILTER (type = 'risk') AS risks, count(*) FILTER (type = 'opportunity') AS opportunities, (SELECT CAST(floor(100.0 * count(*) FILTER (is_candidate) / count(*) FILTER (is_candidate OR blockers <> '') + 0.5) AS BIGINT) FROM (" + CANDIDATE_SQL + ")) AS readiness, floor(avg(confidence) * 10 + 0.5) / 10 AS mean_confidence FROM f GROUP BY scope"))
 def migration_summary(spark, d):
+    """Findings by scope, beside the readiness of the whole graph."""
     kind = lambda k: F.count_if(F.col("type") == k)
-    return found(spark, d).groupBy("scope").agg(
-        F.count("*").alias("total"), kind("blocker").alias("blockers"), kind("risk").alias("risks"), kind("opportunity").alias("opportunities"),
-        F.floor(100.0 * F.count_if(F.col("type") != "blocker") / F.count("*") + 0.5).alias("readiness"), X.half_up(F.avg("confidence"), 1).alias("mean_confidence"),
-    )
+    ready = artifacts(spark, d).agg(fd.readiness(F.count_if("is_candidate"), F.count_if(~F.col("is_candidate") & ~F.col("is_standalone"))).alias("readiness"))
+    by = found(spark, d).groupBy("scope").agg(F.count("*").alias("total"), kind("blocker").alias("blockers"), kind("risk").alias("risks"), kind("opportunity").alias("opportunities"), X.half_up(F.avg("confidence"), 1).alias("mean_confidence"))
+    return by.crossJoin(F.broadcast(ready))  # one row
 
 
 # --- scalars and ingest ------------------------------------------------------------------------------------------------

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.functions.lineage import shared_folder
-from graphweft.operators import extract, rules
-from graphweft.operators import findings as fd
+from graphweft.operators import extract
 from graphweft.plans.catalogue import CHANGES_SQL, ORACLE_SQL, changes, found, on_graph, query, table
 from graphweft.plans.star_graph import star_graph
 from graphweft.sources import files, sinks
@@ -138,40 +137,20 @@ def repeated_ids(spark, d):
     return sinks.repeated_ids(g.nodes.unionByName(g.labelled("Project")))
 
 
-@query("WITH n AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem) SELECT src, dst, src % 2 = 0 AS is_new FROM n WHERE src % 3 <> 0")
+@query("WITH e AS (SELECT l_orderkey AS src, l_suppkey AS dst, bool_or(l_linenumber % 2 = 0) AS is_new FROM lineitem GROUP BY ALL) SELECT src, dst, is_new FROM e WHERE src IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AND dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def merge_edges(spark, d):
-    """Parallel edges are one, new ones win, and those whose source is gone are dropped."""
-    rows = table(spark, d, "lineitem").select(F.lit("BINDS_TO").alias("type"), F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    nodes = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id")).unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))).distinct()
-    known = nodes.join(rows.where("src % 3 = 0").select(F.col("src").alias("id")), "id", "left_anti").unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))).distinct()
-    old, new = rows.withColumn("is_new", F.lit(False)), rows.where("src % 2 = 0").withColumn("is_new", F.lit(True))
-    return sinks.merged_edges(old.where("src % 3 <> 0"), new.where("src % 3 <> 0"), known.unionByName(rows.where("src % 3 <> 0").select(F.col("src").alias("id"))).distinct()).select("src", "dst", "is_new")
-
-
-# --- runs over all rules ------------------------------------------------------------------------------------------------
-
-RUN_SQL = """WITH raw AS (SELECT 'part::' || p_partkey AS node_id, 'ANG_CLASS_BASED_GUARD' AS reason_code FROM part WHERE p_brand = 'Brand#11'
- UNION ALL SELECT 'part::' || p_partkey, 'ANG_CLASS_BASED_RESOLVER' FROM part WHERE starts_with(p_name, 'a')
- UNION ALL SELECT 'customer::' || c_custkey, 'ANG_CD_DEFAULT' FROM customer WHERE c_acctbal < 5000 AND c_custkey % 3 < 2
- UNION ALL SELECT 'customer::' || c_custkey, 'ANG_ENTRY_COMPONENTS' FROM customer WHERE c_acctbal < 5000 AND c_custkey % 7 = 0
- UNION ALL SELECT DISTINCT 'supplier::' || l_suppkey, 'RXJS_SUBJECT_BUS' FROM lineitem WHERE l_returnflag = 'R')
-SELECT reason_code, severity, count(DISTINCT substr(sha256(node_id || '::' || reason_code || '::production'), 1, 16)) AS n FROM raw JOIN (VALUES """ + rules.sql_values(rules.REASONS) + ") r(reason_code, confidence, severity, category) USING (reason_code) GROUP BY ALL"
-
-
-@query(RUN_SQL)
-def migration_run(spark, d):
-    """All rules over the whole graph: each gives raw findings, which are joined with the rules' values and made unique."""
-    node = lambda df, kind, k, code: df.select(text(f"{kind}::", F.col(k)).alias("node_id"), F.lit(code).alias("reason_code"), F.lit("production").alias("scope"))
-    part, customer = table(spark, d, "part"), table(spark, d, "customer").where("c_acctbal < 5000")
-    raw = [
-        node(part.where("p_brand = 'Brand#11'"), "part", "p_partkey", "ANG_CLASS_BASED_GUARD"), node(part.where(F.startswith("p_name", F.lit("a"))), "part", "p_partkey", "ANG_CLASS_BASED_RESOLVER"),
-        node(customer.where("c_custkey % 3 < 2"), "customer", "c_custkey", "ANG_CD_DEFAULT"), node(customer.where("c_custkey % 7 = 0"), "customer", "c_custkey", "ANG_ENTRY_COMPONENTS"),
-        node(table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_suppkey").distinct(), "supplier", "l_suppkey", "RXJS_SUBJECT_BUS"),
-    ]
-    all_ = raw[0]
-    for more in raw[1:]:
-        all_ = all_.unionByName(more)
-    return fd.unique(fd.build(all_, rules.reasons(spark))).groupBy("reason_code", "severity").agg(F.count("*").alias("n"))
+    """Parallel edges are one, new ones win, and those of which either end is gone are dropped."""
+    rows = table(spark, d, "lineitem").select(F.lit("BINDS_TO").alias("type"), F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_linenumber")
+    one, other = table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey"), table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    key = lambda kind, k: text(f"{kind}::", F.col(k))
+    nodes = one.select(key("order", "o_orderkey").alias("id")).unionByName(other.select(key("supplier", "s_suppkey").alias("id")))
+    edges = rows.select("type", key("order", "src").alias("src"), key("supplier", "dst").alias("dst"), (F.col("l_linenumber") % 2 == 0).alias("is_new"))
+    merged = sinks.merged_edges(edges.where("NOT is_new"), edges.where("is_new"), nodes)
+    number = lambda c: F.substring_index(c, "::", -1).cast("long").alias(c)
+    return merged.select(number("src"), number("dst"), "is_new")
+
+
+# --- reports ------------------------------------------------------------------------------------------------------------
 
 
 @query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'P') AS n_test FROM orders GROUP BY o_orderpriority")

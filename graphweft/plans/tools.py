@@ -163,9 +163,19 @@ def tool_migration_order(spark, d):
     return tools.migration_order(*c.part_graph(spark, d), cursor=X.cursor(50))
 
 
-@query(c.on_findings_then(c.ITEMS_SQL + ", k AS (" + c.CANDIDATE_SQL + ") SELECT count(*) AS total, count(*) FILTER (type = 'blocker') AS blockers, CAST(floor(100.0 * count(*) FILTER (type <> 'blocker') / count(*) + 0.5) AS BIGINT) AS readiness, floor(avg(confidence) * 10 + 0.5) / 10 AS mean_confidence, (SELECT count(*) FROM k) AS n_components, (SELECT count(*) FILTER (is_candidate) FROM k) AS n_candidates, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM w ORDER BY priority, id LIMIT 4)) AS seeds FROM f"))
+READY_SQL = "CASE WHEN count(*) FILTER (is_candidate OR blockers <> '') > 0 THEN CAST(floor(100.0 * count(*) FILTER (is_candidate) / count(*) FILTER (is_candidate OR blockers <> '') + 0.5) AS BIGINT) ELSE 0 END"
+SUMMARY_SQL = f"""{c.ITEMS_SQL}, k AS ({c.CANDIDATE_SQL}), m AS ({c.SCORE_SQL}), lv AS (SELECT id, level FROM ({c.LEVELS_SQL} SELECT id, level FROM lv)), d AS (SELECT * FROM f WHERE is_deprecated)
+SELECT * FROM (SELECT count(*) AS n_artifacts, count(*) FILTER (is_candidate) AS n_candidates, count(*) FILTER (NOT is_candidate AND blockers = '') AS n_standalone, count(*) FILTER (blockers <> '') AS n_blocked, {READY_SQL} AS readiness FROM k),
+ (SELECT count(*) AS total, count(*) FILTER (type = 'blocker') AS blockers, count(*) FILTER (type = 'risk') AS risks, count(*) FILTER (type = 'opportunity') AS opportunities, count(*) FILTER (scope = 'production') AS n_production, count(*) FILTER (scope = 'test') AS n_test,
+  count(*) FILTER (is_deprecated) AS n_deprecated, {', '.join(f"count(*) FILTER (is_deprecated AND severity = '{s}') AS deprecated_{s}" for s in ('critical', 'high', 'medium', 'low'))}, count(DISTINCT node_id) FILTER (reason_code = 'ARCH_CIRCULAR_DEPENDENCY') AS n_on_cycles FROM f),
+ (SELECT string_agg(reason_code, ',' ORDER BY n DESC, reason_code) AS top_reasons FROM (SELECT reason_code, count(*) AS n FROM d GROUP BY 1 ORDER BY n DESC, reason_code LIMIT 5)),
+ (SELECT count(*) AS n_modules, floor(avg(score) * 10 + 0.5) / 10 AS mean_score, {', '.join(f"count(*) FILTER (feasibility = '{k}') AS modules_{k}" for k in ('high', 'medium', 'low', 'blocked'))} FROM m),
+ (SELECT count(*) AS n_ordered, count(DISTINCT level) AS n_waves FROM lv), (SELECT string_agg(id, ',' ORDER BY id) AS seeds FROM (SELECT id FROM w ORDER BY priority, id LIMIT 4))"""
+
+
+@query(c.on_findings_then(SUMMARY_SQL))
 def tool_migration_summary(spark, d):
-    return tools.migration_summary(c.found(spark, d), c.standalone_candidates(spark, d), seeds=4)
+    return tools.migration_summary(c.found(spark, d), c.artifacts(spark, d), c.module_complexity(spark, d), c.topo_levels(spark, d), seeds=4)
 
 
 @query(f"WITH {c.CLASSIFY_SQL}, r(reason_code, confidence, severity, category) AS (VALUES {rules.sql_values(rules.REASONS)}), h AS (SELECT DISTINCT name, reason_code, CAST(confidence AS DOUBLE) AS confidence, severity, installed, 'risk' AS kind FROM c JOIN r USING (reason_code) WHERE severity = 'high') SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY name, installed LIMIT 8 OFFSET 1")

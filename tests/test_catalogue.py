@@ -1,7 +1,7 @@
 import pytest
 from parity import compare
 
-from graphweft.plans import ingest, structure, tools  # noqa: F401  they add their queries to the catalogue
+from graphweft.plans import ingest, run, structure, tools  # noqa: F401  they add their queries to the catalogue
 from graphweft.plans.catalogue import ORACLE_SQL, QUERIES
 
 
