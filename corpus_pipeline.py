@@ -21,8 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that it stays: doc_id may be null or stand for several texts."""
-    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    """docs with a number for each row: doc_id where that is one, else one given to rows that are written so that it stays."""
+    plain = docs.select(*COLUMNS)
+    if plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return plain.withColumn("row", F.col("doc_id"))
+    return written(plain.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def by_row(rows: DataFrame) -> DataFrame:
