@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from graphweft.plans.catalogue import CHANGES_SQL, ORACLE_SQL, changes, found, o
 from graphweft.plans.star_graph import star_graph
 from graphweft.sources import files, sinks
 from graphweft.streaming import changes as streams
+from graphweft.streaming import watch
 
 
 def text(*parts) -> F.Column:
@@ -188,3 +190,18 @@ def incremental_stream(spark, d):
     stream = events.select(text("u", F.col("user_id")).alias("path"), kind.alias("kind"), "ts", F.col("event_id").alias("seq"))
     old = changes(spark, d).select(text("u", F.expr("cast(substring(path, 2) as bigint) div 2")).alias("path"), F.lit("old").alias("content")).distinct()
     return streams.applied(stream, old, lambda last: last.select("path", F.lit("new").alias("content")))
+
+
+@query("""WITH e AS (SELECT 'k' || (user_id % 8) AS key, 'p' || (user_id % 40) AS path, event_type AS kind, date_trunc('second', ts) AS t0 FROM events),
+  g AS (SELECT *, CASE WHEN t0 - lag(t0) OVER (PARTITION BY key ORDER BY t0) < INTERVAL 10 SECOND THEN 0 ELSE 1 END AS starts FROM e),
+  s AS (SELECT *, sum(starts) OVER (PARTITION BY key ORDER BY t0) AS session FROM g)
+  SELECT key, path, arg_max(kind, (t0, kind)) AS kind, any_value(ends) AS flushed_at FROM (SELECT *, max(t0) OVER (PARTITION BY key, session) + INTERVAL 10 SECOND AS ends FROM s) GROUP BY key, session, path""")
+def rolling_debounce(spark, d):
+    """What a timer for each of eight keys gives, file by file of the events in the order of their times; one event at the
+    end of time lets all timers run out."""
+    events = table(spark, d, "events").select(text("k", F.col("user_id") % 8).alias("key"), text("p", F.col("user_id") % 40).alias("path"), F.col("event_type").alias("kind"), F.date_trunc("second", F.col("ts")).cast("timestamp").alias("at"))
+    last = events.limit(1).select(F.lit("end").alias("key"), "path", "kind", F.lit("2999-01-01").cast("timestamp").alias("at"))
+    folder = f"{shared_folder(spark)}/graphweft/landing-{uuid.uuid4().hex}"
+    events.unionByName(last).repartitionByRange(4, "at").write.parquet(folder)
+    out = watch.gathered(watch.rolling(streams.change_stream(spark, folder, "key string, path string, kind string, at timestamp"), quiet=timedelta(seconds=10)))
+    return out.where("key <> 'end'").select("key", "path", "kind", F.col("flushed_at").cast("timestamp_ntz").alias("flushed_at"))
