@@ -26,9 +26,25 @@ def resolve(edges: DataFrame, nodes: DataFrame, policy: str = "last_wins") -> Da
 
 
 def file_to_project(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Each path with the project of the longest source root in it; ties go to the first. Projects are a short list."""
-    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.length("root")), "ordinal"))
-    return files.join(F.broadcast(projects), F.contains("path", "root")).withColumn("r", place).where("r = 1").select("path", "project")
+    """Each path with the project of the longest source root that it contains; ties go to the first.
+
+    A path is cut into the substrings that could be a root, which are looked up by equality: with the length of some root,
+    and its first slash, if that has one, at a slash of the path. The lengths of roots, no more than paths can have, are
+    all that the driver sees.
+    """
+    slash = F.instr("root", F.lit("/")) - 1
+    found = projects.select(slash.alias("h"), F.length("root").alias("n")).where("n > 0").distinct().collect()
+    none = F.array().cast("array<string>")
+    n = F.length("path")
+    piece = lambda start, size: F.when((start >= 0) & (start + size <= n), F.substring("path", start + 1, F.lit(size)))
+    slashes = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring("path", i + 1, F.lit(1)) == "/")
+    at_slash = F.flatten(F.transform(slashes, lambda p: F.array(*(piece(p - r["h"], r["n"]) for r in found if r["h"] >= 0)) if any(r["h"] >= 0 for r in found) else none))
+    every = lambda size: F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: piece(i, size))
+    anywhere = [every(r["n"]) for r in found if r["h"] < 0]
+    pieces = F.array_distinct(F.array_compact(F.concat(at_slash, none, *anywhere)))
+    named = projects.groupBy("root").agg(F.min_by("project", "ordinal").alias("project"), F.min("ordinal").alias("ordinal"))
+    hits = files.select("path", F.explode(pieces).alias("root")).join(named, "root")
+    return hits.groupBy("path").agg(F.max_by("project", F.struct(F.length("root"), -F.col("ordinal"))).alias("project"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

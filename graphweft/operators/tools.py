@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphweft.functions.expressions import half_up, priority, severity_rank, skip_of
 from graphweft.operators import findings as fd
 from graphweft.operators import topo
-from graphweft.operators.graph import Graph
+from graphweft.operators.graph import ELIGIBLE, Graph
 from graphweft.operators.metrics import symbol_metrics
 from graphweft.operators.traverse import impact, in_project, traverse
 
@@ -35,6 +35,11 @@ def one_of(value: str | None, allowed: list[str], name: str) -> None:
         raise ValueError(f"{name} must be one of {', '.join(allowed)}")
 
 
+def in_range(value: float | None, least: float, most: float, name: str) -> None:
+    if value is not None and not least <= value <= most:
+        raise ValueError(f"{name} must be between {least} and {most}")
+
+
 def paged(rows: DataFrame, order: list, size: int, most: int, cursor: str | None = None) -> DataFrame:
     """A page with the column total; the one row of the total is set beside each row."""
     total = rows.agg(F.count("*").alias("total"))
@@ -166,6 +171,7 @@ def impact_of(graph: Graph, symbol: str | None = None, file_path: str | None = N
     A symbol that no node has gives no row. `summary` leaves the chains of edges out.
     """
     needed(symbol=symbol, file_path=file_path)
+    in_range(depth, 1, 20, "depth")
     seeds = graph.nodes.where(F.col("id") == symbol if symbol else F.col("file_path") == file_path).select("id")
     hits = impact(graph, seeds, depth=depth, tests=tests)
     hits = hits if project is None else in_project(hits, graph, project)
@@ -177,6 +183,9 @@ def impact_of(graph: Graph, symbol: str | None = None, file_path: str | None = N
 def reached(graph: Graph, symbol: str, direction: str, depth: int = 3, kinds: list[str] | None = None, project: str | None = None, tests: bool = True, minimal: bool = True, page_size: int = 20, cursor: str | None = None) -> DataFrame:
     """Dependents (in) or dependencies (out) of a symbol, nearest first."""
     one_of(direction, ["in", "out"], "direction")
+    in_range(depth, 1, 20, "depth")
+    for k in kinds or []:
+        one_of(k, ELIGIBLE, "kinds")
     found = traverse(graph, graph.nodes.where(F.col("id") == symbol).select("id"), direction, depth, kinds, tests)
     rows = of_project(found.join(graph.nodes, "id"), "id", graph, project)
     return paged(rows.select("id", "label", "name", "depth", *([] if minimal else ["edge_chain"])), ["depth", "id"], page_size, 100, cursor)
@@ -210,6 +219,7 @@ def migration_findings(findings: DataFrame, type: str | None = None, category: s
     """Findings by any of these, the most severe first, with the number of each severity among them."""
     one_of(type, ["blocker", "risk", "opportunity"], "type")
     one_of(category, ["angular", "rxjs", "template", "architecture"], "category")
+    in_range(least, 0, 1, "least")
     rows = all_of(findings, type=type, category=category, severity=severity, scope=scope, node_id=node).where(F.col("confidence") >= least)
     counts = rows.agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "high", "medium", "low")))
     page = paged(rows.select("id", "type", "category", "severity", "reason_code", "confidence", "scope", "node_id"), [severity_rank(F.col("severity")), "category", "id"], page_size, 200, cursor)
@@ -260,15 +270,19 @@ def migration_summary(findings: DataFrame, artifacts: DataFrame, modules: DataFr
 
 
 def package_compatibility(classified: DataFrame, severity: str | None = None, page_size: int = 50, cursor: str | None = None) -> DataFrame:
-    """classified(name, installed, required, reason_code, severity, confidence) with the type of finding that each one is."""
+    """classified(name, installed, required, reason_code, severity, confidence) with the type of finding that each one is.
+
+    Blockers come first, then the surest, then by name.
+    """
     kind = F.when(F.col("severity") == "critical", "blocker").otherwise("risk")
     rows = all_of(classified, severity=severity).withColumn("kind", kind)
-    return paged(rows, [severity_rank(F.col("severity")), "name", "installed"], page_size, 200, cursor)
+    return paged(rows, [F.when(F.col("kind") == "blocker", 0).otherwise(1), F.desc("confidence"), "name", "installed"], page_size, 200, cursor)
 
 
 def migration_tasks(items: DataFrame, links: DataFrame, type: str | None = None, limit: int = 200) -> DataFrame:
     """The first work items (id, severity, type, …) in batches: an item comes after those that it is linked to."""
     one_of(type, ["blocker", "risk", "opportunity"], "type")
-    some = all_of(items, type=type).orderBy("id").limit(max(1, min(limit, 500)))
+    in_range(limit, 1, 500, "limit")
+    some = all_of(items, type=type).orderBy("id").limit(limit)
     among = links.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).join(some.select(F.col("id").alias("src")), "src", "left_semi").join(some.select(F.col("id").alias("dst")), "dst", "left_semi")
     return topo.batches(some.select("id"), among).join(some.select("id", priority(F.col("severity")).alias("priority")), "id")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft.functions import expressions as X
-from graphweft.operators import tools
+from graphweft.operators import findings as fd
+from graphweft.operators import normalize, tools
 from graphweft.operators.graph import Graph
 
 
@@ -52,3 +53,45 @@ def test_debounced_on_batches_and_streams(spark, tmp_path):
     for out in (debounced(frame), drained(debounced(stream))):
         assert sorted((r["path"], r["kind"], r["session_window"]["start"].second) for r in out.collect()) == [("a", "added", 40), ("a", "deleted", 0), ("b", "modified", 0), ("c", "modified", 40)]
     assert debounced(frame.withColumn("k", F.lit(1)), "k").columns == ["k", "session_window", "path", "kind"] and debounced(frame, "path").count() == 4
+
+
+def test_arguments_out_of_range_are_errors(spark):
+    nodes = spark.createDataFrame([("a", "Class", "a", "f", False, False)], "id string, label string, name string, file_path string, is_test boolean, flag boolean")
+    graph = Graph(nodes, spark.createDataFrame([], "type string, src string, dst string"))
+    for depth in (0, 21, -1):
+        with pytest.raises(ValueError, match="depth must be between 1 and 20"):
+            tools.impact_of(graph, symbol="a", depth=depth)
+        with pytest.raises(ValueError, match="depth must be between 1 and 20"):
+            tools.reached(graph, "a", "in", depth)
+    with pytest.raises(ValueError, match="kinds must be one of"):
+        tools.reached(graph, "a", "in", kinds=["NONE"])
+    with pytest.raises(ValueError, match="least must be between 0 and 1"):
+        tools.migration_findings(nodes, least=1.5)
+    with pytest.raises(ValueError, match="limit must be between 1 and 500"):
+        tools.migration_tasks(nodes, nodes, limit=501)
+
+
+def test_blocking_packages_come_first(spark):
+    rows = [("b", "1", "2", "PKG_MAJOR_UPGRADE_REQUIRED", "high", 0.85), ("a", "1", "2", "PKG_UNVERIFIED_COMPAT", "medium", 0.6), ("z", "1", "2", "PKG_INCOMPATIBLE_PEER", "critical", 1.0), ("c", "1", "2", "PKG_MAJOR_UPGRADE_REQUIRED", "high", 0.9)]
+    frame = spark.createDataFrame(rows, "name string, installed string, required string, reason_code string, severity string, confidence double")
+    assert [r["name"] for r in tools.package_compatibility(frame).collect()] == ["z", "c", "b", "a"]
+
+
+def test_readiness(spark):
+    rows = spark.createDataFrame([(3, 1), (0, 0), (0, 4), (1, 2), (1, 199)], "c int, b int")
+    assert [r[0] for r in rows.select(fd.readiness(F.col("c"), F.col("b"))).collect()] == [75, 0, 0, 33, 1]
+
+
+def test_longest_root_wins_and_ties_go_to_the_first(spark):
+    roots = [("apps/a", "A", 0), ("apps/ab", "AB", 1), ("src", "S", 2), ("a/src", "AS", 3), ("/lib", "L", 4), ("apps/a", "A2", 5), ("b/src", "BS", 6), ("", "none", 7)]
+    paths = ["apps/a/x.ts", "apps/ab/x.ts", "my-apps/a/y.ts", "x/src", "za/src/q", "lib/x", "q/lib/x", "a/src/b/src", "nothing", "", "éapps/aé"]
+    projects, files = spark.createDataFrame(roots, "root string, project string, ordinal int"), spark.createDataFrame([(p,) for p in paths], "path string")
+    want = {}
+    for p in paths:
+        hits = [(-len(r), i, n) for r, n, i in roots if r and r in p]
+        if hits:
+            want[p] = min(hits)[2]
+    plan = normalize.file_to_project(files, projects)
+    assert {r["path"]: r["project"] for r in plan.collect()} == want
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+    assert normalize.file_to_project(files, projects.limit(0)).count() == 0
