@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphweft.functions.expressions import half_up, priority, severity_rank, stable_id, version
+from graphweft.operators.rules import TITLES
 
 
 def build(raw: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def top_reasons(findings: DataFrame, n: int = 5) -> DataFrame:
 
 
 def work_items(findings: DataFrame) -> DataFrame:
-    title = F.concat(F.lit("Fix "), "reason_code", F.lit(" ("), "category", F.lit(")"))
+    known = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))[F.col("reason_code")]
+    title = F.coalesce(known, F.concat(F.lit("Fix "), "reason_code", F.lit(" ("), "category", F.lit(")")))
     return findings.select(stable_id(F.lit("workitem"), "id").alias("id"), F.col("id").alias("finding_id"), title.alias("title"), priority(F.col("severity")).alias("priority"), "node_id")
 
 

@@ -19,6 +19,23 @@ REASONS = [
     ("ARCH_CIRCULAR_DEPENDENCY", 1.0, "critical", "architecture"), ("PKG_INCOMPATIBLE_PEER", 1.0, "critical", "package"),
     ("PKG_MAJOR_UPGRADE_REQUIRED", 0.85, "high", "package"), ("PKG_UNVERIFIED_COMPAT", 0.60, "medium", "package"),
 ]
+#: What a work item is called by its reason; any other is called by reason and category.
+TITLES = {
+    "ANG_CLASS_BASED_GUARD": "Convert class-based guard to functional guard",
+    "ANG_CLASS_BASED_RESOLVER": "Convert class-based resolver to functional resolver",
+    "ANG_NGMODULE_HEAVY": "Migrate NgModule-based artifact to standalone",
+    "ANG_ENTRY_COMPONENTS": "Remove entryComponents from NgModule",
+    "ANG_COMPONENT_FACTORY": "Replace ComponentFactoryResolver with ViewContainerRef.createComponent()",
+    "ANG_LEGACY_ROUTER_CONFIG": "Migrate forRoot/forChild to provideRouter()",
+    "RXJS_PATCH_IMPORTS": "Replace RxJS patch imports with pipeable operators",
+    "RXJS_NON_PIPEABLE": "Refactor non-pipeable operators to pipe() syntax",
+    "RXJS_SUBSCRIPTION_LEAK": "Fix subscription leak with takeUntilDestroyed()",
+    "RXJS_TO_PROMISE": "Replace toPromise() with firstValueFrom()",
+    "RXJS_THROW_ERROR_STRING": "Fix throwError() to use factory function",
+    "TMPL_NGMODEL_MISSING_IMPORT": "Add FormsModule to standalone component imports",
+    "TMPL_PIPE_MISSING_IMPORT": "Add missing pipe to standalone component imports",
+    "ARCH_CIRCULAR_DEPENDENCY": "Resolve circular module dependency",
+}
 #: Packages whose major follows the framework's, and those with exceptions; None is an unknown state.
 FOLLOWING = ["@ngrx/store", "@ngrx/effects", "@ngrx/entity", "@ngrx/router-store", "@ngrx/component-store", "@angular/material", "@angular/cdk", "@rx-angular/state", "@rx-angular/push", "@rx-angular/cdk"]
 MAJORS = [14, 15, 16, 17, 18]

@@ -94,6 +94,19 @@ def service_usage(graph: Graph, name: str, kinds: tuple[str, ...] = ("INJECTS",)
     return page.join(users, "id", "left").groupBy("id", "name", "total", F.col("label").alias("user_label")).agg(F.count("src").alias("n_users"))
 
 
+def beside(page: DataFrame, parts: DataFrame, graph: Graph) -> DataFrame:
+    """A row for each member (id, section, member) of what is on a page, with the member's label and name; in no list."""
+    named = graph.nodes.select(F.col("id").alias("member"), F.col("label").alias("member_label"), F.col("name").alias("member_name"))
+    return page.join(parts, "id").join(named, "member").select("id", "name", "section", "member", "member_label", "member_name")
+
+
+def service_users(graph: Graph, name: str, kinds: tuple[str, ...] = ("INJECTS",), page_size: int = 20, cursor: str | None = None) -> DataFrame:
+    """Who uses the services of a page, by the type of edge."""
+    needed(name=name)
+    page = paged(graph.labelled("Service").where(holds("name", name)).select("id", "name"), ["name", "id"], page_size, 100, cursor)
+    return beside(page, graph.typed(*kinds).select(F.col("dst").alias("id"), F.col("type").alias("section"), F.col("src").alias("member")).distinct(), graph)
+
+
 def trace_route(routes: DataFrame, path: str) -> DataFrame:
     """The route (id, path, target, parent) that is the longest prefix of a path, and its ancestors by distance."""
     needed(path=path)
@@ -120,6 +133,26 @@ def module_structure(graph: Graph, name: str, sections: dict[str, str] | None =
     return page.join(parts, "id", "left").groupBy("id", "name", "total", "section").agg(F.count("member").alias("n"), F.min("member").alias("first_member"))
 
 
+def module_members(graph: Graph, name: str, sections: dict[str, str] | None = None, inbound: bool = False, page_size: int = 20, cursor: str | None = None) -> DataFrame:
+    """The members of every section of the modules of a page, a row each."""
+    needed(name=name)
+    sections = sections or SECTIONS
+    near, far = ("dst", "src") if inbound else ("src", "dst")
+    page = paged(graph.labelled("NgModule").where(holds("name", name)).select("id", "name"), ["name", "id"], page_size, 100, cursor)
+    kind = F.create_map(*(F.lit(x) for k, v in sections.items() for x in (v, k)))[F.col("type")]
+    return beside(page, graph.typed(*sections.values()).select(F.col(near).alias("id"), kind.alias("section"), F.col(far).alias("member")).distinct(), graph)
+
+
+def entity_neighbours(graph: Graph, entity: str, label: str, kinds: list[str] | None = None, page_size: int = 50, cursor: str | None = None) -> DataFrame:
+    """A page of what an entity has edges with, by direction and type, each with its label, name and file."""
+    one_of(label, [*LABELS, "Template", "SpecFile", "Project"], "label")
+    known = graph.labelled(label).where(F.col("id") == entity).select(F.col("id").alias("entity"))
+    edges = graph.typed(*kinds) if kinds else graph.edges
+    end = lambda near, far, way: edges.where(F.col(near) == entity).select(F.col(near).alias("entity"), F.lit(way).alias("direction"), "type", F.col(far).alias("id"))
+    around = end("src", "dst", "out").unionByName(end("dst", "src", "in")).distinct().join(known, "entity", "left_semi")
+    return paged(around.join(graph.nodes, "id").select("direction", "type", "id", "label", "name", "file_path"), ["direction", "type", "name", "id"], page_size, 200, cursor)
+
+
 def entity_detail(graph: Graph, entity: str, label: str) -> DataFrame:
     """One entity with its edges counted by direction and type; without edges, one row with a null type."""
     one_of(label, [*LABELS, "Template", "SpecFile", "Project"], "label")

@@ -499,7 +499,8 @@ def package_compatibility_summary(spark, d):
     return package_classify(spark, d).agg(F.count("*").alias("total"), F.count_if(code == "PKG_UNVERIFIED_COMPAT").alias("unverified"), F.count_if(code == "PKG_MAJOR_UPGRADE_REQUIRED").alias("upgrades"))
 
 
-ITEMS_SQL = "w AS (SELECT substr(sha256('workitem::' || id), 1, 16) AS id, id AS finding_id, 'Fix ' || reason_code || ' (' || category || ')' AS title, CASE WHEN severity IN ('critical', 'high') THEN 'p1' WHEN severity = 'medium' THEN 'p2' ELSE 'p3' END AS priority, node_id FROM f)"
+TITLE_SQL = f"CASE reason_code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TITLES.items())} ELSE 'Fix ' || reason_code || ' (' || category || ')' END"
+ITEMS_SQL = f"w AS (SELECT substr(sha256('workitem::' || id), 1, 16) AS id, id AS finding_id, {TITLE_SQL} AS title, CASE WHEN severity IN ('critical', 'high') THEN 'p1' WHEN severity = 'medium' THEN 'p2' ELSE 'p3' END AS priority, node_id FROM f)"
 
 
 @query(on_findings_then(f"{ITEMS_SQL} SELECT * FROM w"))

@@ -65,6 +65,21 @@ def tool_module_structure(spark, d):
     return tools.module_structure(star_graph(spark, d), "NATION_1", {"components": "INJECTS", "services": "EXTENDS"}, inbound=True)
 
 
+@query(c.on_graph(", s AS (SELECT id, name FROM nodes WHERE label = 'NgModule' AND contains(lower(name), 'nation_1') ORDER BY name, id LIMIT 20), p AS (SELECT DISTINCT dst AS id, CASE type WHEN 'INJECTS' THEN 'components' ELSE 'services' END AS section, src AS member FROM edges WHERE type IN ('INJECTS', 'EXTENDS')) SELECT s.id, s.name, section, member, n.label AS member_label, n.name AS member_name FROM s JOIN p USING (id) JOIN nodes n ON n.id = member"))
+def tool_module_members(spark, d):
+    return tools.module_members(star_graph(spark, d), "NATION_1", {"components": "INJECTS", "services": "EXTENDS"}, inbound=True)
+
+
+@query(c.on_graph(", s AS (SELECT id, name FROM nodes WHERE label = 'Service' AND contains(lower(name), '0') ORDER BY name, id LIMIT 5 OFFSET 2), p AS (SELECT DISTINCT dst AS id, type AS section, src AS member FROM edges WHERE type = 'BINDS_TO') SELECT s.id, s.name, section, member, n.label AS member_label, n.name AS member_name FROM s JOIN p USING (id) JOIN nodes n ON n.id = member"))
+def tool_service_users(spark, d):
+    return tools.service_users(star_graph(spark, d), "0", ("BINDS_TO",), page_size=5, cursor=X.cursor(2))
+
+
+@query(c.on_graph(page_sql("SELECT DISTINCT direction, type, n.id, n.label, n.name, n.file_path FROM (SELECT 'out' AS direction, type, dst AS other FROM edges WHERE src = 'nation::3' UNION ALL SELECT 'in', type, src FROM edges WHERE dst = 'nation::3') e JOIN nodes n ON n.id = other", "direction, type, name, id", 25, 3)))
+def tool_entity_neighbours(spark, d):
+    return tools.entity_neighbours(star_graph(spark, d), "nation::3", "NgModule", page_size=25, cursor=X.cursor(3))
+
+
 @query(c.on_graph(" SELECT n.id, n.label, n.name, n.file_path, direction, type, count(DISTINCT other) AS n FROM nodes n JOIN (SELECT src AS id, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges) e ON e.id = n.id WHERE n.id = 'supplier::3' AND n.label = 'Service' GROUP BY ALL"))
 def tool_entity_detail(spark, d):
     return tools.entity_detail(star_graph(spark, d), "supplier::3", "Service")
