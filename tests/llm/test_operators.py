@@ -616,3 +616,16 @@ def test_stages_judge_rows_not_ids(spark):
     assert kept(p.exact) == sorted([(1, a), (2, b), (3, near), (3, c), (3, "x")])
     assert kept(p.near) == sorted([(1, a), (2, b), (3, c), (3, "x")])
     assert (3, "x") not in kept(p.quality) and (3, c) in kept(p.quality)
+
+
+def test_fuzzy_passages_go_on_beyond_the_first_words(spark):
+    """60 equal words, then words of which every fifth is another: one passage as far as they go, however far that is."""
+    texts, sizes = [], (40, 100, 300, 700)
+    for k, n in enumerate(sizes):
+        a = prose(100 + k, 60 + n).split()
+        b = [w if i < 60 or i % 5 else f"other{i}" for i, w in enumerate(a)]
+        texts += [(2 * k, " ".join([*prose(200 + k, 30).split(), *a, *prose(300 + k, 30).split()])), (2 * k + 1, " ".join([*prose(400 + k, 50).split(), *b, *prose(500 + k, 50).split()]))]
+    rows = fuzzy_passages(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    for k, n in enumerate(sizes):
+        longest = max(r["end"] - r["start"] for r in rows if r["doc_id"] == 2 * k + 1)
+        assert longest >= 0.9 * (60 + n), (n, longest)
