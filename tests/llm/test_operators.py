@@ -629,3 +629,26 @@ def test_fuzzy_passages_go_on_beyond_the_first_words(spark):
     for k, n in enumerate(sizes):
         longest = max(r["end"] - r["start"] for r in rows if r["doc_id"] == 2 * k + 1)
         assert longest >= 0.9 * (60 + n), (n, longest)
+
+
+def test_alignments_with_many_edits_take_arrays():
+    """An alignment with a thousand edits keeps its edits few, and takes a small part of the time that single steps take."""
+    import time
+
+    from graphweft.llm import fuzzy_passages as f
+
+    rng = random.Random(8)
+    a = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    b = [w if rng.random() > 0.2 else f"w{rng.randrange(3000)}" for w in a if rng.random() > 0.05]
+    start = time.perf_counter()
+    runs, short = f.grown(a, b)
+    took = time.perf_counter() - start
+    u, v, edits = f.words_of(runs)
+    x = y = 0
+    for n, i, j, edit in runs:
+        assert edit or a[x : x + n] == b[y : y + n]
+        x, y = x + n * i, y + n * j
+    assert short and (u, v) == (x, y) and u > 3980 and 700 < edits < 1100 and took < 0.6
+    short_texts = [[f"w{rng.randrange(4)}" for _ in range(rng.randrange(60))] for _ in range(60)]
+    for p, q in zip(short_texts[::2], short_texts[1::2], strict=True):
+        assert f.distance(p, q) == plain_distance(p, q)
