@@ -631,6 +631,19 @@ def test_fuzzy_passages_go_on_beyond_the_first_words(spark):
         assert longest >= 0.9 * (60 + n), (n, longest)
 
 
+def test_fuzzy_passages_of_parts_that_one_holder_has_apart(spark):
+    """Two documents share a passage whose halves an earlier one has in other places, and others between them hold each half."""
+    own = lambda k, n: [f"o{k}w{i}" for i in range(n)]
+    texts = []
+    for t in range(6):
+        half, other = ([f"t{t}{c}{i}" for i in range(21)] for c in "ab")
+        k = 10 * t
+        texts += [(k, [*own(k, 9), *other, *own(k + 1, 60), *half]), (k + 1, [*own(k + 2, 9), *half, *other, *own(k + 3, 30)])]
+        texts += [(k + 2, [*own(k + 4, 50), *half]), (k + 3, [*other, *own(k + 5, 50)]), (k + 4, [*own(k + 6, 70), *half, *other])]
+    rows = fuzzy_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"], r["start"], r["end"], r["partner_start"], r["partner_end"]) for r in rows} == {(10 * t + 4, 10 * t + 1, 70, 112, 9, 51) for t in range(6)}
+
+
 def test_alignments_with_many_edits_take_arrays():
     """An alignment with a thousand edits keeps its edits few, and takes a small part of the time that single steps take."""
     import time
