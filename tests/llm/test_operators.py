@@ -665,3 +665,12 @@ def test_alignments_with_many_edits_take_arrays():
     short_texts = [[f"w{rng.randrange(4)}" for _ in range(rng.randrange(60))] for _ in range(60)]
     for p, q in zip(short_texts[::2], short_texts[1::2], strict=True):
         assert f.distance(p, q) == plain_distance(p, q)
+
+
+def test_longer_seeds_of_texts_that_repeat_themselves_end_soon(spark):
+    from graphweft.llm import fuzzy_passages as f
+
+    line = [f"r{i}" for i in range(23)]
+    docs = spark.createDataFrame([(k, " ".join([f"o{k}", *line * 40, f"e{k}"])) for k in range(3)], "doc_id bigint, text string")
+    held = f.written(f.holders(f.seed_rows(docs).withColumn("second", F.col("at"))), "passage-held")
+    assert len(f.matches_of_longer(held)) <= 2
