@@ -3,7 +3,8 @@
 A file's text is cut into words, strings, comments and brackets by one pattern, so brackets in strings, templates, comments
 and regular expressions do not count. How deep a token lies is a running sum over a file's tokens; a class is the stretch
 of tokens between its head and the bracket that brings the sum back, a member the stretch between two ends one level in.
-Calls are joined with the member whose stretch holds them. Files are dealt by path once; all windows follow that.
+A file's tokens stay in its row as an array, and go from there into the rows of members whose stretch holds them; tokens
+are never rows that are sorted or shuffled. Files are dealt by path once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ IN_TYPE = r"(?:[^<>(){};=&|]|\|(?!\|))*+"
 TYPES = rf"<{IN_TYPE}(?:<{IN_TYPE}(?:<{IN_TYPE}>{IN_TYPE})*+>{IN_TYPE})*+>(?=\s*+\()"
 TOKEN = rf"\A\s++|(?:{COMMENT}|{SINGLE}|{DOUBLE}|{TEMPLATE}|{REGEX}|{TYPES}|[\w$#]++|=>|\?\.(?!\d)|\S)\s*+"
 NAME = r"^[A-Za-z_$][\w$]*$"
+#: Fixed value: what a line break counts where line breaks and brackets are added up in one number.
+ABOVE = 1 << 32
 #: What may stand between a class's decorators and its keyword, and before a member's name.
 HEAD, MODIFIERS = ("export", "default", "abstract", "declare"), "public|private|protected|static|readonly|async|abstract|override|declare|accessor"
 #: A member's tokens one level inside its class, parted by blanks: decorators, modifiers, name, mark, and what follows.
@@ -43,79 +46,116 @@ def breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """path, at (place among the file's tokens), raw (with the blanks after it), word, line and depth, without comments.
+def within(rows: Column, test) -> Column:
+    """Places (from 0) of the entries of an array that pass a test of the entry and its place."""
+    return F.filter(F.transform(rows, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """path and `tokens` of every file: an array of at (place in the file), raw (with the blanks after it), word, line and
+    depth, without comments.
 
     depth counts the brackets of any kind around a token; a bracket lies as deep as its partner. Null content has none.
+    Running sums of brackets and line breaks double their reach in each round, so a file of n tokens takes log n rounds. The
+    files are dealt into as many partitions as shuffles have: how many tokens come of a file is not seen in its bytes.
     """
-    listed = files.select("path", "content").repartition("path").select("path", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("at", "raw"))
-    word = F.regexp_replace("raw", r"\s++\z", "")
-    known = listed.withColumn("word", word).withColumn("opens", F.col("word").isin("(", "[", "{").cast("int")).withColumn("closes", F.col("word").isin(")", "]", "}").cast("int"))
-    upto = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.sum(F.col("opens") - F.col("closes")).over(upto) - F.col("opens")
-    line = F.coalesce(F.sum(breaks(F.col("raw"))).over(before), F.lit(0)) + 1
-    out = known.select("path", "at", "raw", "word", line.alias("line"), depth.alias("depth"))
-    return out.where("word <> '' AND NOT startswith(word, '//') AND NOT startswith(word, '/*')")
-
-
-def stretched(found: DataFrame) -> DataFrame:
-    """tokens with the class or interface they lie in (kind, owner, owner_at, flags) and the member's number in it (part).
-
-    Only classes and interfaces at the outermost level count. The head's own row is marked; a class's last bracket is
-    outside. Type literals between a class's name and its body are not taken for the body.
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raw = files.select("path", "content").repartition(n, "path").select("path", F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)).alias("raw"))
+    words = raw.select("path", "raw", F.transform("raw", lambda x: F.rtrim(x, F.lit(" \t\n\x0b\f\r"))).alias("word"))
+    # both sums go in one number: line breaks above, brackets below
+    step = lambda w, i: breaks(F.get("raw", i)).cast("long") * ABOVE + F.when(w.isin("(", "[", "{"), 1).when(w.isin(")", "]", "}"), -1).otherwise(0)
+    first = words.select("path", "raw", "word", F.transform("word", step).alias("step"), F.size("word").alias("n"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + F.lit(1))).cast("int"))
+    reach = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    upto = F.aggregate(rounds, F.col("step"), lambda sums, k: F.transform(sums, lambda x, i: F.when(i < reach(k), x).otherwise(x + F.get(sums, i - reach(k)))))
+    summed = first.select("path", "raw", "word", "step", upto.alias("upto"))
+    lines = lambda x: F.shiftright(x + ABOVE // 2, 32)
+    depth = lambda x: (x - lines(x) * ABOVE).cast("int")
+
+    def token(x: Column, i: Column) -> Column:
+        word, own = F.get("word", i), F.get("step", i)
+        return F.struct(i.alias("at"), F.get("raw", i).alias("raw"), word.alias("word"), (lines(x - own) + 1).alias("line"), (depth(x) - F.when(word.isin("(", "[", "{"), 1).otherwise(0)).alias("depth"))
+
+    code = lambda t: (t["word"] != "") & ~F.startswith(t["word"], F.lit("//")) & ~F.startswith(t["word"], F.lit("/*"))
+    return summed.select("path", F.filter(F.transform("upto", token), code).alias("tokens"))
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """The tokens of listed() as rows."""
+    return listed(files).select("path", F.explode("tokens").alias("t")).select("path", "t.*")
+
+
+def owned(files: DataFrame) -> DataFrame:
+    """Rows of the classes and interfaces at the outermost level of files: path, kind, owner, owner_at, flags, part, tokens.
+
+    A row with part -1 stands for the head, with the tokens up to the body; the others for what lies between two ends one
+    level in, of classes only. A class's last bracket is outside. Type literals between a class's name and its body are not
+    taken for the body. Each token is in one row, so nothing is joined or sorted.
     """
-    order = Window.partitionBy("path").orderBy("at")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    near = found
-    for k in (1, 2, 3):
-        near = near.withColumn(f"p{k}", F.lag("word", k).over(order))
-    near = near.withColumn("n1", F.lead("word", 1).over(order))
-    head = (F.col("depth") == 0) & F.col("word").isin("class", "interface") & F.col("n1").rlike(NAME) & ~F.col("n1").isin("extends", "implements") & ~F.coalesce(F.col("p1").isin(".", "?."), F.lit(False))
-    mods = F.when(F.col("p1").isin(*HEAD), F.concat_ws(" ", "p1", F.when(F.col("p2").isin(*HEAD), F.concat_ws(" ", "p2", F.when(F.col("p3").isin(*HEAD), F.col("p3")))))).otherwise("")
-    own = F.struct(F.initcap("word").alias("kind"), F.col("n1").alias("owner"), F.col("at").alias("owner_at"), F.contains(mods, F.lit("export")).alias("is_exported"), F.contains(mods, F.lit("abstract")).alias("is_abstract"))
-    none = F.from_json(F.lit("{}"), "kind string, owner string, owner_at int, is_exported boolean, is_abstract boolean")
-    ends = (F.col("depth") == 0) & (F.col("word") == "}") & ~F.coalesce(F.col("n1").isin(">", ",", "=", "|", "&", "["), F.lit(False))
-    inside = near.withColumn("head", head).withColumn("in_", F.last(F.when(head, own).when(ends, none), ignorenulls=True).over(upto))
-    body = (F.col("depth") == 0) & (F.col("word") == "{") & ~F.coalesce(F.col("p1").isin("extends", "<", ":", "=", ",", "|", "&"), F.lit(False))
-    inside = inside.withColumn("in_body", F.last(F.when(F.col("head"), False).when(body, True), ignorenulls=True).over(upto)).where("in_.owner IS NOT NULL")
-    end = ((F.col("depth") == 1) & F.col("in_body") & F.col("word").isin(";", "}")).cast("int")
-    return inside.withColumn("part", F.coalesce(F.sum(end).over(before), F.lit(0))).select("path", "at", "raw", "word", "line", "depth", "head", "in_body", "part", "in_.*")
-
-
-def members(inside: DataFrame) -> DataFrame:
-    """path, owner_at, part, owner, name, kind (method or property), its flags, and the places of its type and its body."""
-    row = F.struct("at", F.regexp_replace("word", r"\s+", "\u0001").alias("word"))
-    lists = inside.where("depth = 1 AND in_body AND kind = 'Class'").groupBy("path", "owner_at", "owner", "part").agg(F.array_sort(F.collect_list(row)).alias("t"))
-    text = F.array_join(F.col("t")["word"], " ")
+    found = listed(files)
+    # only what can begin or end a stretch is looked at with its neighbours
+    marks = within(F.col("tokens"), lambda x, i: (x["depth"] == 0) & x["word"].isin("class", "interface", "}"))
+    near = found.select("path", "tokens", marks.alias("marks"))
+
+    def event(i: Column) -> Column:
+        word = lambda k: F.get("tokens", i + k)["word"]
+        head = word(0).isin("class", "interface") & word(1).rlike(NAME) & ~word(1).isin("extends", "implements") & ~F.coalesce(word(-1).isin(".", "?."), F.lit(False))
+        ends = (word(0) == "}") & ~F.coalesce(word(1).isin(">", ",", "=", "|", "&", "["), F.lit(False))
+        mods = F.when(word(-1).isin(*HEAD), F.concat_ws(" ", word(-1), F.when(word(-2).isin(*HEAD), F.concat_ws(" ", word(-2), F.when(word(-3).isin(*HEAD), word(-3)))))).otherwise("")
+        own = [F.initcap(word(0)).alias("kind"), word(1).alias("owner"), F.get("tokens", i)["at"].alias("owner_at"), F.contains(mods, F.lit("export")).alias("is_exported"), F.contains(mods, F.lit("abstract")).alias("is_abstract")]
+        return F.struct(i.alias("i"), F.coalesce(head, F.lit(False)).alias("head"), F.coalesce(ends, F.lit(False)).alias("ends"), *own)
+
+    events = near.select("path", "tokens", F.filter(F.transform("marks", event), lambda e: e["head"] | e["ends"]).alias("events"))
+    to = lambda k: F.coalesce(F.get("events", k + 1)["i"], F.size("tokens"))
+    stretch = lambda e, k: F.struct(*(e[c].alias(c) for c in ("head", "kind", "owner", "owner_at", "is_exported", "is_abstract")), F.when(e["head"], F.slice("tokens", e["i"] + 1, to(k) - e["i"])).alias("t"))
+    classes = events.select("path", F.explode(F.filter(F.transform("events", stretch), lambda c: c["head"])).alias("c")).select("path", "c.*")
+    body = within(F.col("t"), lambda x, i: (x["depth"] == 0) & (x["word"] == "{") & ~F.coalesce(F.get("t", i - 1)["word"].isin("extends", "<", ":", "=", ",", "|", "&"), F.lit(False)))
+    own = ["path", "kind", "owner", "owner_at", "is_exported", "is_abstract"]
+    bodies = classes.select(*own, "t", F.get(body, F.lit(0)).alias("body"))
+    ends = F.when(F.col("kind") == "Class", within(F.col("t"), lambda x, i: (x["depth"] == 1) & (i >= F.col("body")) & x["word"].isin(";", "}")))
+    ended = bodies.select(*own, "t", "body", ends.alias("ends"))
+    row = lambda part, rows: F.struct(part.cast("int").alias("part"), rows.alias("tokens"))
+    head = row(F.lit(-1), F.slice("t", F.lit(1), F.coalesce("body", F.size("t"))))
+    part = lambda at, k: row(k, F.slice("t", at + 2, F.coalesce(F.get("ends", k), F.size("t") - 1) - at))
+    parts = F.when((F.col("kind") == "Class") & F.col("body").isNotNull(), F.transform(F.concat(F.array(F.col("body") - 1), "ends"), part))
+    rows = F.concat(F.array(head), F.coalesce(parts, F.filter(F.array(head), lambda x: F.lit(False))))
+    return ended.select(*own, F.explode(rows).alias("p")).select(*own, "p.*")
+
+
+def with_members(rows: DataFrame) -> DataFrame:
+    """Rows of owned() with name, member (method or property), its flags, and the places of its type and its body; these
+    are null where a row is no member."""
+    plain = F.transform(F.filter("tokens", lambda x: x["depth"] == 1), lambda x: F.struct(x["at"].alias("at"), F.regexp_replace(x["word"], r"\s+", "\u0001").alias("word")))
+    lists = rows.withColumn("t", F.when(F.col("part") >= 0, plain))
+    texts = lists.withColumn("text", F.array_join(F.transform("t", lambda x: x["word"]), " "))
     group = lambda k: F.regexp_extract("text", MEMBER, k)
-    found = lists.withColumn("text", text).where(F.col("text").rlike(MEMBER)).select("path", "owner_at", "owner", "part", "t", group(1).alias("marks"), group(2).alias("mods"), group(4).alias("name"), group(5).alias("mark"), group(6).alias("next"), F.size(F.split(F.concat(group(1), group(2), group(3), F.lit("x")), " ")).alias("i"))
-    found = found.withColumn("kind", F.when(F.col("next").isin("(", "<"), "method").otherwise("property")).where("NOT (kind = 'method' AND name = 'constructor')")
+    found = texts.withColumn("m", F.when(F.col("text").rlike(MEMBER), F.struct(*(group(k).alias(c) for k, c in ((1, "marks"), (2, "mods"), (3, "star"), (4, "name"), (5, "mark"), (6, "next"))))))
+    found = found.select(*rows.columns, "t", "m.*", F.size(F.split(F.concat("m.marks", "m.mods", "m.star", F.lit("x")), " ")).alias("i"))
+    found = found.withColumn("member", F.when(F.col("next").isin("(", "<"), "method").when(F.col("name").isNotNull(), "property"))
+    found = found.withColumn("member", F.when(~((F.col("member") == "method") & (F.col("name") == "constructor")), F.col("member")))
     word = lambda k: F.get("t", k)["word"]  # noqa: E731  from 0; i - 1 is the name's place
     # where the type's colon would be: after the mark of a property, or the parameters of a method
     mark = F.when(F.col("mark") != "", 1).otherwise(0)
-    colon = F.when(F.col("kind") == "property", F.col("i") + mark).otherwise(F.col("i") + mark + F.when(F.startswith(word(F.col("i") + mark), F.lit("<")), 3).otherwise(2))
-    found = found.withColumn("colon", colon)
-    after = F.slice("t", F.col("colon") + 1, F.size("t"))
-    stop = F.get(F.filter(after, lambda x: x["word"].isin("{", ";") | ((F.col("kind") == "property") & (x["word"] == "="))), F.lit(0))["at"]
-    body = F.when(F.col("kind") == "method", F.get(F.filter(after, lambda x: x["word"] == "{"), F.lit(0))["at"])
+    colon = F.when(F.col("member") == "property", F.col("i") + mark).otherwise(F.col("i") + mark + F.when(F.startswith(word(F.col("i") + mark), F.lit("<")), 3).otherwise(2))
+    found = found.withColumn("colon", F.when(F.col("member").isNotNull(), colon))
+    found = found.withColumn("after", F.slice("t", F.col("colon") + 1, F.size("t")))
+    stop = F.get(F.filter("after", lambda x: x["word"].isin("{", ";") | ((F.col("member") == "property") & (x["word"] == "="))), F.lit(0))["at"]
+    body = F.when(F.col("member") == "method", F.get(F.filter("after", lambda x: x["word"] == "{"), F.lit(0))["at"])
     typed = word(F.col("colon")) == ":"
     # a property of a literal type begins with its bracket
     literal = typed & (word(F.col("colon") + 1) == "{")
     return found.select(
-        "path", "owner_at", "owner", "part", "name", "kind", (~F.col("mods").rlike("private|protected")).alias("is_public"), F.col("mods").rlike(r"\bstatic\b").alias("is_static"),
+        *rows.columns, "name", "member", (~F.col("mods").rlike("private|protected")).alias("is_public"), F.col("mods").rlike(r"\bstatic\b").alias("is_static"),
         F.col("marks").rlike(r"@ Input (<\S* )?\(").alias("is_input"), F.col("marks").rlike(r"@ Output (<\S* )?\(").alias("is_output"),
         F.when(typed, F.get("t", F.col("colon"))["at"]).alias("type_from"), F.when(literal, None).otherwise(stop).alias("type_to"), body.alias("body_at"),
     )
 
 
-def typed_members(inside: DataFrame) -> DataFrame:
-    """members() with `type`: a property's type or a method's return type as it is written, null without one."""
-    found = members(inside)
-    spans = found.where("type_from IS NOT NULL").select("path", "owner_at", "part", "type_from", "type_to")
-    within = (F.col("at") > F.col("type_from")) & (F.col("type_to").isNull() | (F.col("at") < F.col("type_to")))
-    texts = inside.join(spans, ["path", "owner_at", "part"]).where(within & ((F.col("depth") > 1) | (F.col("word") != ";"))).groupBy("path", "owner_at", "part").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("t"))
-    return found.join(texts.select("path", "owner_at", "part", F.trim(F.regexp_replace(F.array_join(F.col("t")["raw"], ""), r"\s+", " ")).alias("type")), ["path", "owner_at", "part"], "left")
+def type_text() -> Column:
+    """A property's type or a method's return type as it is written, null without one."""
+    span = lambda x: (x["at"] > F.col("type_from")) & (F.col("type_to").isNull() | (x["at"] < F.col("type_to"))) & ((x["depth"] > 1) | (x["word"] != ";"))
+    raw = F.transform(F.filter("tokens", span), lambda x: x["raw"])
+    return F.when(F.col("type_from").isNotNull() & (F.size(raw) > 0), F.trim(F.regexp_replace(F.array_join(raw, ""), r"\s+", " ")))
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -124,14 +164,16 @@ def symbols(files: DataFrame) -> DataFrame:
     Overloads and repeated names give one node. Members of interfaces are none of their own; constructors and accessors
     are no methods.
     """
-    inside = stretched(tokens(files))
-    owners = inside.where("head").select(symbol_id(F.col("path"), F.col("kind"), F.col("owner")).alias("id"), F.col("kind").alias("label"), F.col("owner").alias("name"), F.col("path").alias("source_file"), "is_exported", F.when(F.col("kind") == "Class", F.col("is_abstract")).alias("is_abstract"))
-    parts = typed_members(inside)
-    label = F.initcap("kind")
-    prop = F.col("kind") == "property"
-    parts = parts.select(symbol_id(F.col("path"), label, F.concat_ws(".", "owner", "name")).alias("id"), label.alias("label"), "name", F.col("owner").alias("class_name"), F.col("path").alias("source_file"), "is_public", "is_static", F.when(prop, F.col("is_input")).alias("is_input"), F.when(prop, F.col("is_output")).alias("is_output"), "type", F.struct("owner_at", "part").alias("order"))
-    first = parts.groupBy("id").agg(*(F.min_by(c, "order").alias(c) for c in parts.columns if c not in ("id", "order")))
-    return owners.dropDuplicates(["id"]).unionByName(first, allowMissingColumns=True)
+    head, prop = F.col("part") == -1, F.col("member") == "property"
+    label = F.when(head, F.col("kind")).otherwise(F.initcap("member"))
+    of_member = lambda c, when=True: F.when(~head & when, F.col(c)).alias(c)
+    rows = with_members(owned(files)).where(head | F.col("member").isNotNull()).select(
+        symbol_id(F.col("path"), label, F.when(head, F.col("owner")).otherwise(F.concat_ws(".", "owner", "name"))).alias("id"), label.alias("label"), F.when(head, F.col("owner")).otherwise(F.col("name")).alias("name"), F.col("path").alias("source_file"),
+        F.when(head, F.col("is_exported")).alias("is_exported"), F.when(head & (F.col("kind") == "Class"), F.col("is_abstract")).alias("is_abstract"), F.when(~head, F.col("owner")).alias("class_name"),
+        of_member("is_public"), of_member("is_static"), of_member("is_input", prop), of_member("is_output", prop), type_text().alias("type"), F.struct("owner_at", "part").alias("order"),
+    )
+    values = [c for c in rows.columns if c not in ("id", "order")]
+    return rows.groupBy("id").agg(F.min_by(F.struct(*values), "order").alias("s")).select("id", "s.*")
 
 
 def symbol_edges(files: DataFrame) -> DataFrame:
@@ -139,22 +181,23 @@ def symbol_edges(files: DataFrame) -> DataFrame:
 
     A name that a class extends or implements is resolved later, so dst is null there.
     """
-    inside = stretched(tokens(files))
+    rows = with_members(owned(files))
+    head, none = F.col("part") == -1, F.lit(None).cast("string")
     owner = symbol_id(F.col("path"), F.col("kind"), F.col("owner"))
-    text = "string"
-    declared = inside.where("head").select(F.lit("DECLARES_SYMBOL").alias("type"), file_id(F.col("path")).alias("src"), owner.alias("dst"), F.lit(None).cast(text).alias("pending_name"))
-    of = F.when(F.col("kind") == "method", "HAS_METHOD").otherwise("HAS_PROPERTY")
-    had = members(inside).select(of.alias("type"), symbol_id(F.col("path"), "Class", F.col("owner")).alias("src"), symbol_id(F.col("path"), F.initcap("kind"), F.concat_ws(".", "owner", "name")).alias("dst"), F.lit(None).cast(text).alias("pending_name"))
-    heads = inside.where("kind = 'Class' AND NOT in_body AND depth = 0").groupBy("path", "owner_at", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("t"))
-    line = F.concat(F.array_join(F.col("t")["word"], " "), F.lit(" "))
+    edge = lambda kind, src, dst, name: F.struct(kind.alias("type"), src.alias("src"), dst.alias("dst"), name.alias("pending_name"))
+    declared = edge(F.lit("DECLARES_SYMBOL"), file_id(F.col("path")), owner, none)
+    of = F.when(F.col("member") == "method", "HAS_METHOD").otherwise("HAS_PROPERTY")
+    had = edge(of, owner, symbol_id(F.col("path"), F.initcap("member"), F.concat_ws(".", "owner", "name")), none)
+    line = F.concat(F.array_join(F.transform(F.filter("tokens", lambda x: x["depth"] == 0), lambda x: x["word"]), " "), F.lit(" "))
     # type arguments go, level by level
     for _ in range(3):
         line = F.regexp_replace(line, r"<[^<>]*> ", "")
-    base = F.regexp_extract(line, r" extends ([\w$]+) (?![.(])", 1)
-    listed = F.filter(F.split(F.regexp_extract(line, r" implements (.*)$", 1), " , "), lambda x: F.trim(x).rlike(NAME))
-    named = F.concat(F.when(base != "", F.array(F.struct(F.lit("EXTENDS").alias("type"), base.alias("name")))).otherwise(F.array()), F.transform(listed, lambda x: F.struct(F.lit("IMPLEMENTS").alias("type"), F.trim(x).alias("name"))))
-    heritage = heads.select("path", "owner", F.explode(named).alias("e")).select("e.type", symbol_id(F.col("path"), "Class", F.col("owner")).alias("src"), F.lit(None).cast(text).alias("dst"), F.col("e.name").alias("pending_name"))
-    return declared.unionByName(had).unionByName(heritage).distinct()
+    rows = rows.withColumn("line", F.when(head & (F.col("kind") == "Class"), line))
+    base = F.regexp_extract("line", r" extends ([\w$]+) (?![.(])", 1)
+    named = F.filter(F.split(F.regexp_extract("line", r" implements (.*)$", 1), " , "), lambda x: F.trim(x).rlike(NAME))
+    heritage = F.concat(F.filter(F.array(edge(F.lit("EXTENDS"), owner, none, base)), lambda e: e["pending_name"] != ""), F.transform(named, lambda x: edge(F.lit("IMPLEMENTS"), owner, none, F.trim(x))))
+    edges = F.when(head & (F.col("kind") == "Class"), F.concat(F.array(declared), heritage)).when(head, F.array(declared)).when(F.col("member").isNotNull(), F.array(had))
+    return rows.select(F.explode(edges).alias("e")).select("e.*").distinct()
 
 
 def method_calls(files: DataFrame) -> DataFrame:
@@ -163,29 +206,33 @@ def method_calls(files: DataFrame) -> DataFrame:
     this.m() has the method of the same class as dst; this.dep.m() waits for m's owner to be found, with dep as via. The
     line is where the call begins. Several calls on one line are one edge.
     """
-    inside = stretched(tokens(files))
-    order = Window.partitionBy("path").orderBy("at")
-    near = inside
-    for k in range(1, 7):
-        near = near.withColumn(f"n{k}", F.lead("word", k).over(order))
-    dot = lambda k: F.col(f"n{k}").isin(".", "?.")
-    name = lambda k: F.col(f"n{k}").rlike(NAME)
-    called = lambda k: (F.col(f"n{k}") == "(") | F.startswith(F.col(f"n{k}"), F.lit("<")) & (F.length(f"n{k}") > 1) | (F.col(f"n{k}") == "?.") & (F.col(f"n{min(k + 1, 6)}") == "(")
+    rows = with_members(owned(files)).select("path", "owner", "name", "body_at", "tokens")
     text = F.lit(None).cast("string")
-    own = F.when(dot(1) & name(2) & called(3), F.array(F.struct(F.col("n2").alias("callee"), text.alias("via"), F.col("line").alias("line"))))
-    other = F.when(dot(1) & name(2) & dot(3) & name(4) & called(5), F.array(F.struct(F.col("n4").alias("callee"), F.col("n2").alias("via"), F.col("line").alias("line"))))
-    plain = F.when(F.col("word") == "this", F.coalesce(own, other))
-    # calls in a template: matches and what lies between them, whose line breaks tell the line
-    pieces, matches = F.split("word", IN_HOLE, -1), F.regexp_extract_all("word", F.lit(IN_HOLE), F.lit(0))
-    join = lambda k: F.array_join(F.flatten(F.zip_with(F.slice(pieces, F.lit(1), k + 1), F.concat(F.slice(matches, F.lit(1), k), F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
-    holes = F.transform(matches, lambda m, k: F.struct(join(k).alias("before"), F.regexp_extract(m, IN_HOLE, 1).alias("a"), F.nullif(F.regexp_extract(m, IN_HOLE, 2), F.lit("")).alias("b")))
-    held = F.filter(holes, lambda h: h["before"].rlike(r"\$\{[^}]*\z"))
-    inner = F.when(F.startswith("word", F.lit("`")), F.transform(held, lambda h: F.struct(F.coalesce(h["b"], h["a"]).alias("callee"), F.when(h["b"].isNotNull(), h["a"]).alias("via"), (F.col("line") + breaks(h["before"])).alias("line"))))
-    calls = near.where("kind = 'Class' AND depth > 1").select("path", "owner_at", "part", "at", F.explode(F.coalesce(plain, inner)).alias("c")).select("path", "owner_at", "part", "at", "c.*")
-    callers = members(inside).where("kind = 'method' AND body_at IS NOT NULL").select("path", "owner_at", "part", "owner", "name", "body_at")
-    both = calls.join(callers, ["path", "owner_at", "part"]).where("at > body_at")
+    call = lambda callee, via, line: F.struct(callee.alias("callee"), via.alias("via"), line.cast("long").alias("line"))
+
+    def plain(i: Column) -> Column:
+        word = lambda k: F.get("tokens", i + k)["word"]
+        dot = lambda k: word(k).isin(".", "?.")
+        called = lambda k: (word(k) == "(") | F.startswith(word(k), F.lit("<")) & (F.length(word(k)) > 1) | (word(k) == "?.") & (word(min(k + 1, 6)) == "(")
+        line = F.get("tokens", i)["line"]
+        own = F.when(dot(1) & word(2).rlike(NAME) & called(3), F.array(call(word(2), text, line)))
+        return F.coalesce(own, F.when(dot(1) & word(2).rlike(NAME) & dot(3) & word(4).rlike(NAME) & called(5), F.array(call(word(4), word(2), line))))
+
+    def inner(t: Column) -> Column:
+        # calls in a template: matches and what lies between them, whose line breaks tell the line
+        pieces, matches = F.split(t["word"], IN_HOLE, -1), F.regexp_extract_all(t["word"], F.lit(IN_HOLE), F.lit(0))
+        join = lambda k: F.array_join(F.flatten(F.zip_with(F.slice(pieces, F.lit(1), k + 1), F.concat(F.slice(matches, F.lit(1), k), F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
+        holes = F.transform(matches, lambda m, k: F.struct(join(k).alias("before"), F.regexp_extract(m, IN_HOLE, 1).alias("a"), F.nullif(F.regexp_extract(m, IN_HOLE, 2), F.lit("")).alias("b")))
+        held = F.filter(holes, lambda h: h["before"].rlike(r"\$\{[^}]*\z"))
+        return F.transform(held, lambda h: call(F.coalesce(h["b"], h["a"]), F.when(h["b"].isNotNull(), h["a"]), t["line"] + breaks(h["before"])))
+
+    # body_at is null for all but methods; a filter would be moved below and all that it reads worked out twice
+    places = within(F.col("tokens"), lambda x, i: (x["depth"] > 1) & (x["at"] > F.col("body_at")) & ((x["word"] == "this") | F.startswith(x["word"], F.lit("`"))))
+    near = rows.select("path", "owner", "name", "tokens", places.alias("places"))
+    found = F.transform("places", lambda i: F.when(F.get("tokens", i)["word"] == "this", plain(i)).otherwise(inner(F.get("tokens", i))))
+    both = near.select("path", "owner", "name", F.explode(F.flatten(F.filter(found, lambda c: c.isNotNull()))).alias("c")).select("path", "owner", "name", "c.*")
     method = lambda n: symbol_id(F.col("path"), "Method", F.concat_ws(".", "owner", n))
-    return both.select(F.lit("CALLS_METHOD").alias("type"), method("name").alias("src"), F.when(F.col("via").isNull(), method("callee")).alias("dst"), F.when(F.col("via").isNotNull(), F.col("callee")).alias("pending_name"), "via", F.col("line").cast("long").alias("line")).distinct()
+    return both.select(F.lit("CALLS_METHOD").alias("type"), method("name").alias("src"), F.when(F.col("via").isNull(), method("callee")).alias("dst"), F.when(F.col("via").isNotNull(), F.col("callee")).alias("pending_name"), "via", "line").distinct()
 
 
 #: Fixed value: the class whose instances declare tokens.

@@ -157,3 +157,18 @@ def test_random_nesting(spark):
     assert members == {(p, kind, name) for p, m in made.items() for name, kind in m.members}
     calls = {(*r["src"].split("::")[::2], r["pending_name"] or r["dst"].split(".")[-1], r["via"], r["line"]) for r in st.method_calls(files).collect()}
     assert calls == {(p, *c) for p, m in made.items() for c in m.calls}
+
+
+def test_tokens_stay_in_their_file(spark):
+    """What a file's tokens give is worked out in its row: no join, no window and no sort of tokens, and no file of theirs twice."""
+    files = frame(spark, ("a.ts", SERVICE))
+    for made in (st.symbols, st.symbol_edges, st.method_calls):
+        plan = made(files)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(k in plan for k in ("Window", "Join", "Sort")) and plan.count("regexp_extract_all(content") == 1, made.__name__
+
+
+def test_long_file_and_lines(spark):
+    """Running sums over thousands of tokens, with calls on the lines where they are."""
+    body = "".join(f"  f{i}() {{\n    if ([({i})]) {{ this.g{i}(); }}\n  }}\n" for i in range(500))
+    got = {(r["src"].split(".")[-1], r["dst"].split(".")[-1], r["line"]) for r in st.method_calls(frame(spark, ("a.ts", f"class A {{\n{body}}}\n"))).collect()}
+    assert got == {(f"f{i}", f"g{i}", 3 * i + 3) for i in range(500)}
