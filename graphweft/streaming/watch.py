@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -91,7 +93,10 @@ def watched(watch: Watch, on_changes: Callable[[DataFrame], None], every: str =
 
 
 class Rolling(StatefulProcessor):
-    """Keeps the last kind of every path of a key and gives them all once nothing has come for `quiet`."""
+    """Keeps the last kind of every path of a key and gives them all once nothing has come for `quiet`.
+
+    Of a batch's rows a key holds times and numbers of paths and kinds in arrays, not rows; runs are told on these.
+    """
 
     def __init__(self, quiet: timedelta):
         self.quiet = quiet // timedelta(microseconds=1)
@@ -101,43 +106,90 @@ class Rolling(StatefulProcessor):
         self.kinds = handle.getMapState("kinds", "path string", "kind string")
         self.last = handle.getValueState("last", "us long")  # microseconds, which have no time zone
 
-    def given(self, key) -> Iterator[Row]:
-        """What is pending, and then nothing is."""
+    def stored(self, without: set[str] = frozenset()) -> Iterator[tuple[str, str]]:
+        return ((path[0], kind[0]) for path, kind in self.kinds.iterator() if path[0] not in without)
+
+    def pending(self) -> Iterator[tuple[int, str, str]]:
+        """What the state holds, and then it holds nothing."""
         if self.last.exists():
             flushed = self.last.get()[0] + self.quiet
-            for path, kind in self.kinds.iterator():
-                yield Row(key=key[0], us=flushed, path=path[0], kind=kind[0])
+            yield from ((flushed, p, k) for p, k in self.stored())
         self.forgotten()
 
     def forgotten(self) -> None:
         self.kinds.clear()
         self.last.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        for r in sorted(rows, key=lambda r: (r["us"], r["kind"])):
-            if self.last.exists() and r["us"] >= self.last.get()[0] + self.quiet:
-                yield from self.given(key)
-            if r["kind"] == CANCEL:
+    def given(self, rows: Iterable[Row]) -> Iterator[tuple[int, str, str]]:
+        """time, path and kind of what a batch's rows bring to an end; the rest goes to the state."""
+        us, path, kind, paths, kinds = numbered(rows)
+        rank = np.array([sorted(kinds).index(k) for k in kinds], np.int32)
+        order = np.lexsort((rank[kind], us))
+        us, path, kind = us[order], path[order], kind[order]
+        command = np.isin(kind, [i for i, k in enumerate(kinds) if k in (CANCEL, FLUSH)])
+        held = self.last.get()[0] if self.last.exists() else None
+        # a row begins a run if it comes late enough after the one before it, or behind a command, which ends its run
+        begins = np.append(held is None or us[0] >= held + self.quiet, (us[1:] - us[:-1] >= self.quiet) | command[:-1])
+        if begins[0] and held is not None:
+            yield from self.pending()
+            held = None
+        for first, end, changed in runs(begins, path, command):
+            by = kinds[kind[end]] if command[end] else None
+            at = int(us[end - 1 if by else end]) if end - bool(by) >= first else held
+            if by is None and end + 1 == len(us):
+                for i in changed:
+                    self.kinds.updateValue((paths[path[i]],), (kinds[kind[i]],))
+                self.last.update((at,))
+                break
+            if by != CANCEL and at is not None:
+                yield from ((at + self.quiet, paths[path[i]], kinds[kind[i]]) for i in changed)
+                if held is not None:  # only the first run goes on with what the state holds
+                    yield from ((at + self.quiet, p, k) for p, k in self.stored({paths[path[i]] for i in changed}))
+            if held is not None:
                 self.forgotten()
-            elif r["kind"] == FLUSH:
-                yield from self.given(key)
-            else:
-                self.kinds.updateValue((r["path"],), (r["kind"],))
-                self.last.update((r["us"],))
+                held = None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        for us, path, kind in self.given(rows):
+            yield Row(key=key[0], us=us, path=path, kind=kind)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if self.last.exists():
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.handle.registerTimer((self.last.get()[0] + self.quiet) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self.given(key)
+        for us, path, kind in self.pending():
+            yield Row(key=key[0], us=us, path=path, kind=kind)
 
     def close(self) -> None:
         pass
 
 
+def numbered(rows: Iterable[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """us, numbers of paths and of kinds of all rows, which are read one by one, and the paths and kinds."""
+    us, path, kind, paths, kinds = array("q"), array("i"), array("i"), {}, {}
+    for r in rows:
+        us.append(r["us"])
+        path.append(paths.setdefault(r["path"], len(paths)))
+        kind.append(kinds.setdefault(r["kind"], len(kinds)))
+    return np.frombuffer(us, np.int64), np.frombuffer(path, np.int32), np.frombuffer(kind, np.int32), list(paths), list(kinds)
+
+
+def runs(begins: np.ndarray, path: np.ndarray, command: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """first and last row of each run, and the last row of each of its paths; rows are ordered, commands are no changes."""
+    run = np.cumsum(begins, dtype=np.int32)
+    order = np.lexsort((path, run))  # stable, so the rows of a path in a run stay in their order
+    order = order[~command[order]]
+    p, r = path[order], run[order]
+    keep = np.append((p[1:] != p[:-1]) | (r[1:] != r[:-1]), np.ones(min(1, len(p)), bool))
+    order, r = order[keep], r[keep]
+    ends = np.append(np.flatnonzero(begins[1:]), len(run) - 1)
+    first = start = 0
+    for end, cut in zip(ends.tolist(), np.searchsorted(r, run[ends], "right").tolist()):
+        yield first, end, order[start:cut]
+        first, start = end + 1, cut
+
+
 def rolling(changes: DataFrame, key: str = "key", quiet: timedelta = timedelta(seconds=30), late: str = "1 minute") -> DataFrame:
     """key, flushed_at, path and kind: the last kind of each path for each run of changes that a pause of `quiet` ends.
 

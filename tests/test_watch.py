@@ -2,12 +2,15 @@
 
 import os
 import random
+import tracemalloc
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graphweft.streaming.changes import change_stream, debounced
-from graphweft.streaming.watch import Watch, gathered, rolling
+from graphweft.streaming.watch import Rolling, Watch, gathered, rolling
 
 SCHEMA = "key string, path string, kind string, at timestamp"
 
@@ -94,3 +97,60 @@ def test_rolling_equals_sessions_of_the_whole_over_restarts(spark, tmp_path):
     whole = spark.createDataFrame([(k, p, kind, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, p, kind, s in rows], SCHEMA)
     want = debounced(whole, "key").select("key", F.col("session_window.end").alias("flushed_at"), "path", "kind")
     assert seconds(got.where("key <> 'end'")) == seconds(want)
+
+
+class Held:
+    """A state store of one key."""
+
+    def __init__(self):
+        self.kinds, self.last, self.timers = {}, [], []
+        self.getMapState = lambda *a: SimpleNamespace(iterator=lambda: iter([((p,), (k,)) for p, k in self.kinds.items()]), updateValue=lambda p, k: self.kinds.update({p[0]: k[0]}), clear=self.kinds.clear)
+        self.getValueState = lambda *a: SimpleNamespace(exists=lambda: bool(self.last), get=lambda: self.last[0], update=lambda v: self.last.__setitem__(slice(None), [v]), clear=self.last.clear)
+        self.listTimers, self.registerTimer, self.deleteTimer = lambda: iter(self.timers), self.timers.append, self.timers.remove
+
+
+def rolled(store, rows):
+    timer = Rolling(timedelta(microseconds=10))
+    timer.init(store)
+    found = timer.handleInputRows(("k",), (Row(us=us, path=path, kind=kind) for us, path, kind in rows), None)
+    return [(r["us"], r["path"], r["kind"]) for r in found]
+
+
+def one_by_one(batches):
+    """The timer row by row."""
+    pending, last = {}, None
+    for batch in batches:
+        out = []
+        for us, path, kind in sorted(batch, key=lambda r: (r[0], r[2])):
+            late = last is not None and us >= last + 10
+            if late or kind == "flush":
+                out += [(last + 10, p, k) for p, k in pending.items()]
+            if late or kind in ("flush", "cancel"):
+                pending, last = {}, None
+            if kind not in ("flush", "cancel"):
+                pending[path], last = kind, us
+        yield sorted(out), dict(pending), last
+
+
+def test_runs_in_arrays_equal_the_timer_row_by_row():
+    rng = random.Random(9)
+    for case in range(300):
+        kinds = ["added", "deleted", "modified"] + ["flush", "cancel"] * (case % 2)
+        batches = [[(rng.randrange(40 * b, 40 * b + 60), rng.choice("pqr"), rng.choice(kinds)) for _ in range(rng.randrange(1, 25))] for b in range(4)]
+        # the order of one path's changes and commands at a time is that of kinds; of equal ones any
+        store = Held()
+        for batch, (out, pending, last) in zip(batches, one_by_one(batches)):
+            assert sorted(rolled(store, batch)) == out
+            assert store.kinds == pending and store.last == ([] if last is None else [(last,)])
+            assert store.timers == ([] if last is None else [(last + 10) // 1000])
+
+
+def test_a_keys_rows_are_not_held_as_objects():
+    n, timer = 200_000, Rolling(timedelta(microseconds=10))
+    timer.init(Held())
+    rows = (Row(us=i, path=f"p{i % 40}", kind="added") for i in range(n))
+    tracemalloc.start()
+    assert not list(timer.handleInputRows(("k",), rows, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n
