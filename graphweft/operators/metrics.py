@@ -11,14 +11,15 @@ from graphweft.operators.graph import OWNED, TEMPLATE, Graph
 def symbol_metrics(graph: Graph, entities: DataFrame) -> DataFrame:
     """Distinct neighbours per entity, by direction and kind of edge, in one pass over the edges.
 
-    Each edge counts at both its ends. Pairs are made distinct first, so a hub's count is combined in every task.
+    Pairs are made distinct first, once for both their ends, with their kinds as bits; each then counts at both ends, and a
+    hub's count is combined in every task.
     """
     kinds = {"inbound": ~F.col("type").isin(OWNED), "injections": F.col("type") == "INJECTS", "template_usages": F.col("type").isin(TEMPLATE), "selector_usages": F.col("type").isin("USES_COMPONENT", "USES_DIRECTIVE", "USES_PIPE")}
-    at = lambda near, far, into: F.struct(F.col(near).alias("id"), F.col(far).alias("other"), F.lit(into).alias("into"))
-    ends = graph.edges.select(F.explode(F.array(at("dst", "src", True), at("src", "dst", False))).alias("e"), *(c.alias(k) for k, c in kinds.items()))
-    pairs = ends.groupBy("e").agg(*(F.max(k).alias(k) for k in kinds))
-    count = lambda k, into: F.count_if(F.col(k) & (F.col("e.into") == into))
-    counts = pairs.groupBy("e.id").agg(count("inbound", True).alias("inbound"), count("inbound", False).alias("outbound"), *(count(k, True).alias(k) for k in ("injections", "template_usages", "selector_usages")))
+    bits = {k: 1 << i for i, k in enumerate(kinds)}
+    pairs = graph.edges.groupBy("src", "dst").agg(F.bit_or(sum((F.when(c, bits[k]).otherwise(0) for k, c in kinds.items()), F.lit(0))).alias("bits"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(True).alias("into")), F.struct(F.col("src").alias("id"), F.lit(False).alias("into")))).alias("e"), "bits").select("e.id", "e.into", "bits")
+    count = lambda k, into: F.count_if((F.col("bits").bitwiseAND(bits[k]) > 0) & (F.col("into") == into))
+    counts = ends.groupBy("id").agg(count("inbound", True).alias("inbound"), count("inbound", False).alias("outbound"), *(count(k, True).alias(k) for k in ("injections", "template_usages", "selector_usages")))
     joined = entities.select("id").join(counts, "id", "left")
     return joined.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in joined.columns[1:]))
 
