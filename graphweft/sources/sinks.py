@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,11 +12,24 @@ from graphweft.operators.graph import Graph
 from graphweft.operators.normalize import upsert
 
 
+@contextmanager
+def open_files(spark: SparkSession, n: int = 32):
+    """Up to n files of partitions are open in a task at once, so that its rows needn't be sorted by them; with more they are."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def export_csv(graph: Graph, folder: str) -> None:
     """One folder per label and per edge type, with headers; a value with a comma, quote or line break is quoted."""
     options = {"header": True, "quote": '"', "escape": '"', "nullValue": ""}
-    graph.nodes.write.mode("overwrite").options(**options).partitionBy("label").csv(f"{folder}/nodes")
-    graph.edges.write.mode("overwrite").options(**options).partitionBy("type").csv(f"{folder}/edges")
+    with open_files(graph.nodes.sparkSession):
+        graph.nodes.write.mode("overwrite").options(**options).partitionBy("label").csv(f"{folder}/nodes")
+        graph.edges.write.mode("overwrite").options(**options).partitionBy("type").csv(f"{folder}/edges")
 
 
 def import_csv(spark: SparkSession, folder: str, nodes: str, edges: str) -> Graph:
@@ -36,8 +51,9 @@ def load(graph: Graph, folder: str, indexer: str) -> None:
     mark = lambda status: spark.createDataFrame([(status, indexer)], "status string, indexer string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
     mark("indexing")
     whole = attached(graph)
-    whole.nodes.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/nodes")
-    whole.edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
+    with open_files(spark):
+        whole.nodes.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/nodes")
+        whole.edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
     mark("complete")
 
 

@@ -25,3 +25,14 @@ def test_metrics_make_pairs_distinct_once_for_both_ends(graph):
     found = metrics.symbol_metrics(graph, graph.nodes)
     assert "Aggregate [src" in optimized(found)
     assert {tuple(r) for r in found.collect()} == {("a", 2, 0, 2, 1, 0), ("b", 0, 1, 0, 0, 0), ("c", 0, 2, 0, 0, 0)}
+
+
+def test_writing_by_label_and_type_needs_no_sort(spark, graph, tmp_path, monkeypatch):
+    seen, name = [], "spark.sql.maxConcurrentOutputFileWriters"
+    for kind in ("csv", "parquet"):
+        plain = getattr(DataFrameWriter, kind)
+        monkeypatch.setattr(DataFrameWriter, kind, lambda self, path, plain=plain: (seen.append((path.rpartition("/")[2], int(spark.conf.get(name)))), plain(self, path))[1])
+    sinks.export_csv(graph, str(tmp_path / "csv"))
+    sinks.load(graph, str(tmp_path / "stored"), "1")
+    assert [n for part, n in seen if part in ("nodes", "edges")] == [32] * 4 and int(spark.conf.get(name)) == 0
+    assert sinks.stored(spark, str(tmp_path / "stored")).edges.count() == 4
