@@ -40,7 +40,7 @@ def import_csv(spark: SparkSession, folder: str, nodes: str, edges: str) -> Grap
 
 def attached(graph: Graph) -> Graph:
     """Without the edges of which an end is missing."""
-    known = graph.nodes.select("id")
+    known = graph.nodes.select("id").hint("shuffle_hash")  # edges are many and needn't be sorted for it
     edges = graph.edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return Graph(graph.nodes, edges.select(*graph.edges.columns))
 

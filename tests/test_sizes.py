@@ -36,3 +36,10 @@ def test_writing_by_label_and_type_needs_no_sort(spark, graph, tmp_path, monkeyp
     sinks.load(graph, str(tmp_path / "stored"), "1")
     assert [n for part, n in seen if part in ("nodes", "edges")] == [32] * 4 and int(spark.conf.get(name)) == 0
     assert sinks.stored(spark, str(tmp_path / "stored")).edges.count() == 4
+
+
+def test_ends_are_looked_up_without_sorting_edges(spark, graph):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = sinks.attached(graph).edges._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
