@@ -96,6 +96,7 @@ def service_usage(graph: Graph, name: str, kinds: tuple[str, ...] = ("INJECTS",)
 
 def beside(page: DataFrame, parts: DataFrame, graph: Graph) -> DataFrame:
     """A row for each member (id, section, member) of what is on a page, with the member's label and name; in no list."""
+    parts = parts.join(F.broadcast(page.select("id")), "id", "left_semi").distinct()
     named = graph.nodes.select(F.col("id").alias("member"), F.col("label").alias("member_label"), F.col("name").alias("member_name"))
     return page.join(parts, "id").join(named, "member").select("id", "name", "section", "member", "member_label", "member_name")
 
@@ -104,7 +105,7 @@ def service_users(graph: Graph, name: str, kinds: tuple[str, ...] = ("INJECTS",)
     """Who uses the services of a page, by the type of edge."""
     needed(name=name)
     page = paged(graph.labelled("Service").where(holds("name", name)).select("id", "name"), ["name", "id"], page_size, 100, cursor)
-    return beside(page, graph.typed(*kinds).select(F.col("dst").alias("id"), F.col("type").alias("section"), F.col("src").alias("member")).distinct(), graph)
+    return beside(page, graph.typed(*kinds).select(F.col("dst").alias("id"), F.col("type").alias("section"), F.col("src").alias("member")), graph)
 
 
 def trace_route(routes: DataFrame, path: str) -> DataFrame:

@@ -43,3 +43,9 @@ def test_ends_are_looked_up_without_sorting_edges(spark, graph):
     plan = sinks.attached(graph).edges._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_users_are_made_distinct_behind_the_page(graph):
+    found = tools.service_users(graph, "a")
+    assert "LeftSemi" in optimized(found)
+    assert {(r["id"], r["member"], r["total"] if "total" in found.columns else 1) for r in found.collect()} == {("a", "b", 1), ("a", "c", 1)}
