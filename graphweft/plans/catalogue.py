@@ -78,8 +78,10 @@ def component_dependencies(spark, d):
 @query(on_graph(" SELECT s.id AS service, u.label AS user_label, count(DISTINCT u.id) AS n_users FROM nodes s JOIN edges e ON e.dst = s.id JOIN nodes u ON u.id = e.src WHERE s.label = 'Service' GROUP BY ALL"))
 def service_usage(spark, d):
     g = star_graph(spark, d)
-    used = g.edges.join(g.labelled("Service").select(F.col("id").alias("dst")), "dst").join(g.nodes.select(F.col("id").alias("src"), "label"), "src")
-    return used.select("dst", "label", "src").distinct().groupBy(F.col("dst").alias("service"), F.col("label").alias("user_label")).agg(F.count("*").alias("n_users"))
+    # dealt once by the user: that serves its distinct pairs, its labels and their join
+    used = g.edges.join(g.labelled("Service").select(F.col("id").alias("dst")), "dst").select("dst", "src").repartition("src").distinct()
+    labels = g.nodes.select(F.col("id").alias("src"), "label").repartition("src").distinct()
+    return used.join(labels.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("service"), F.col("label").alias("user_label")).agg(F.count("*").alias("n_users"))
 
 
 @query(on_graph(" SELECT n.id AS service, c.id AS consumer, c.name AS consumer_name, c.label AS kind FROM edges e JOIN nodes n ON e.dst = n.id JOIN nodes c ON e.src = c.id WHERE e.type = 'INJECTS' AND n.name = 'NATION_7' ORDER BY c.name, c.id LIMIT 20"))

@@ -49,3 +49,7 @@ def test_users_are_made_distinct_behind_the_page(graph):
     found = tools.service_users(graph, "a")
     assert "LeftSemi" in optimized(found)
     assert {(r["id"], r["member"], r["total"] if "total" in found.columns else 1) for r in found.collect()} == {("a", "b", 1), ("a", "c", 1)}
+
+
+def test_usage_is_dealt_once_by_the_user(spark):
+    assert optimized(catalogue.service_usage(spark, "/root/testdata/sf0.001")).count("RepartitionByExpression [src") == 2
