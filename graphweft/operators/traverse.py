@@ -19,13 +19,14 @@ def traverse(graph: Graph, seeds: DataFrame, direction: str = "in", depth: int |
 
     seeds: one column, id. Each seed has its own visited set. Of several shortest paths the one with the smallest chain is
     given; since `>` sorts before letters, the smallest per level is the smallest of all. Edges are filtered and written
-    once, before the loop, dealt by the end they are entered at; a level's frontier is written, so the plan stays short.
+    once, before the loop; files keep no dealing that a level's join could use. A level's frontier is written, so the plan
+    stays short.
     """
     start, end = ("dst", "src") if direction == "in" else ("src", "dst")
     edges = graph.typed(*(kinds or ELIGIBLE)).select(F.col(start).alias("from"), F.col(end).alias("to"), "type")
     if not tests:
         edges = edges.join(graph.nodes.where("is_test").select(F.col("id").alias("to")), "to", "left_anti")
-    edges = cut(edges.select("from", "to", "type").repartition("from"), "edges")
+    edges = cut(edges.select("from", "to", "type"), "edges")
     frontier = cut(seeds.distinct().select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.lit("").alias("edge_chain")), "frontier")
     seen = frontier
     for level in range(1, depth_of(depth) + 1):

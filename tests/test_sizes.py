@@ -53,3 +53,10 @@ def test_users_are_made_distinct_behind_the_page(graph):
 
 def test_usage_is_dealt_once_by_the_user(spark):
     assert optimized(catalogue.service_usage(spark, "/root/testdata/sf0.001")).count("RepartitionByExpression [src") == 2
+
+
+def test_edges_of_a_traversal_are_written_as_they_come(graph, monkeypatch):
+    plans, plain = {}, traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df, tag: (plans.setdefault(tag, optimized(df)), plain(df, tag))[1])
+    assert {r["id"] for r in traverse.traverse(graph, graph.nodes.where("id = 'a'").select("id")).collect()} == {"b", "c"}
+    assert "Repartition" not in plans["edges"]
