@@ -15,13 +15,13 @@ BETWEEN_MODULES, DECLARED = ["IMPORTS", "LOADS_LAZY_MODULE"], ["Component", "Dir
 
 def dependencies(graph: Graph) -> tuple[DataFrame, DataFrame]:
     """Nodes (id) and edges (src depends on dst) of an order: modules on those they import or load, artifacts on the
-    modules that declare them, projects on projects."""
+    modules that declare them, projects on projects. Edges are written, as every step of an order reads them again."""
     nodes = graph.nodes.where(F.col("label").isin("NgModule", "Project", *DECLARED)).select("id").distinct()
     modules, projects = graph.labelled("NgModule").select("id"), graph.labelled("Project").select("id")
     ends = lambda kinds, source, target: hop(graph, kinds, source, target).select("src", "dst")
     declared = ends(["DECLARES"], modules, graph.labelled(*DECLARED).select("id")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = ends(BETWEEN_MODULES, modules, modules).unionByName(declared).unionByName(ends(["PROJECT_DEPENDS_ON"], projects, projects))
-    return nodes, edges.distinct()
+    return nodes, cut(edges.distinct(), "deps")
 
 
 def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -39,3 +39,23 @@ def test_order_of_a_small_graph(spark):
     got = {(r["src"], r["dst"], r["order_index"], r["is_parallel"]) for r in placed.typed("MIGRATION_ORDER").collect()}
     assert got == {("c", "d", 1, True), ("x", "c", 2, False), ("p", "q", 1, True)}
     assert placed.nodes.where(F.col("order_index").isNull()).count() == 3 and placed.edges.where("type <> 'MIGRATION_ORDER'").count() == 9
+
+
+def test_edges_of_an_order_are_computed_once(spark, tmp_path):
+    """What edges are made of is read when they are written, not at each step, and not again for what is stored."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            reads.add(len(r))
+            yield r
+
+    nodes = spark.createDataFrame([(k, "NgModule") for k in "abcd"], "id string, label string")
+    edges = spark.createDataFrame([("IMPORTS", "a", "b"), ("IMPORTS", "b", "c"), ("IMPORTS", "c", "d")], "type string, src string, dst string")
+    g = Graph(nodes, edges.mapInPandas(seen, edges.schema))
+    parts = order.dependencies(g)
+    levels = order.ordered(*parts)
+    assert {(r["id"], r["level"]) for r in levels.collect()} == {("a", 3), ("b", 2), ("c", 1), ("d", 0)}
+    assert order.order_edges(levels, parts[1]).count() == 3
+    # modules and projects each read the edges of their types once
+    assert reads.value <= 9
