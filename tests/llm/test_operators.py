@@ -674,3 +674,55 @@ def test_longer_seeds_of_texts_that_repeat_themselves_end_soon(spark):
     docs = spark.createDataFrame([(k, " ".join([f"o{k}", *line * 40, f"e{k}"])) for k in range(3)], "doc_id bigint, text string")
     held = f.written(f.holders(f.seed_rows(docs).withColumn("second", F.col("at"))), "passage-held")
     assert len(f.matches_of_longer(held)) <= 2
+
+
+def test_fuzzy_passages_of_letters_beyond_a_to_z(spark):
+    """Capitals with accents count as small letters in seeds as well as in alignments."""
+    part = [f"é{chr(97 + i % 26)}ö{i}ü" for i in range(60)]
+    texts = [(1, ["one", *part, "two"]), (2, ["three", "four", *(w.upper() for w in part), "five"])]
+    rows = fuzzy_passages(spark.createDataFrame([(k, "\t ".join(t) + "\n") for k, t in texts], "doc_id bigint, text string")).collect()
+    assert [tuple(r) for r in rows] == [(2, 2, 62, 1, 1, 61, 1.0)]
+
+
+def test_holders_of_seeds_that_go_on_over_batches(spark):
+    """The smallest holder and the next smaller one, of seeds whose rows fill many batches or end with one."""
+    from graphweft.llm import fuzzy_passages as f
+
+    rng = random.Random(4)
+    items = sorted({(rng.choice([1, 1, 1, 2, 3, *range(4, 40)]), rng.randrange(30), rng.randrange(5)) for _ in range(400)})
+    want = set()
+    for seed, doc, at in items:
+        ids = sorted({d for s, d, _ in items if s == seed})
+        first = lambda d: (d, min(p for s, e, p in items if (s, e) == (seed, d)))  # noqa: E731, B023
+        if len(ids) > 1:
+            want.add((seed, doc, at, first(ids[0]), first(ids[ids.index(doc) - 1]) if doc != ids[0] else None))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            rows = f.holders(spark.createDataFrame([(*i, i[2]) for i in items], "seed bigint, doc_id bigint, at int, second int")).collect()
+            assert len(rows) == len(want) and {(r["seed"], r["doc_id"], r["at"], tuple(r["least"])[:2], tuple(r["next"])[:2] if r["next"] else None) for r in rows} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_chains_aligned_together_are_as_aligned_alone():
+    """Chains of any kinds in one call; their ends and long gaps are grown together. Words of a match are in one chain once."""
+    import numpy as np
+
+    from graphweft.llm import fuzzy_passages as f
+
+    rng, some = random.Random(6), []
+    for _ in range(60):
+        a = [f"w{rng.randrange(rng.choice([3, 400]))}" for _ in range(rng.randint(30, 300))]
+        b = [w if rng.random() > 0.1 else f"w{rng.randrange(400)}" for w in a if rng.random() > 0.05] + [f"e{k}" for k in range(rng.randrange(30))]
+        m = [(i, j) for i in range(len(a) - 4) for j in range(max(0, i - 20), min(len(b) - 4, i + 20)) if a[i : i + 5] == b[j : j + 5] and rng.random() < 0.3]
+        if m:
+            found = f.chains(*np.array(m * 2).T)
+            places = [p for c in found for p in c]
+            assert len(places) == len(set(places))
+            some.extend((" ".join(a), " ".join(b), [p[0] for p in c], [p[1] for p in c]) for c in found)
+    assert len(some) > 50 and f.aligned_all(some) == [f.aligned_all([c])[0] for c in some]
+    for (a, b, _, _), (found, _, _) in zip(some, f.aligned_all(some), strict=True):
+        for x0, x1, y0, y1, edits in found:
+            assert plain_distance(a.split()[x0:x1], b.split()[y0:y1]) <= edits <= 0.2 * max(x1 - x0, y1 - y0) + 1e-9
