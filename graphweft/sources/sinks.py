@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from graphweft.operators.graph import Graph
 from graphweft.operators.normalize import upsert
 
+#: Nodes in a task's hash, some tens of MB.
+LOOKED_UP = 200_000
+
 
 @contextmanager
 def open_files(spark: SparkSession, n: int = 32):
@@ -39,9 +42,17 @@ def import_csv(spark: SparkSession, folder: str, nodes: str, edges: str) -> Grap
 
 
 def attached(graph: Graph) -> Graph:
-    """Without the edges of which an end is missing."""
-    known = graph.nodes.select("id").hint("shuffle_hash")  # edges are many and needn't be sorted for it
-    edges = graph.edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    """Without the edges of which an end is missing.
+
+    Edges look their ends up in hashes of nodes, which can't spill: nodes that are too many for one are dealt into parts
+    of `LOOKED_UP` at most on average, whatever number of parts a session shuffles into.
+    """
+    nodes, edges = graph.nodes.select("id"), graph.edges
+    parts = -(-nodes.count() // LOOKED_UP)
+    dealt = lambda rows, end: rows.repartition(parts, end) if parts > 1 else rows
+    for end in ("src", "dst"):
+        known = dealt(nodes.withColumnRenamed("id", end), end).hint("shuffle_hash")  # edges are many and needn't be sorted for it
+        edges = dealt(edges, end).join(known, end, "left_semi")
     return Graph(graph.nodes, edges.select(*graph.edges.columns))
 
 

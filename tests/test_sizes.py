@@ -1,5 +1,7 @@
 """What keeps memory and shuffles of large graphs small, told by plans of small ones."""
 
+import re
+
 import pytest
 from pyspark.sql import DataFrameWriter
 
@@ -45,6 +47,15 @@ def test_ends_are_looked_up_without_sorting_edges(spark, graph):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_hashes_of_nodes_stay_small_however_few_parts_a_session_has(spark, graph, monkeypatch):
+    monkeypatch.setattr(sinks, "LOOKED_UP", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    edges = sinks.attached(graph).edges
+    assert len(re.findall(r"RepartitionByExpression \[[^]]*\], 3\b", optimized(edges))) == 4 and edges.count() == 4
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_users_are_made_distinct_behind_the_page(graph):
     found = tools.service_users(graph, "a")
     assert "LeftSemi" in optimized(found)
